@@ -178,18 +178,18 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
 
 
 def digests(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """df with n_tokens, ids_sha256 and decoded_sha256, from the ids and the text decoded from them; neither is kept."""
+    """df without its text, with n_tokens, ids_sha256 and decoded_sha256, from the ids and the text decoded from them; neither is kept."""
 
     def of(e: Encoder, b: bytes) -> list:
         ids = e.encode(b.decode())
         return [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded(e.vocabulary.strings, ids).encode()).hexdigest()]
 
-    return _mapped(df, tokenizer, text, {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}, of)
+    return _mapped(df, tokenizer, text, {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}, of, keep=False)
 
 
-def _mapped(df: DataFrame, tokenizer: str, column: str, adds: dict[str, pa.DataType], of) -> DataFrame:
+def _mapped(df: DataFrame, tokenizer: str, column: str, adds: dict[str, pa.DataType], of, keep: bool = True) -> DataFrame:
     shipped = df.sparkSession.sparkContext.broadcast(tokenizer_bytes(tokenizer))
-    kept = [c for c in df.columns if c not in adds]
+    kept = [c for c in df.columns if c not in adds and (keep or c != column)]
     kinds = {pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary"}
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept), *(f"`{n}` {kinds[k]}" for n, k in adds.items())])
     place = df.columns.index(column)

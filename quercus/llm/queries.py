@@ -4,17 +4,51 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quercus.llm import bpe
+from quercus.llm import bpe, decontaminate, secrets, simhash
 from quercus.llm.common import read
 
 
+def op4_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"), k=3, max_bits=2)
+    return found.select(found.id.alias("doc_id"), "fingerprint", "component_id")
+
+
+def op6_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    of_kind = lambda *kinds: F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+    joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        *(F.size(of_kind(k)).cast("bigint").alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(joined(of_kind("assign", "access", "hex")).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+    )
+
+
+def op8_prefix_filter_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"), keep_text=False)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op10_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
+    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES = {
+    "op4_simhash_index": op4_simhash_index,
+    "op6_secret_battery": op6_secret_battery,
+    "op8_prefix_filter_join": op8_prefix_filter_join,
     "op10_bpe_prefix_dp": op10_bpe_prefix_dp,
 }
 ORACLE_SQL: dict[str, str] = {}
