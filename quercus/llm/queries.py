@@ -6,8 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quercus.llm import bpe, decontaminate, secrets, simhash
-from quercus.llm.common import read
+from quercus.llm import bpe, decontaminate, planes, secrets, simhash, transport, warc
+from quercus.llm.common import read, written
+
+
+def op2_warc_seekable_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(read(spark, sf_dir, "pages"))
+    return found.select(warc.id_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.id_of("refers_to_id").alias("refers_to"))
+
+
+def op3_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = planes.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return found.withColumnRenamed("id", "doc_id")
 
 
 def op4_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,15 +50,23 @@ def op8_prefix_filter_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = written(transport.stored(read(spark, sf_dir, "documents").select("doc_id", "text")), "media", compression="zstd")
+    return transport.indexed(media).drop("units")
+
+
 def op10_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES = {
+    "op2_warc_seekable_zstd": op2_warc_seekable_zstd,
+    "op3_bit_planes": op3_bit_planes,
     "op4_simhash_index": op4_simhash_index,
     "op6_secret_battery": op6_secret_battery,
     "op8_prefix_filter_join": op8_prefix_filter_join,
+    "op9_transport_stream": op9_transport_stream,
     "op10_bpe_prefix_dp": op10_bpe_prefix_dp,
 }
 ORACLE_SQL: dict[str, str] = {}
