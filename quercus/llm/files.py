@@ -42,4 +42,4 @@ class Source:
 
 def create(uri: str):
     system, path = place(uri)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)  # by default the suffix would add another compression

@@ -6,10 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quercus.llm import bpe, decontaminate, planes, secrets, simhash, transport, warc
+from quercus.llm import bpe, decontaminate, planes, quality, secrets, simhash, transport, urls, warc
 from quercus.llm.common import read, written
 
 
+#: Fixed values of the query's contract.
+URL_RULES = [
+    urls.Rule("block", "com", "/en/"),
+    urls.Rule("allow", "example.com", "/en/7"),
+    urls.Rule("allow", "net", "/de/"),
+    urls.Rule("block", "example.net", "/de/8"),
+    urls.Rule("block", "org", "/es/"),
+]
+
+
+def op1_url_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(read(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
+
+
 def op2_warc_seekable_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(read(spark, sf_dir, "pages"))
     return found.select(warc.id_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.id_of("refers_to_id").alias("refers_to"))
@@ -25,6 +39,10 @@ def op4_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(found.id.alias("doc_id"), "fingerprint", "component_id")
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), drop_columns=True)
+
+
 def op6_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     of_kind = lambda *kinds: F.filter("secrets", lambda s: s["kind"].isin(*kinds))
@@ -61,9 +79,11 @@ def op10_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_markov_ratio": op1_url_markov_ratio,
     "op2_warc_seekable_zstd": op2_warc_seekable_zstd,
     "op3_bit_planes": op3_bit_planes,
     "op4_simhash_index": op4_simhash_index,
+    "op5_importance_resampling": op5_importance_resampling,
     "op6_secret_battery": op6_secret_battery,
     "op8_prefix_filter_join": op8_prefix_filter_join,
     "op9_transport_stream": op9_transport_stream,

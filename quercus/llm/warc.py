@@ -161,15 +161,14 @@ def write(df: DataFrame, folder: str, id_column: str = "page_id", url_column: st
 
     Of the records with equal payloads (by SHA-256 and length) of at least min_revisit_bytes, that with the largest id (null
     ids are least; of equal ids the last row) is a response and the others are revisits of it. A null payload is empty, a
-    null url gives no target. Payloads aren't shuffled: the bundles are written where the table is read, and only digests of
-    payloads that occur more than once are joined. An empty table gives no bundle.
+    null url gives no target. An empty table gives no bundle. What is shuffled to find equal payloads are digests; the rows
+    themselves are joined with the revisits alone, so where these are few enough to broadcast, payloads are never shuffled.
     """
     source = df.select(row_id().alias("row"), F.col(id_column).cast("bigint").alias("id"), F.col(url_column).alias("url"), F.coalesce(F.col(payload_column).cast("binary"), F.lit(b"")).alias("payload"))
     prints = written(source.select("row", "id", F.unhex(F.sha2("payload", 256)).alias("print"), F.octet_length("payload").alias("size")), "payloads")
     by_id = F.struct(F.col("id").isNotNull().alias("named"), "id", "row")
     repeated = written(prints.where(F.col("size") >= min_revisit_bytes).groupBy("print", "size").agg(F.count("*").alias("n"), F.max(by_id).alias("kept")).where("n > 1").drop("n"), "repeated")
     revisits = prints.join(repeated, ["print", "size"]).where("row != kept.row").select("row", F.col("kept.id").alias("to_id"), F.col("kept.row").alias("to_row"))
-    # A revisit leaves its payload out before the shuffle by row, which then holds little more than one copy of each payload.
     told = source.join(revisits, "row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
