@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quercus.llm import bpe, decontaminate, planes, quality, secrets, simhash, transport, urls, warc
+from quercus.llm import bpe, decontaminate, licenses, planes, quality, secrets, simhash, transport, urls, warc
 from quercus.llm.common import read, written
 
 
@@ -55,6 +55,12 @@ def op6_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_license_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".txt")))
+    found = written(licenses.scan(read(spark, sf_dir, "documents"), "doc_id", "text", path), "licenses")
+    return licenses.inherited(found).withColumnRenamed("id", "doc_id")
+
+
 def op8_prefix_filter_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"), keep_text=False)
@@ -85,6 +91,7 @@ QUERIES = {
     "op4_simhash_index": op4_simhash_index,
     "op5_importance_resampling": op5_importance_resampling,
     "op6_secret_battery": op6_secret_battery,
+    "op7_license_cosine": op7_license_cosine,
     "op8_prefix_filter_join": op8_prefix_filter_join,
     "op9_transport_stream": op9_transport_stream,
     "op10_bpe_prefix_dp": op10_bpe_prefix_dp,
