@@ -1 +1,6 @@
+"""Queries on the test tables and their SQL."""
 
+from quercus.plans import catalogue, retrieval, text
+from quercus.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "catalogue", "retrieval", "text"]
