@@ -1,55 +1,15 @@
-"""What the operators share: the shared folder, tables that cut lineage, Arrow helpers, components of a graph."""
+"""What the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quercus.functions.tables import forget, read, scratch, shared_dir, written
+from quercus.operators.graph import components
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a session in one process may do without."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = getattr(spark.sparkContext, "_quercus_dir", None)
-    if own is None:
-        own = spark.sparkContext._quercus_dir = tempfile.mkdtemp(prefix="quercus-")
-    return own
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/quercus-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, without lineage, there after an executor is lost."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.options(**options).parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._quercus_path = path
-    return table
-
-
-def forget(table: DataFrame) -> None:
-    """Deletes a table of written() that nothing reads any more."""
-    path = getattr(table, "_quercus_path", None)
-    if path:
-        jvm = table.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+__all__ = ["components", "forget", "read", "row_id", "scratch", "shared_dir", "utf8", "written"]
 
 
 def utf8(column: pa.Array) -> pa.Array:
@@ -60,33 +20,3 @@ def utf8(column: pa.Array) -> pa.Array:
 def row_id() -> Column:
     """Names a row of a scanned table for good: partition and place in it, which a rerun of the scan repeats."""
     return F.monotonically_increasing_id()
-
-
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Connected components of the graph with these edges (two long columns): node, root (the least node).
-
-    Large-star and small-star rounds (Kiveris et al., 2014) until the edges are stars. Every round is written to the
-    shared folder. The minima are written too, so that the join sides are plain shuffles that AQE can split at a hub.
-    Self-loops and nulls are left out; repeated edges don't matter; without edges the result is empty.
-    """
-    big, small = F.greatest(a, b).alias("a"), F.least(a, b).alias("b")
-    now = written(edges.where(F.col(a) != F.col(b)).select(big, small).distinct(), "edges")
-    before = None
-    while True:
-        both = now.select("a", "b").union(now.select("b", "a"))
-        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
-        large = written(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        low2 = written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
-        joined = large.join(low2, "a")
-        after = written(
-            joined.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low2.select("a", F.col("m").alias("b"))).distinct(),
-            "edges",
-        )
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        for old in (now, low, large, low2):
-            forget(old)
-        now = after
-        if state == before or state[0] == 0:
-            break
-        before = state
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
