@@ -210,7 +210,7 @@ def styles(c: Column) -> Column:
 
 
 def grapes(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), "[,;/]+"), F.trim), lambda g: g != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), "[,;/]+"), lambda x: F.trim(x)), lambda g: g != ""))
 
 
 def first_filled(*columns: Column) -> Column:
@@ -230,7 +230,7 @@ def candidate_list(c: Column) -> Column:
     """
     text = F.trim(c)
     split = F.split(text, "[|,]")
-    tidy = lambda a: F.array_distinct(F.filter(F.transform(a, F.trim), lambda x: x.isNotNull() & (x != "")))
+    tidy = lambda a: F.array_distinct(F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
     json = F.from_json(text, "array<string>")
     names = F.transform(json, lambda x: F.when(F.ltrim(x).startswith("{"), F.get_json_object(x, "$.slug")).otherwise(x))
     return F.when(text.isNull() | (text == ""), None).when(text.startswith("[") | text.startswith("{"), F.coalesce(tidy(names), F.array().cast("array<string>"))).otherwise(tidy(split))

@@ -33,7 +33,7 @@ def catalogue_csv(spark: SparkSession, path: str) -> DataFrame:
 
     Row numbers need the file's order, and quoted fields may span lines, so each file is one task's work.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     fields = list(CSV_FIELDS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,13 +123,13 @@ def checksum_for(asked: DataFrame, known: DataFrame, path: str = "image_path") -
 
 def name_lists(spark: SparkSession, path: str) -> DataFrame:
     """slug, alias from a JSON object of lists of strings."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", "map<string,array<string>>", {"mode": "FAILFAST"})).alias("slug", "names")).select("slug", F.explode("names").alias("alias"))
 
 
 def overrides(spark: SparkSession, path: str) -> DataFrame:
     """photo_name, path from a JSON object of strings."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})).alias("photo_name", "path"))
 
 
