@@ -6,6 +6,12 @@ the square of N. The index is therefore keyed by sets of 8 - d positional bytes,
 over single bytes reaches that minimum exactly if the pair meets in one of these lists. In a list the fixed bytes leave
 8 d free bits, so it has at most 2 ** (8 d) distinct fingerprints whatever the input; equal fingerprints count once. A list
 emits, for every member, one link to the least member of its part of the list (not all pairs), which loses no class.
+
+64 bits tell texts that are nearly the same from others, but not texts that share four fifths of their shingles: those
+differ in about 10 bits, more than 8 bytes can guarantee a match for. With a similarity asked for, each distinct
+fingerprint also has a sketch of 128 positional bytes, byte p being taken from the hash that is least under permutation p
+(a consistent sample, so a byte agrees as often as shingles do). These bytes are indexed in the same way, by groups of four,
+and a pair is kept if its tally over all 128 reaches the least that the similarity lets expect.
 """
 
 from __future__ import annotations
@@ -26,31 +32,126 @@ SEED = 42
 PAIRWISE = 512
 
 
-def fingerprint(text: bytes, k: int) -> bytes:
-    """64 bits, most significant byte first. A bit is 1 if set in over half the hashes of the k-word shingles."""
+#: Positional bytes of a sketch, groups of four of them that are indexed, and how far below the similarity a tally may be.
+SKETCH_BYTES, GROUPS, SLACK = 128, 12, 0.02
+_PERMUTATIONS = np.random.Generator(np.random.PCG64(SEED)).integers(1, 1 << 32, (2, SKETCH_BYTES), dtype=np.uint32) | np.array([[1], [0]], dtype=np.uint32)
+
+
+def hashes_of(text: bytes, k: int) -> np.ndarray:
+    """XXH64 of the k-word shingles, as rows of 8 bytes, most significant first; of all words if they are fewer; none without words."""
     words = text.lower().split()  # bytes: A-Z only, and the six ASCII white-space signs
     if not words:
-        return bytes(8)
+        return np.empty((0, 8), dtype=np.uint8)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(k)))) if len(words) > k else (b" ".join(words),)
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), dtype=np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), dtype=np.uint8).reshape(-1, 8)
+
+
+def fingerprint(hashes: np.ndarray) -> bytes:
+    """64 bits, most significant byte first. A bit is 1 if set in over half the hashes; zero without hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
-def fingerprints(df: DataFrame, id_column: str, text_column: str, k: int) -> DataFrame:
-    """row (names the row), id, fp (the fingerprint as a signed long) of each row. A null text counts as empty."""
+def sketch(hashes: np.ndarray) -> bytes | None:
+    """The positional bytes; none without hashes."""
+    if not len(hashes):
+        return None
+    values = np.unique(np.ascontiguousarray(hashes[:, 4:]).view(">u4").ravel().astype(np.uint32))
+    least = np.full(SKETCH_BYTES, 0xFFFFFFFF, dtype=np.uint32)
+    for i in range(0, len(values), 4096):
+        np.minimum(least, (values[i : i + 4096, None] * _PERMUTATIONS[0] + _PERMUTATIONS[1]).min(axis=0), out=least)
+    return (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
+def fingerprints(df: DataFrame, id_column: str, text_column: str, k: int, sketches: bool = False) -> DataFrame:
+    """row (names the row), id, fp (the fingerprint as a signed long), sketch (null unless asked for) of each row. A null text counts as empty."""
     source = df.select(row_id().alias("row"), F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = b"".join(fingerprint(t.as_py() or b"", k) for t in utf8(batch.column(2)))
-            values = np.frombuffer(prints, dtype=">u8").astype("<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values)], names=["row", "id", "fp"])
+            prints, drawn = [], []
+            for t in utf8(batch.column(2)):
+                hashes = hashes_of(t.as_py() or b"", k)
+                prints.append(fingerprint(hashes))
+                drawn.append(sketch(hashes) if sketches else None)
+            values = np.frombuffer(b"".join(prints), dtype=">u8").astype("<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values), pa.array(drawn, pa.binary())], names=["row", "id", "fp", "sketch"])
+
+    return source.mapInArrow(run, "row bigint, id bigint, fp bigint, sketch binary")
+
+
+def _classes(fps: np.ndarray, sketches: np.ndarray, fewest: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """Places of one leader of each class of a list, and links (fingerprint, leader's) of the others. Members of one close class are compared once."""
+    leaders, out = [], []
+    rest = np.arange(len(fps))
+    while len(rest):
+        leader, rest = int(rest[0]), rest[1:]
+        leaders.append(leader)
+        front = [leader]
+        while front and len(rest):
+            found = (sketches[rest] == sketches[front.pop()]).sum(axis=1) >= fewest
+            new, rest = rest[found], rest[~found]
+            front += new.tolist()
+            out += [(int(fps[i]), int(fps[leader])) for i in new]
+    return leaders, out
+
+
+def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b between fingerprints (fp, sketch) whose sketches agree in as many bytes as the similarity lets expect.
+
+    Before the shuffle each task makes classes of what it holds in a list and sends on one leader for each; a list thus
+    gets as many rows as there are tasks and classes, however many near copies a text has. Which member leads depends on
+    the list, so that a class that one list parts is joined by another.
+    """
+    fewest = int(np.ceil((similarity - SLACK) * SKETCH_BYTES))
+    order = lambda fps, key: np.argsort((fps.view(np.uint64) ^ np.uint64(key & 0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy()
+            drawn = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH_BYTES)
+            keys = np.ascontiguousarray(drawn[:, : 4 * GROUPS]).view("<u4").astype(np.int64)
+            for g in range(GROUPS):
+                at = np.argsort(keys[:, g], kind="stable")
+                ranked = keys[at, g]
+                starts = np.nonzero(np.r_[True, ranked[1:] != ranked[:-1]])[0] if len(at) else np.empty(0, dtype=np.int64)
+                sizes = np.diff(np.r_[starts, len(at)])
+                sent = [at[starts[sizes == 1]]]
+                found: list[tuple[int, int]] = []
+                for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+                    some = at[start : start + size]
+                    some = some[order(fps[some], int(ranked[start]))]
+                    leaders, links = _classes(fps[some], drawn[some], fewest)
+                    sent.append(some[leaders])
+                    found += links
+                leaders = np.concatenate(sent)
+                none = [None] * len(found)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.int64(g) << np.int64(32) | keys[leaders, g]).cast(pa.int64()) if not found else pa.array([*(g << 32 | keys[leaders, g]).tolist(), *none], pa.int64()),
+                        pa.array([*fps[leaders].tolist(), *(a for a, _ in found)], pa.int64()),
+                        pa.array([*(drawn[i].tobytes() for i in leaders), *none], pa.binary()),
+                        pa.array([*[None] * len(leaders), *(b for _, b in found)], pa.int64()),
+                    ],
+                    names=["key", "a", "sketch", "b"],
+                )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for key, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                fps = members.values.field(0).to_numpy()
+                drawn = np.frombuffer(b"".join(members.values.field(1).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH_BYTES)
+                some = order(fps, key)
+                found += _classes(fps[some], drawn[some], fewest)[1]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    return source.mapInArrow(run, "row bigint, id bigint, fp bigint")
+    postings = written(distinct.where("sketch is not null").select("fp", "sketch").mapInArrow(combine, "key bigint, a bigint, sketch binary, b bigint"), "postings")
+    lists = postings.where("key is not null").groupBy("key").agg(F.collect_list(F.struct("a", "sketch")).alias("members")).where(F.size("members") > 1)
+    return postings.where("key is null").select("a", "b").union(lists.select("key", "members").mapInArrow(compare, "a bigint, b bigint"))
 
 
 def _flips(free: list[int], d: int) -> np.ndarray:
@@ -116,19 +217,20 @@ def links(prints: DataFrame, fp: str, d: int) -> DataFrame:
     return lists.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 3, max_bits: int = 2) -> DataFrame:
+def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 3, max_bits: int = 2, similarity: float | None = None) -> DataFrame:
     """row, id, fingerprint, component_id, first of each row of df.
 
     row is row_id() over df; fingerprint has 16 hex digits; component_id is the least id that links of at most max_bits
-    differing bits reach, the row's own included (null only if all those ids are null); first is true for one row of each
+    differing bits (and, with a similarity, of sketches that agree so far) reach, the row's own included (null only if all those ids are null); first is true for one row of each
     class, that with the least id (nulls last) and then the least row. Texts without words have fingerprint zero and link
     like any other. Repeated rows and equal ids stay rows of their own. An empty table gives an empty result. Other columns
     of df, whatever their names, are not looked at.
     """
-    prints = written(fingerprints(df, id_column, text_column, k), "fingerprints")
+    prints = written(fingerprints(df, id_column, text_column, k, similarity is not None), "fingerprints")
     by_id = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    distinct = written(prints.groupBy("fp").agg(F.min(by_id).alias("least")), "distinct")
-    classes = written(components(links(distinct, "fp", max_bits), "a", "b"), "classes")
+    distinct = written(prints.groupBy("fp").agg(F.min(by_id).alias("least"), F.min("sketch").alias("sketch")), "distinct")
+    found = links(distinct, "fp", max_bits)
+    classes = written(components(found if similarity is None else found.union(similar_links(distinct, similarity)), "a", "b"), "classes")
     least = written(classes.join(distinct, classes.node == distinct.fp).groupBy("root").agg(F.min("least").alias("of_class")), "least")
     linked = written(classes.join(least, "root").select(F.col("node").alias("fp"), "of_class"), "linked")
     labels = written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("of_class", "least").alias("least")), "labels")
