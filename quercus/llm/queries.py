@@ -96,4 +96,23 @@ QUERIES = {
     "op9_transport_stream": op9_transport_stream,
     "op10_bpe_prefix_dp": op10_bpe_prefix_dp,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: SHA-1 as base32: eight times five hex digits, each as four signs.
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {5 * g + 1}, 5))::BIGINT >> {shift}) & 31)::BIGINT, 1)" for g in range(8) for shift in (15, 10, 5, 0))
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: The other queries need models, hashes or encoders that SQL lacks; tests hold them against plain versions.
+ORACLE_SQL = {
+    "op2_warc_seekable_zstd": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT payload, max(page_id) AS kept FROM p GROUP BY payload)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> kept THEN kept END AS refers_to FROM p JOIN k USING (payload)""",
+    "op8_prefix_filter_join": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[i + 1:i + n], ' ') AS k FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(0, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+pos AS (SELECT doc_id, n, unnest(list_transform(range(0, len(w) - n + 1), lambda i: {{'i': i, 'k': array_to_string(w[i + 1:i + n], ' ')}})) AS p FROM d, sizes WHERE len(w) >= n),
+hits AS (SELECT doc_id, p.i AS i, pos.n, item_id FROM pos JOIN win ON win.n = pos.n AND win.k = p.k),
+cov AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS x FROM hits) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+}
