@@ -77,9 +77,14 @@ def in_catalogue(p1: Column, features: dict[str, Column], weights: dict[str, flo
 
 
 def decision(confidence: Column, quality: Column, known: Column, found_at: float = 0.8, low_quality_at: float = 0.2, unknown_at: float = 0.5, not_found_at: float | None = None) -> Column:
-    """not_found if the thing isn't known, else found from found_at on, else low_quality or uncertain."""
-    unknown = F.coalesce(known < unknown_at, (confidence < not_found_at) if not_found_at is not None else F.lit(False))
-    return F.when(unknown, "not_found").when(confidence >= found_at, "found").when(quality < low_quality_at, "low_quality").otherwise("uncertain")
+    """In this order: not_found if the thing isn't known, found from found_at on, low_quality, not_found below not_found_at if nothing says whether it is known, uncertain."""
+    lost = (known.isNull() & (confidence < not_found_at)) if not_found_at is not None else F.lit(False)
+    return F.when(F.coalesce(known < unknown_at, F.lit(False)), "not_found").when(confidence >= found_at, "found").when(quality < low_quality_at, "low_quality").when(lost, "not_found").otherwise("uncertain")
+
+
+def cascade_decision(confidence: Column, low_quality: Column, indexed: Column, found_at: float) -> Column:
+    """Status of an answer that has no probabilities."""
+    return F.when(~indexed, "uncertain").when(low_quality & (confidence < found_at), "low_quality").when(confidence >= found_at, "found").otherwise("uncertain")
 
 
 def visual_confidence(similarity: Column, margin: Column, quality: Column) -> Column:
@@ -87,9 +92,17 @@ def visual_confidence(similarity: Column, margin: Column, quality: Column) -> Co
     return F.bround((0.75 * unit((similarity + 1) / 2) + 0.25 * unit(margin)) * (0.75 + 0.25 * quality), 4)
 
 
-def text_confidence(score: Column, margin: Column) -> Column:
-    """Grows with both, to 0.96."""
-    return F.least(F.lit(0.96), 0.5 + 0.28 * (1 - F.exp(-score / 12)) + 0.18 * (1 - F.exp(-margin / 8)))
+def text_confidence(score: Column, margin: Column, conflict: Column | None = None, by_alias: Column | None = None, indexed: Column | None = None) -> Column:
+    """Grows with both, to 0.96; bounded where the words contradict, hang on an alias, hardly lead, or the thing has no picture."""
+    plain = F.least(F.lit(0.96), 0.5 + 0.28 * (1 - F.exp(-score / 12)) + 0.18 * (1 - F.exp(-margin / 8)))
+    if conflict is None:
+        return plain
+    bounded = F.when(conflict, F.least(plain, F.lit(0.55))).when(by_alias, F.least(plain, F.lit(0.69))).when(margin < 1, F.least(plain, F.lit(0.75))).otherwise(plain)
+    return bounded if indexed is None else F.when(indexed, bounded).otherwise(F.least(bounded, F.lit(0.69)))
+
+
+def neural_confidence(margin: Column) -> Column:
+    return F.least(F.lit(0.86), F.greatest(F.lit(0.5), 0.58 + 0.8 * margin))
 
 
 def strong_match(found: DataFrame, least: int = 10, apart: float = 0.30, by: str = "query_id") -> DataFrame:
