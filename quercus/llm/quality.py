@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quercus.llm.common import row_id, utf8, written
+from quercus.llm.common import written
 
 #: Buckets of each of the two tables; smoothing; standard errors below which a ratio is chance.
 BUCKETS, SMOOTH, Z = 1 << 18, 4.0, 4.0
@@ -40,10 +40,13 @@ _REPEAT = np.uint64(0x7265706561740000)
 
 
 class _Codes(dict):
+    """Word as it is written -> hash of its lower-case form; the lowest bits say whether it is capitals (1) or signs (2)."""
+
     def __missing__(self, word: str) -> int:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        code = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        signs = not (word[0].isalnum() or word[0] == "_")
+        code = self[word] = xxhash.xxh64_intdigest(word.lower(), SEED) & ~3 | (word.isupper() and len(word) > 1) | signs << 1
         return code
 
 
@@ -59,13 +62,15 @@ def features(text: str) -> np.ndarray:
     words = _WORDS.findall(text)
     if not words:
         return np.empty((2, 0), dtype=np.int64)
-    codes = np.fromiter(map(_codes.__getitem__, map(str.lower, words)), dtype=np.uint64, count=len(words))
+    codes = np.fromiter(map(_codes.__getitem__, words), dtype=np.uint64, count=len(words))
+    kinds = np.bincount((codes & np.uint64(3)).astype(np.int64), minlength=4)
+    codes &= ~np.uint64(3)
     again = np.zeros(len(codes), dtype=bool)
     again[1:] = codes[1:] == codes[:-1]
     codes = np.where(again, _REPEAT, codes)
     pairs = (codes[:-1] * _MIX[0] ^ codes[1:]) * _MIX[1]
     n = len(words)
-    shares = (sum(w.isupper() and len(w) > 1 for w in words), sum(not (w[0].isalnum() or w[0] == "_") for w in words), int(again.sum()))
+    shares = (int(kinds[1] + kinds[3]), int(kinds[2] + kinds[3]), int(again.sum()))
     marks = [1 + 64 * i + min(10, math.ceil(-math.log2(c / n))) for i, c in enumerate(shares) if c and n >= 8]
     every = np.unique(np.concatenate([codes, pairs, np.array(marks, dtype=np.uint64) * _MIX[2]]))
     shift = np.uint64(64 - BUCKETS.bit_length() + 1)
@@ -137,11 +142,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
 def weighted(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", keep: float | None = None, seed: int = SEED, drop_columns: bool = False) -> DataFrame:
     """docs with log_weight and gumbel_key; with keep, only the rows whose key is at least that. No shuffle.
 
-    The noise is a hash of seed, id and row_id(), the same in every pass. With drop_columns only id, log_weight and key come back.
+    The noise is a hash of seed, id and text, the same in every pass; rows that repeat have equal keys. With drop_columns only id, log_weight and key come back.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("log_weight", "gumbel_key")]
-    source = docs.select(*(docs[f"`{c}`"] for c in kept), F.xxhash64(F.lit(seed), docs[f"`{id_column}`"], row_id()).alias("__noise"))
+    source = docs.select(*(docs[f"`{c}`"] for c in kept), F.xxhash64(F.lit(seed), docs[f"`{id_column}`"], docs[f"`{text_column}`"]).alias("__noise"))
     place = kept.index(text_column)
     out = [kept.index(id_column)] if drop_columns else list(range(len(kept)))
 
@@ -209,8 +214,8 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, id_colum
 
     k: how many rows to sample (rows that tie with the last all stay); None: as many as have a log weight of 0 or more,
     that is as the calibrated threshold accepts. labels: doc_id, quality, toxic. Null and empty texts and texts without
-    words are never sampled (their weight is minus infinity). Without labels all other texts are. Repeated rows are rows of
-    their own. An empty table gives an empty sample. Columns of the new names are replaced, all others stay.
+    words are never sampled (their weight is minus infinity). Without labels all other texts are. Repeated rows tie:
+    all or none are sampled. An empty table gives an empty sample. Columns of the new names are replaced, all others stay.
     """
     bare = fit(docs, labels, id_column, text_column)
     first = written(weighted(docs, bare, id_column, text_column, seed=seed, drop_columns=True).withColumnRenamed(id_column, "id"), "weights")
@@ -222,5 +227,9 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, id_colum
         k = keys.where("w >= 0").count()
     # keys are compared as they were written, before the threshold is taken off, so that both passes see equal numbers
     cut = kth_largest(first, "gumbel_key", k)
-    found = weighted(docs, bare, id_column, text_column, keep=cut if math.isfinite(cut) else (math.inf if cut > 0 else -1e300), seed=seed, drop_columns=drop_columns)
+    keep = cut if math.isfinite(cut) else math.inf if cut > 0 else -1e300
+    if drop_columns:
+        found = first.where(F.col("gumbel_key") >= keep).withColumnRenamed("id", id_column)
+    else:  # another pass over the texts takes less than a shuffle of them
+        found = weighted(docs, bare, id_column, text_column, keep=keep, seed=seed)
     return found.withColumn("log_weight", F.col("log_weight") - threshold)
