@@ -164,12 +164,16 @@ def write(df: DataFrame, folder: str, id_column: str = "page_id", url_column: st
     null url gives no target. An empty table gives no bundle. What is shuffled to find equal payloads are digests; the rows
     themselves are joined with the revisits alone, so where these are few enough to broadcast, payloads are never shuffled.
     """
-    source = df.select(row_id().alias("row"), F.col(id_column).cast("bigint").alias("id"), F.col(url_column).alias("url"), F.coalesce(F.col(payload_column).cast("binary"), F.lit(b"")).alias("payload"))
-    prints = written(source.select("row", "id", F.unhex(F.sha2("payload", 256)).alias("print"), F.octet_length("payload").alias("size")), "payloads")
+    payload = F.coalesce(F.col(payload_column).cast("binary"), F.lit(b""))
+    rows = df.select(row_id().alias("row"), F.col(id_column).cast("bigint").alias("id"), F.col(url_column).alias("url"), payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("print"), F.octet_length(payload).alias("size"))
+    # Written, because row numbers hold for one reading of df only: a plan with a shuffle may deal its rows otherwise the next time.
+    source = written(rows, "rows", compression="zstd")
+    prints = source.select("row", "id", "print", "size")
     by_id = F.struct(F.col("id").isNotNull().alias("named"), "id", "row")
     repeated = written(prints.where(F.col("size") >= min_revisit_bytes).groupBy("print", "size").agg(F.count("*").alias("n"), F.max(by_id).alias("kept")).where("n > 1").drop("n"), "repeated")
-    revisits = prints.join(repeated, ["print", "size"]).where("row != kept.row").select("row", F.col("kept.id").alias("to_id"), F.col("kept.row").alias("to_row"))
-    told = source.join(revisits, "row", "left")
+    # Written, so that its size is known and a small one is broadcast: then no payload is shuffled.
+    revisits = written(prints.join(repeated, ["print", "size"]).where("row != kept.row").select("row", F.col("kept.id").alias("to_id"), F.col("kept.row").alias("to_row")), "revisits")
+    told = source.select("row", "id", "url", "payload").join(revisits, "row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle, done = None, []
