@@ -194,3 +194,25 @@ def require_none(rows: DataFrame, message: str) -> None:
     first = rows.limit(1).collect()
     if first:
         raise ValueError(f"{message}: {first[0].asDict()}")
+
+
+def merged_sources(rows: DataFrame) -> DataFrame:
+    """source_sha256, slugs, paths, groups, issue of rows (source_sha256, declared_sha256, slug, image_path, leakage_group): rows of the same bytes are one.
+
+    hash_mismatch: a declared checksum isn't the bytes' own; conflicting_labels: the same bytes under several slugs.
+    """
+    wrong = F.col("declared_sha256").isNotNull() & (F.lower("declared_sha256") != F.col("source_sha256"))
+    found = rows.groupBy("source_sha256").agg(
+        F.array_sort(F.collect_set("slug")).alias("slugs"), F.array_sort(F.collect_set("image_path")).alias("paths"), F.array_sort(F.collect_set(F.nullif("leakage_group", F.lit("")))).alias("groups"), F.bool_or(wrong).alias("__w")
+    )
+    return found.withColumn("issue", F.when(F.col("__w"), "hash_mismatch").when(F.size("slugs") > 1, "conflicting_labels")).drop("__w")
+
+
+def reference_reasons(rows: DataFrame, min_side: int) -> DataFrame:
+    """rows with reason, why a reference can't be trained on (null: it can): the first of missing, not_ready, unsafe_path, unreadable, too_small, conflicting_bytes."""
+    many = one_to_many(rows, F.col("sha256"), F.col("slug")).select(F.col("key").alias("sha256"), F.lit(True).alias("__many"))
+    reason = (
+        F.when(F.coalesce("image_path", F.lit("")) == "", "missing").when(~F.coalesce("index_ready", F.lit(False)), "not_ready").when(~T.safe_path(F.col("image_path")), "unsafe_path")
+        .when(F.col("width").isNull() | F.col("height").isNull(), "unreadable").when(F.least("width", "height") < min_side, "too_small").when(F.coalesce("__many", F.lit(False)), "conflicting_bytes")
+    )
+    return rows.join(many, "sha256", "left").withColumn("reason", reason).drop("__many")

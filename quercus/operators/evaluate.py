@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quercus.functions import text as T
+from quercus.functions.tables import written
+
 
 def joined(truth: DataFrame, predictions: DataFrame, key: str = "query_id") -> DataFrame:
     """Every truth row with its prediction; a missing one is wrong (correct is null-safe)."""
@@ -54,8 +57,9 @@ def floor_rank(rows: DataFrame, value: str, by: list[str], share: float = 0.95)
 
 def confidence_halves(rows: DataFrame, confidence: str, tie: str) -> DataFrame:
     """half, n, accuracy: the floor(n / 2) most confident rows, and the others."""
-    placed = rows.withColumns({"__n": F.row_number().over(Window.orderBy(F.desc(confidence), F.asc(tie))), "__of": F.count("*").over(Window.partitionBy())})
-    half = F.when(F.col("__n") <= F.floor(F.col("__of") / 2), "top").otherwise("bottom")
+    placed = places(rows.withColumn("__order", F.struct(-F.col(confidence), tie)), "__order")
+    total = placed.count()
+    half = F.when(F.col("place") <= total // 2, "top").otherwise("bottom")
     return placed.groupBy(half.alias("half")).agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
 
 
@@ -95,8 +99,6 @@ def out_of_order(truth: DataFrame, predictions: DataFrame, key: str, position: s
 def places(rows: DataFrame, position: str) -> DataFrame:
     """rows with place (from 1) by position, by counts of ranges and places within them."""
     ranges = rows.repartitionByRange(F.col(position)).withColumn("__part", F.spark_partition_id())
-    from quercus.functions.tables import written
-
     fixed = written(ranges, "ranges")
     sizes = fixed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
@@ -129,8 +131,6 @@ def status(found: DataFrame) -> DataFrame:
 
 def prediction_checks(latest: str = "latency_ms") -> dict[str, Column]:
     """Checks of one prediction row: query_id, image_path, image_sha256, predicted_slug, latency_ms."""
-    from quercus.functions import text as T
-
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     return {
         "invalid_prediction_query_id": blank(F.col("query_id")) | ~F.coalesce(F.col("query_id"), F.lit("")).rlike("^[A-Za-z0-9._:-]+$"),
@@ -177,3 +177,24 @@ def report(metrics: dict, found: list[dict]) -> str:
     if found:
         lines += ["", "| Level | Code | Rows |", "| --- | --- | ---: |", *(f"| {i['level']} | {i['code']} | {i['n']} |" for i in found)]
     return "\n".join(lines) + "\n"
+
+
+def parsed_response(body: Column) -> Column:
+    """slug and error of a prediction service's answer: slug, predicted_slug or wine.slug of a JSON object; anything else is invalid_response."""
+    field = lambda path: F.get_json_object(body, path)
+    slug = T.first_filled(field("$.slug"), field("$.predicted_slug"), field("$.wine.slug"))
+    whole = F.coalesce(F.ltrim(body).startswith("{"), F.lit(False)) & F.try_parse_json(body).isNotNull()
+    return F.struct(F.when(whole, slug).alias("slug"), F.when(~whole | (slug.isNull() & field("$.error.code").isNull()), "invalid_response").otherwise(field("$.error.code")).alias("error"))
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """One row: n, labelled, predicted, matched, known, schema_valid, checked (all by columns expected, predicted, known, valid, checked)."""
+    return rows.agg(
+        F.count("*").alias("n"), F.count("expected").alias("labelled"), F.count("predicted").alias("predicted"), F.count_if(F.col("expected").eqNullSafe(F.col("predicted")) & F.col("expected").isNotNull()).alias("matched"),
+        F.count_if("known").alias("known"), F.count_if("valid").alias("schema_valid"), F.count_if("checked").alias("checked"),
+    )
+
+
+def retrieval_by_scene(rows: DataFrame) -> DataFrame:
+    """scene, n, top1, top5 from rows (scene, place: the true label's place among unique labels, null: none)."""
+    return rows.groupBy("scene").agg(F.count("*").alias("n"), F.count_if(F.col("place") == 1).alias("top1"), F.count_if(F.col("place") <= 5).alias("top5"))

@@ -128,3 +128,13 @@ def split_weights(text: str) -> dict[str, float]:
     if abs(sum(out.values()) - 1) > 1e-9:
         raise ValueError(f"split weights must sum to 1: {text}")
     return out
+
+
+def threshold_sweep(scored: DataFrame, steps: int = 99) -> DataFrame:
+    """threshold, kept (share of label 1 at or above), rejected (share of label 0 below), balanced; one pass over p and label."""
+    at = F.explode(F.sequence(F.lit(1), F.lit(steps)))
+    n = scored.agg(F.count_if(F.col("label") == 1).alias("ones"), F.count_if(F.col("label") == 0).alias("zeros"))
+    bins = scored.groupBy(F.least(F.floor(F.col("p") * (steps + 1)), F.lit(steps)).alias("bin")).agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
+    table = n.select("ones", "zeros", at.alias("step")).join(bins, F.col("bin") >= F.col("step"), "left").groupBy("step", "ones", "zeros").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
+    kept, rejected = F.col("a") / F.nullif("ones", F.lit(0)), 1 - F.col("b") / F.nullif("zeros", F.lit(0))
+    return table.select((F.col("step") / (steps + 1)).alias("threshold"), kept.alias("kept"), rejected.alias("rejected"), ((kept + rejected) / 2).alias("balanced"))

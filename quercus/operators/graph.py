@@ -98,3 +98,11 @@ def bucket_pairs(rows: DataFrame, row_id: str, bucket: Column, weight: float, re
 
 def oversized_buckets(rows: DataFrame, row_id: str, bucket: Column, most: int) -> DataFrame:
     return rows.select(F.col(row_id).alias("id"), bucket.alias("bucket")).where("bucket is not null").distinct().groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most)
+
+
+def cluster_report(items: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """One row: items, covered (in some pair), fraction (6 digits), and pairs by reason as a map."""
+    covered = pairs.select(F.col("a").alias(key)).union(pairs.select(F.col("b").alias(key))).distinct()
+    reasons = pairs.groupBy("reason").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("by_reason"))
+    counts = items.select(key).distinct().join(covered.withColumn("__c", F.lit(1)), key, "left").agg(F.count("*").alias("items"), F.count("__c").alias("covered"))
+    return counts.crossJoin(reasons).select("items", "covered", F.round(F.col("covered") / F.nullif("items", F.lit(0)), 6).alias("fraction"), "by_reason")
