@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quercus.functions.tables import written
+
 
 def scales(rows: DataFrame, features: list[str]) -> dict[str, float]:
     """Population deviation of each feature; 1 where it doesn't vary."""
@@ -24,12 +26,13 @@ def conditional_logit(rows: DataFrame, features: list[str], query: str = "query_
     scale = scales(rows, features)
     usable = rows.join(rows.groupBy(query).agg(F.sum(label).alias("__n")).where("__n = 1").select(query), query, "left_semi")
     data = usable.select(query, F.col(label).cast("double").alias("y"), F.array(*(F.col(f).cast("double") / scale[f] for f in features)).alias("x")).groupBy(query).agg(F.collect_list(F.struct("y", "x")).alias("g")).select("g")
+    data = written(data, "groups")  # read once for each step
     d, w = len(features), np.zeros(len(features))
     for _ in range(steps):
         now = w.copy()
 
         def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            total, n = np.zeros(d + d * d), 0
+            total = np.zeros(d + d * d + 1)
             for batch in batches:
                 for g in batch.column(0).to_pylist():
                     x = np.array([r["x"] for r in g])
@@ -39,17 +42,16 @@ def conditional_logit(rows: DataFrame, features: list[str], query: str = "query_
                     p /= p.sum()
                     mean = p @ x
                     total[:d] += mean - y @ x
-                    total[d:] += ((x * p[:, None]).T @ x - np.outer(mean, mean)).ravel()
-                    n += 1
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()]), pa.array([n], pa.int64())], names=["s", "n"])
-
-        parts = data.mapInArrow(run, "s array<double>, n bigint")
-        got = parts.select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
-        n = parts.agg(F.sum("n")).first()[0] or 1
-        sums = np.zeros(d + d * d)
+                    total[d:-1] += ((x * p[:, None]).T @ x - np.outer(mean, mean)).ravel()
+                    total[-1] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], names=["s"])
+
+        got = data.mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+        sums = np.zeros(d + d * d + 1)
         for r in got:
             sums[r["i"]] = r["v"]
-        step = np.linalg.solve(sums[d:].reshape(d, d) / n + 2 * l2 * np.eye(d), sums[:d] / n + 2 * l2 * w)
+        n = sums[-1] or 1.0
+        step = np.linalg.solve(sums[d:-1].reshape(d, d) / n + 2 * l2 * np.eye(d), sums[:d] / n + 2 * l2 * w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
