@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,6 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     own = getattr(spark.sparkContext, "_quercus_dir", None)
     if own is None:
         own = spark.sparkContext._quercus_dir = tempfile.mkdtemp(prefix="quercus-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
     return own
 
 
