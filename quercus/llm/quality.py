@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quercus.llm.common import written
+from quercus.llm.common import forget, written
 
 #: Buckets of each of the two tables; smoothing; standard errors below which a ratio is chance.
 BUCKETS, SMOOTH, Z = 1 << 18, 4.0, 4.0
@@ -232,4 +232,5 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, id_colum
         found = first.where(F.col("gumbel_key") >= keep).withColumnRenamed("id", id_column)
     else:  # another pass over the texts takes less than a shuffle of them
         found = weighted(docs, bare, id_column, text_column, keep=keep, seed=seed)
+        forget(first)
     return found.withColumn("log_weight", F.col("log_weight") - threshold)

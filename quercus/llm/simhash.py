@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quercus.llm.common import components, row_id, utf8, written
+from quercus.llm.common import components, forget, row_id, utf8, written
 
 SEED = 42
 #: Members of a list up to which its pairs are compared in blocks; longer lists look up the neighbours of each member.
@@ -99,8 +99,8 @@ def _classes(fps: np.ndarray, sketches: np.ndarray, fewest: int) -> tuple[list[i
     return leaders, out
 
 
-def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
-    """Links a, b between fingerprints (fp, sketch) whose sketches agree in as many bytes as the similarity lets expect.
+def similar_links(distinct: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links a, b between fingerprints (fp, sketch) whose sketches agree in as many bytes as the similarity lets expect; and the written table that they are read from.
 
     Before the shuffle each task makes classes of what it holds in a list and sends on one leader for each; a list thus
     gets as many rows as there are tasks and classes, however many near copies a text has. Which member leads depends on
@@ -151,7 +151,7 @@ def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
 
     postings = written(distinct.where("sketch is not null").select("fp", "sketch").mapInArrow(combine, "key bigint, a bigint, sketch binary, b bigint"), "postings")
     lists = postings.where("key is not null").groupBy("key").agg(F.collect_list(F.struct("a", "sketch")).alias("members")).where(F.size("members") > 1)
-    return postings.where("key is null").select("a", "b").union(lists.select("key", "members").mapInArrow(compare, "a bigint, b bigint"))
+    return postings.where("key is null").select("a", "b").union(lists.select("key", "members").mapInArrow(compare, "a bigint, b bigint")), postings
 
 
 def _flips(free: list[int], d: int) -> np.ndarray:
@@ -229,11 +229,16 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     prints = written(fingerprints(df, id_column, text_column, k, similarity is not None), "fingerprints")
     by_id = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     distinct = written(prints.groupBy("fp").agg(F.min(by_id).alias("least"), F.min("sketch").alias("sketch")), "distinct")
-    found = links(distinct, "fp", max_bits)
-    classes = written(components(found if similarity is None else found.union(similar_links(distinct, similarity)), "a", "b"), "classes")
+    found, done = links(distinct, "fp", max_bits), []
+    if similarity is not None:
+        similar, postings = similar_links(distinct, similarity)
+        found, done = found.union(similar), [postings]
+    classes = written(components(found, "a", "b"), "classes")
     least = written(classes.join(distinct, classes.node == distinct.fp).groupBy("root").agg(F.min("least").alias("of_class")), "least")
     linked = written(classes.join(least, "root").select(F.col("node").alias("fp"), "of_class"), "linked")
     labels = written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("of_class", "least").alias("least")), "labels")
+    for table in (*done, distinct, classes, least, linked):
+        forget(table)
     return prints.join(labels, "fp").select(
         "row",
         prints.id,

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quercus.llm.common import row_id, scratch, utf8, written
+from quercus.llm.common import forget, row_id, scratch, written
 from quercus.llm.files import Source, attempt_file, create
 
 #: Fixed values of the zstd seekable format and of the index frame beside it.
@@ -195,7 +195,10 @@ def write(df: DataFrame, folder: str, id_column: str = "page_id", url_column: st
             done.append(bundle)
         yield pa.RecordBatch.from_arrays([pa.array([getattr(b, a) for b in done], k) for a, k in (("uri", pa.string()), ("records", pa.int64()), ("size", pa.int64()))], names=["path", "records", "n_bytes"])
 
-    return written(told.select("row", "id", "url", "payload", "to_id", "to_row").mapInArrow(run, "path string, records bigint, n_bytes bigint"), "manifest")
+    manifest = written(told.select("row", "id", "url", "payload", "to_id", "to_row").mapInArrow(run, "path string, records bigint, n_bytes bigint"), "manifest")
+    forget(source)
+    forget(revisits)
+    return manifest
 
 
 def read_back(manifest: DataFrame, keep_payload: bool = False) -> DataFrame:
