@@ -6,37 +6,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quercus.functions import text as T
+from quercus.functions.tables import written
 from quercus.functions.unicode import ratio
 
 FIELDS = ["name", "category", "color", "region", "grapes", "description", "winery", "slug", "photo_name"]
 
 
 def deduplicated(rows: DataFrame, columns: list[str], position: str) -> DataFrame:
-    """Rows that agree in all columns once, with source_rows (sorted positions)."""
-    return rows.groupBy(*columns).agg(F.array_sort(F.collect_list(position)).alias("source_rows"))
+    """Rows that agree in all columns once, with source_row (the first position) and n_rows. provenance() has the other positions as rows of their own: a record may stand for a third of a table, too many for a list."""
+    return rows.groupBy(*columns).agg(F.min(position).alias("source_row"), F.count("*").alias("n_rows"))
 
 
-def cleaned(rows: DataFrame, columns: list[str], position: str) -> DataFrame:
-    """Rows with cleaned values, once each, with source_rows and raw_overrides (as the first row had the values that cleaning changed)."""
+def provenance(rows: DataFrame, records: DataFrame, columns: list[str], position: str) -> DataFrame:
+    """source_row (of the record), position for every row. records: deduplicated(), as a written table, so that AQE can split what one record stands for."""
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return rows.alias("a").join(records.alias("b"), same).select("b.source_row", F.col(f"a.{position}").alias("position"))
+
+
+def cleaned(rows: DataFrame, columns: list[str], position: str) -> tuple[DataFrame, DataFrame]:
+    """Records: rows with cleaned values, once each, with source_row, n_rows and raw_overrides (as the first row had the values that cleaning changed); and all cleaned rows, for provenance()."""
     tidy = rows.select(position, *(F.col(c).alias(f"__{c}") for c in columns), *(T.clean(F.col(c)).alias(c) for c in columns))
     changed = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(c).alias("key"), F.when(F.coalesce(F.col(f"__{c}"), F.lit("")) != F.col(c), F.col(f"__{c}")).alias("value")) for c in columns)), lambda e: e["value"].isNotNull()))
-    return tidy.withColumn("__o", changed).groupBy(*columns).agg(F.array_sort(F.collect_list(position)).alias("source_rows"), F.min_by("__o", position).alias("raw_overrides"))
+    records = tidy.withColumn("__o", changed).groupBy(*columns).agg(F.min(position).alias("source_row"), F.count("*").alias("n_rows"), F.min_by("__o", position).alias("raw_overrides"))
+    return records, tidy.select(position, *columns)
 
 
 def duplicate_statistics(records: DataFrame) -> DataFrame:
-    n = F.size("source_rows")
+    n = F.col("n_rows")
     return records.agg(F.sum(n).cast("bigint").alias("n_rows"), F.count("*").alias("n_unique"), (F.sum(n) - F.count("*")).cast("bigint").alias("n_removed"), F.count_if(n > 1).alias("n_groups"))
 
 
 def one_to_many(records: DataFrame, key: Column, value: Column) -> DataFrame:
-    """key, members (sorted) of keys that have more than one value; blank keys don't count."""
-    return records.select(key.alias("key"), value.alias("value")).where((F.col("key") != "") & F.col("value").isNotNull()).groupBy("key").agg(F.array_sort(F.collect_set("value")).alias("members")).where(F.size("members") > 1)
+    """key, member: the values of each key that has more than one, a row for each; blank keys and null values don't count."""
+    pairs = records.select(key.alias("key"), value.alias("member")).where((F.col("key") != "") & F.col("member").isNotNull()).distinct()
+    many = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return pairs.join(many, "key", "left_semi")
 
 
-def missing_fields(records: DataFrame, columns: list[str], key: str, rows: Column) -> DataFrame:
-    """field, n_missing, n_source_rows, keys: what is blank or null. One pass over the records."""
+def missing_rows(records: DataFrame, columns: list[str], key: str, rows: Column) -> DataFrame:
+    """field, key, rows: a row for each value that is blank or null. One pass over the records."""
     entry = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), (F.coalesce(F.col(c).cast("string"), F.lit("")) == "").alias("gone")) for c in columns)))
-    return records.select(key, rows.alias("rows"), entry.alias("e")).where("e.gone").groupBy(F.col("e.field").alias("field")).agg(F.count("*").alias("n_missing"), F.sum("rows").cast("bigint").alias("n_source_rows"), F.array_sort(F.collect_list(key)).alias("keys"))
+    return records.select(F.col(key).alias("key"), rows.alias("rows"), entry.alias("e")).where("e.gone").select(F.col("e.field").alias("field"), "key", "rows")
+
+
+def missing_fields(records: DataFrame, columns: list[str], key: str, rows: Column) -> DataFrame:
+    """field, n_missing, n_source_rows."""
+    return missing_rows(records, columns, key, rows).groupBy("field").agg(F.count("*").alias("n_missing"), F.sum("rows").cast("bigint").alias("n_source_rows"))
 
 
 def counters(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -122,9 +139,9 @@ def merged(official: DataFrame, web: DataFrame, key: str) -> DataFrame:
     return left.join(right, key, "full_outer").withColumn("origin", origin).drop("__o")
 
 
-def owners(rows: DataFrame, item: str, owner: str) -> DataFrame:
-    """item, owners (sorted set), for items that aren't null or blank."""
-    return rows.where(F.coalesce(F.col(item), F.lit("")) != "").groupBy(item).agg(F.array_sort(F.collect_set(owner)).alias("owners"))
+def sole_owners(rows: DataFrame, item: str, owner: str) -> DataFrame:
+    """item, owner of items (not null or blank) that have one owner only."""
+    return rows.where(F.coalesce(F.col(item), F.lit("")) != "").groupBy(item).agg(F.min(owner).alias(owner), F.max(owner).alias("__last")).where(F.col(owner) == F.col("__last")).drop("__last")
 
 
 def recoverable(official: DataFrame, web: DataFrame, hashes: DataFrame, assets: DataFrame) -> DataFrame:
@@ -133,11 +150,10 @@ def recoverable(official: DataFrame, web: DataFrame, hashes: DataFrame, assets:
     Not ready, media ambiguous or unresolved, picture verified, same name and winery (folded, not blank), an upload, and
     neither its bytes (hashes: slug, sha256) nor its asset (assets: slug, asset) belongs to another slug.
     """
-    sole = lambda rows, item: owners(rows, item, "slug").where(F.size("owners") == 1).select(item, F.get("owners", 0).alias("slug"))
     o = official.where("not index_ready and media_status in ('ambiguous', 'unresolved')").select("slug", T.identity(F.col("name")).alias("name"), T.identity(F.col("winery")).alias("winery"))
     w = web.where("image_sha256 is not null and source_image_path like '%/uploads/%'").select("slug", T.identity(F.col("name")).alias("name"), T.identity(F.col("winery")).alias("winery"), F.col("image_sha256").alias("sha256"), F.col("source_image_path").alias("asset"))
     same = o.join(w, ["slug", "name", "winery"]).where("name != '' and winery != ''")
-    return same.join(sole(hashes, "sha256"), ["slug", "sha256"], "left_semi").join(sole(assets, "asset"), ["slug", "asset"], "left_semi").select("slug")
+    return same.join(sole_owners(hashes, "sha256", "slug"), ["slug", "sha256"], "left_semi").join(sole_owners(assets, "asset", "slug"), ["slug", "asset"], "left_semi").select("slug")
 
 
 def references(candidates: DataFrame, shared: DataFrame, ready: DataFrame) -> DataFrame:
@@ -148,7 +164,8 @@ def references(candidates: DataFrame, shared: DataFrame, ready: DataFrame) -> Da
 
 def quarantined(rows: DataFrame, item: str, owner: str) -> DataFrame:
     """rows with shared: whether another owner has the same item. All owners are marked, not all but one."""
-    many = rows.where(F.col(item).isNotNull()).groupBy(item).agg(F.count_distinct(owner).alias("__n"))
+    many = rows.where(F.col(item).isNotNull()).groupBy(item, owner).agg(F.lit(1).alias("__n")).groupBy(item).agg(F.count(owner).alias("__n"))
+    many = written(many, "owners")  # a plain join side: AQE can split an item with many rows
     return rows.join(many, item, "left").withColumn("shared", F.coalesce(F.col("__n") > 1, F.lit(False))).drop("__n")
 
 
@@ -170,7 +187,7 @@ def alias_issues(aliases: DataFrame, catalogue: DataFrame) -> DataFrame:
     known = catalogue.groupBy("slug").agg(F.count("*").alias("n"))
     checked = aliases.join(known, "slug", "left").select("slug", "alias", F.when(F.col("n").isNull(), "missing_target").when(F.col("n") > 1, "ambiguous_target").alias("issue")).where("issue is not null")
     texts = aliases.withColumn("q", T.query_text(F.col("alias")))
-    many = one_to_many(texts, F.col("q"), F.col("slug")).select(F.col("key").alias("q"))
+    many = one_to_many(texts, F.col("q"), F.col("slug")).select(F.col("key").alias("q")).distinct()
     return checked.unionByName(texts.join(many, "q", "left_semi").select("slug", "alias", F.lit("alias_collision").alias("issue")))
 
 
@@ -197,20 +214,18 @@ def require_none(rows: DataFrame, message: str) -> None:
 
 
 def merged_sources(rows: DataFrame) -> DataFrame:
-    """source_sha256, slugs, paths, groups, issue of rows (source_sha256, declared_sha256, slug, image_path, leakage_group): rows of the same bytes are one.
+    """source_sha256, slug (the first by name), n_slugs, n_rows, issue of rows (source_sha256, declared_sha256, slug): rows of the same bytes are one.
 
     hash_mismatch: a declared checksum isn't the bytes' own; conflicting_labels: the same bytes under several slugs.
     """
     wrong = F.col("declared_sha256").isNotNull() & (F.lower("declared_sha256") != F.col("source_sha256"))
-    found = rows.groupBy("source_sha256").agg(
-        F.array_sort(F.collect_set("slug")).alias("slugs"), F.array_sort(F.collect_set("image_path")).alias("paths"), F.array_sort(F.collect_set(F.nullif("leakage_group", F.lit("")))).alias("groups"), F.bool_or(wrong).alias("__w")
-    )
-    return found.withColumn("issue", F.when(F.col("__w"), "hash_mismatch").when(F.size("slugs") > 1, "conflicting_labels")).drop("__w")
+    found = rows.groupBy("source_sha256", "slug").agg(F.count("*").alias("n"), F.bool_or(wrong).alias("w")).groupBy("source_sha256").agg(F.min("slug").alias("slug"), F.count("slug").alias("n_slugs"), F.sum("n").alias("n_rows"), F.bool_or("w").alias("__w"))
+    return found.withColumn("issue", F.when(F.col("__w"), "hash_mismatch").when(F.col("n_slugs") > 1, "conflicting_labels")).drop("__w")
 
 
 def reference_reasons(rows: DataFrame, min_side: int) -> DataFrame:
     """rows with reason, why a reference can't be trained on (null: it can): the first of missing, not_ready, unsafe_path, unreadable, too_small, conflicting_bytes."""
-    many = one_to_many(rows, F.col("sha256"), F.col("slug")).select(F.col("key").alias("sha256"), F.lit(True).alias("__many"))
+    many = one_to_many(rows, F.col("sha256"), F.col("slug")).select(F.col("key").alias("sha256")).distinct().withColumn("__many", F.lit(True))
     reason = (
         F.when(F.coalesce("image_path", F.lit("")) == "", "missing").when(~F.coalesce("index_ready", F.lit(False)), "not_ready").when(~T.safe_path(F.col("image_path")), "unsafe_path")
         .when(F.col("width").isNull() | F.col("height").isNull(), "unreadable").when(F.least("width", "height") < min_side, "too_small").when(F.coalesce("__many", F.lit(False)), "conflicting_bytes")

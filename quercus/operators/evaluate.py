@@ -43,16 +43,31 @@ def slices(rows: DataFrame, group: str) -> DataFrame:
     return rows.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("group")).agg(F.count("*").alias("n"), F.avg(correct.cast("double")).alias("accuracy"), F.count_distinct("expected").alias("n_expected")).withColumn("hard", F.col("n_expected") >= 2)
 
 
+def _at(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """rows with a value, with place in their group (from 1) and __of, the group's size; groups that aren't null."""
+    some = rows.where(F.col(value).isNotNull()).select(*by, value)
+    placed = places(some, value, by)
+    sizes = some.groupBy(*by).agg(F.count("*").alias("__of"), F.max(value).alias("__max"))
+    return placed.join(sizes, by) if by else placed.crossJoin(sizes)  # without groups sizes is one row
+
+
 def percentiles(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Exact interpolated p50 and p95, maximum and count."""
-    return rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.expr(f"percentile({value}, 0.5)").alias("p50"), F.expr(f"percentile({value}, 0.95)").alias("p95"), F.max(value).alias("max"), F.count("*").alias("n"))
+    """Exact interpolated p50 and p95, maximum and count. Places come from ranges of values, so that a large group isn't one task's work."""
+    placed = _at(rows, value, by)
+    spot = lambda q: q * (F.col("__of") - 1)
+    at = lambda n: F.max(F.when(F.col("place") == n + 1, F.col(value)))
+    near = F.lit(False)
+    for q in (0.5, 0.95):
+        near = near | F.col("place").isin(F.floor(spot(q)) + 1, F.ceil(spot(q)) + 1)
+    found = placed.where(near).groupBy(*by, "__of", "__max").agg(*(at(f(spot(q))).alias(f"__{n}{i}") for i, q in enumerate((0.5, 0.95)) for n, f in (("a", F.floor), ("b", F.ceil))))
+    between = lambda i, q: F.col(f"__a{i}") + (spot(q) - F.floor(spot(q))) * (F.col(f"__b{i}") - F.col(f"__a{i}"))
+    return found.select(*by, between(0, 0.5).alias("p50"), between(1, 0.95).alias("p95"), F.col("__max").alias("max"), F.col("__of").alias("n"))
 
 
 def floor_rank(rows: DataFrame, value: str, by: list[str], share: float = 0.95) -> DataFrame:
-    """The value at place floor(share (n - 1)) from 0, without collecting a group."""
-    over = Window.partitionBy(*by)
-    placed = rows.where(F.col(value).isNotNull()).withColumns({"__n": F.row_number().over(over.orderBy(value)), "__of": F.count("*").over(over)})
-    return placed.where(F.col("__n") == F.floor(share * (F.col("__of") - 1)) + 1).select(*by, F.col(value).alias("p95"), F.col("__of").alias("n"))
+    """The value at place floor(share (n - 1)) from 0."""
+    placed = _at(rows, value, by)
+    return placed.where(F.col("place") == F.floor(share * (F.col("__of") - 1)) + 1).select(*by, F.col(value).alias("p95"), F.col("__of").alias("n"))
 
 
 def confidence_halves(rows: DataFrame, confidence: str, tie: str) -> DataFrame:
@@ -96,14 +111,20 @@ def out_of_order(truth: DataFrame, predictions: DataFrame, key: str, position: s
     return a.join(b, key).where("place_a != place_b")
 
 
-def places(rows: DataFrame, position: str) -> DataFrame:
-    """rows with place (from 1) by position, by counts of ranges and places within them."""
-    ranges = rows.repartitionByRange(F.col(position)).withColumn("__part", F.spark_partition_id())
-    fixed = written(ranges, "ranges")
-    sizes = fixed.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inner = F.row_number().over(Window.partitionBy("__part").orderBy(position))
-    return fixed.withColumn("__in", inner).join(before, "__part").withColumn("place", (F.col("__before") + F.col("__in")).cast("bigint")).drop("__part", "__in", "__before")
+def places(rows: DataFrame, position: str, by: list[str] | None = None) -> DataFrame:
+    """rows with place (from 1, in each group of by) by position, from counts of ranges and places within them; rows that tie stand in any order."""
+    by = by or []
+    tied = rows.withColumn("__tie", F.monotonically_increasing_id())  # parts ranges even where many rows tie
+    fixed = written(tied.repartitionByRange(*by, position, "__tie").withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = fixed.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
+    over = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = sizes.select(*by, "__part", F.coalesce(F.sum("__n").over(over), F.lit(0)).alias("__before"))
+    inner = fixed.withColumn("__in", F.row_number().over(Window.partitionBy(*by, "__part").orderBy(position, "__tie")))
+    a, b = inner.alias("a"), before.alias("b")
+    same = F.col("a.__part") == F.col("b.__part")
+    for c in by:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return a.join(b, same).select(*(F.col(f"a.{c}") for c in rows.columns), (F.col("__before") + F.col("__in")).cast("bigint").alias("place"))
 
 
 # The codes of the issues and how serious they are.

@@ -29,13 +29,13 @@ def reference_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT sha256(text) AS source_sha256, array_to_string(list_sort(list(DISTINCT source)), ',') AS slugs, array_to_string(list_sort(list(DISTINCT lang)), ',') AS groups,
+    """SELECT sha256(text) AS source_sha256, min(source) AS slug, count(DISTINCT source) AS n_slugs, count(*) AS n_rows,
 CASE WHEN bool_or(doc_id % 97 = 0) THEN 'hash_mismatch' WHEN count(DISTINCT source) > 1 THEN 'conflicting_labels' END AS issue FROM documents GROUP BY text"""
 )
 def source_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = hashing.sha256("text")
-    rows = read(spark, sf_dir, "documents").select(h.alias("source_sha256"), F.when(F.col("doc_id") % 97 == 0, "0").otherwise(F.upper(h)).alias("declared_sha256"), F.col("source").alias("slug"), F.lit("p").alias("image_path"), F.col("lang").alias("leakage_group"))
-    return catalog.merged_sources(rows).select("source_sha256", F.array_join("slugs", ",").alias("slugs"), F.array_join("groups", ",").alias("groups"), "issue")
+    rows = read(spark, sf_dir, "documents").select(h.alias("source_sha256"), F.when(F.col("doc_id") % 97 == 0, "0").otherwise(F.upper(h)).alias("declared_sha256"), F.col("source").alias("slug"))
+    return catalog.merged_sources(rows)
 
 
 @query(f"{BLOCKED} SELECT b.doc_id FROM b JOIN documents d ON b.doc_id = d.doc_id WHERE b.blockers <> CASE WHEN lang <> 'en' THEN 'foreign' ELSE '' END")

@@ -20,31 +20,47 @@ def _table(name: str):
 documents, labels, part, lineitem, orders, events, pages = map(_table, ("documents", "labels", "part", "lineitem", "orders", "events", "pages"))
 
 
-@query("SELECT sha256(coalesce(text, '')) AS text_sha256, list_sort(list(doc_id)) AS source_rows FROM documents GROUP BY text")
+def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", hashing.sha256(F.coalesce("text", F.lit(""))).alias("text_sha256"))
+
+
+@query("SELECT min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS source_row, doc_id AS position FROM documents")
 def exact_dedup_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir).select("doc_id", hashing.sha256(F.coalesce("text", F.lit(""))).alias("text_sha256"))
-    return catalog.deduplicated(d, ["text_sha256"], "doc_id")
+    d = _hashed(spark, sf_dir)
+    records = written(catalog.deduplicated(d, ["text_sha256"], "doc_id"), "records")
+    return catalog.provenance(d, records, ["text_sha256"], "doc_id")
+
 
+@query("SELECT sha256(coalesce(text, '')) AS text_sha256, min(doc_id) AS source_row, count(*) AS n_rows FROM documents GROUP BY coalesce(text, '')")
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.deduplicated(_hashed(spark, sf_dir), ["text_sha256"], "doc_id")
 
-@query("WITH g AS (SELECT count(*) AS n FROM documents GROUP BY text) SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_unique, (sum(n) - count(*))::BIGINT AS n_removed, count(*) FILTER (n > 1) AS n_groups FROM g")
+
+@query("WITH g AS (SELECT count(*) AS n FROM documents GROUP BY coalesce(text, '')) SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_unique, (sum(n) - count(*))::BIGINT AS n_removed, count(*) FILTER (n > 1) AS n_groups FROM g")
 def duplicate_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.duplicate_statistics(exact_dedup_provenance(spark, sf_dir))
+    return catalog.duplicate_statistics(exact_dedup(spark, sf_dir))
 
 
-@query("SELECT p_name AS key, list_sort(list(DISTINCT p_brand)) AS members FROM part WHERE p_name <> '' GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
+@query("SELECT DISTINCT p_name AS key, p_brand AS member FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_name <> '' GROUP BY p_name HAVING count(DISTINCT p_brand) > 1)")
 def conflict_one_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.one_to_many(part(spark, sf_dir), F.col("p_name"), F.col("p_brand"))
 
 
-@query(
-    """WITH j AS (SELECT doc_id, text, lang, source, quality::VARCHAR AS quality, toxic::VARCHAR AS toxic FROM documents LEFT JOIN labels USING (doc_id)),
-u AS (SELECT unnest(['text', 'lang', 'source', 'quality', 'toxic']) AS field, unnest([text, lang, source, quality, toxic]) AS v, doc_id FROM j)
-SELECT field, count(*) AS n_missing, count(*)::BIGINT AS n_source_rows, sha256(array_to_string(list_sort(list(doc_id)), ',')) AS keys_sha256 FROM u WHERE coalesce(v, '') = '' GROUP BY field"""
-)
+_MISSING = """j AS (SELECT doc_id, text, lang, source, quality::VARCHAR AS quality, toxic::VARCHAR AS toxic FROM documents LEFT JOIN labels USING (doc_id)),
+u AS (SELECT unnest(['text', 'lang', 'source', 'quality', 'toxic']) AS field, unnest([text, lang, source, quality, toxic]) AS v, doc_id FROM j)"""
+_FIELDS = ["text", "lang", "source", "quality", "toxic"]
+
+
+@query(f"WITH {_MISSING} SELECT field, count(*) AS n_missing, count(*)::BIGINT AS n_source_rows FROM u WHERE coalesce(v, '') = '' GROUP BY field")
 def missing_field_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = documents(spark, sf_dir).join(labels(spark, sf_dir), "doc_id", "left")
-    found = catalog.missing_fields(j, ["text", "lang", "source", "quality", "toxic"], "doc_id", F.lit(1))
-    return found.select("field", "n_missing", "n_source_rows", hashing.sha256(F.array_join(F.col("keys").cast("array<string>"), ",")).alias("keys_sha256"))
+    return catalog.missing_fields(j, _FIELDS, "doc_id", F.lit(1))
+
+
+@query(f"WITH {_MISSING} SELECT field, doc_id AS key FROM u WHERE coalesce(v, '') = ''")
+def missing_field_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = documents(spark, sf_dir).join(labels(spark, sf_dir), "doc_id", "left")
+    return catalog.missing_rows(j, _FIELDS, "doc_id", F.lit(1)).drop("rows")
 
 
 @query(
@@ -127,7 +143,7 @@ SELECT d.doc_id FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.qu
 )
 def recovery_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir).select("doc_id", "n_chars", hashing.sha256(F.col("text")).alias("h"))
-    sole = catalog.owners(d.select("h", F.col("doc_id").cast("string").alias("owner")), "h", "owner").where(F.size("owners") == 1)
+    sole = catalog.sole_owners(d.select("h", "doc_id"), "h", "doc_id").select("h")
     good = labels(spark, sf_dir).where("quality = 1 and toxic = 0")
     return d.where("n_chars >= 200").join(good, "doc_id", "left_semi").join(sole, "h", "left_semi").select("doc_id")
 

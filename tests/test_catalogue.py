@@ -12,12 +12,14 @@ def test_csv_and_deduplication(spark, tmp_path):
     path.write_text("\ufeff" + "\n".join([header, row.format(slug="wine"), row.format(slug="wine"), row.format(slug="other")]) + "\n", encoding="utf-8")
     rows = readers.catalogue_csv(spark, str(path))
     assert [r.source_row for r in rows.orderBy("source_row").collect()] == [2, 3, 4]
-    found = {r.slug: r for r in catalog.cleaned(rows, catalog.FIELDS, "source_row").collect()}
-    assert found["wine"].source_rows == [2, 3] and found["wine"].name == "Wine" and found["wine"].raw_overrides == {"name": " Wine"}
-    records = spark.createDataFrame(list(found.values()))
+    rows = rows.withColumnRenamed("source_row", "pos")
+    records, tidy = catalog.cleaned(rows, catalog.FIELDS, "pos")
+    found = {r.slug: r for r in records.collect()}
+    assert (found["wine"].source_row, found["wine"].n_rows) == (2, 2) and found["wine"].name == "Wine" and found["wine"].raw_overrides == {"name": " Wine"}
+    assert sorted(map(tuple, catalog.provenance(tidy, records, catalog.FIELDS, "pos").collect())) == [(2, 2), (2, 3), (4, 4)]
     assert catalog.duplicate_statistics(records).first().asDict() == {"n_rows": 3, "n_unique": 2, "n_removed": 1, "n_groups": 1}
-    assert [r.members for r in catalog.one_to_many(records, F.col("photo_name"), F.col("slug")).collect()] == [["other", "wine"]]
-    missing = {r.field: (r.n_missing, r.n_source_rows) for r in catalog.missing_fields(records, catalog.FIELDS, "slug", F.size("source_rows")).collect()}
+    assert sorted(r.member for r in catalog.one_to_many(records, F.col("photo_name"), F.col("slug")).collect()) == ["other", "wine"]
+    missing = {r.field: (r.n_missing, r.n_source_rows) for r in catalog.missing_fields(records, catalog.FIELDS, "slug", F.col("n_rows")).collect()}
     assert missing == {"grapes": (2, 3)}
     path.write_text("a,b\n1,2\n")
     with pytest.raises(Exception, match="unexpected columns"):

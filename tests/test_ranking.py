@@ -93,6 +93,18 @@ def test_metrics(spark):
     assert codes.groupBy("code").count().count() == 2 and codes.count() == 6
 
 
+def test_percentiles_with_ties(spark):
+    import statistics
+
+    rng = np.random.default_rng(2)
+    values = {"a": rng.integers(0, 5, 101).tolist(), "b": [7] * 50, "c": [1.5]}
+    rows = spark.createDataFrame([(g, float(v)) for g, some in values.items() for v in some] + [("a", None)], "g string, v double").repartition(6)
+    got = {r.g: r for r in evaluate.percentiles(rows, "v", ["g"]).collect()}
+    for g, some in values.items():
+        assert (got[g].p50, got[g].max, got[g].n) == (statistics.median(map(float, some)), max(some), len(some))
+        assert math.isclose(got[g].p95, float(np.percentile(some, 95)))
+
+
 def test_known_unknown(spark):
     rows = spark.createDataFrame([(["a"], ["a", "b"], "found"), (["a"], ["b", "a"], "not_found"), ([], ["a"], "not_found"), ([], ["a"], "found")], "accepted array<string>, candidates array<string>, status string")
     r = evaluate.known_unknown(rows).first()
