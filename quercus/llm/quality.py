@@ -4,8 +4,9 @@ Two generative models over hashed word uni- and bigrams, of target texts (labell
 give each document a log importance weight; documents are sampled without replacement by Gumbel top-k.
 
 A feature counts once in a document, so that a text that repeats a word a thousand times says no more about it than any
-other. Its log ratio is ln((t + S) / (e + S)): t target documents have it, e would if the target were like the raw texts. A
-ratio within Z standard errors of chance is none. Each feature has a bucket in two tables, and the ratio nearer to 0 counts:
+other. Its log ratio is ln((t + S) / (e + S)): t target documents have it, e would if the target were like the raw texts. It
+counts only if labels bear it out: of the labelled documents that have the feature, so few are target ones that a
+likelihood-ratio test gives EVIDENCE or more (in nats). Each feature has a bucket in two tables, and the ratio nearer to 0 counts:
 a bucket that other features share by chance doesn't mislead twice. Ratios above 0 don't make up for others: what the target
 never shows stays. So a weight is the sum of what speaks against a document, less a threshold set on held-out labels.
 """
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from quercus.llm.common import forget, written
 
-#: Buckets of each of the two tables; smoothing; standard errors below which a ratio is chance.
-BUCKETS, SMOOTH, Z = 1 << 18, 4.0, 4.0
+#: Buckets of each of the two tables; smoothing; nats of evidence below which a ratio is chance.
+BUCKETS, SMOOTH, EVIDENCE = 1 << 18, 1.0, 10.0
 #: At most so many labelled documents are used (by hash of their ids); of them one in FOLDS sets the threshold.
 MAX_LABELS, FOLDS = 400_000, 4
 #: A good document lost costs as much as so many bad ones kept.
@@ -104,36 +105,43 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     """Counts every document's features; those of the target from the labelled good ones that aren't held out."""
     spark = docs.sparkSession
     known = _labels(labels).toArrow()  # bounded by MAX_LABELS
-    good, held = known["good"].to_numpy(), known["held_out"].to_numpy()
-    target = spark.sparkContext.broadcast(np.sort(known["id"].to_numpy()[good & ~held]))
+    good, held = known["good"].to_numpy(zero_copy_only=False), known["held_out"].to_numpy(zero_copy_only=False)
+    shipped = spark.sparkContext.broadcast((np.sort(known["id"].to_numpy()[~held]), np.sort(known["id"].to_numpy()[good & ~held])))
     source = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, hits = np.zeros(2 * BUCKETS + 1, dtype=np.int64), np.zeros(2 * BUCKETS + 1, dtype=np.int64)
+        labelled, target = shipped.value
+        total = np.zeros((3, 2 * BUCKETS + 1), dtype=np.int64)  # of raw, labelled and target documents
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            is_target = np.isin(np.array([-1 if i is None else i for i in ids], dtype=np.int64), target.value) & np.array([i is not None for i in ids], dtype=bool)
-            held: list[list[np.ndarray]] = [[], []]
-            for t, hit in zip(batch.column(1), is_target.tolist(), strict=True):
+            some = np.array([i is not None for i in ids], dtype=bool)
+            values = np.array([-1 if i is None else i for i in ids], dtype=np.int64)
+            kind = (np.isin(values, labelled) & some).astype(int) + (np.isin(values, target) & some)
+            parts: list[list[np.ndarray]] = [[], [], []]
+            for t, k in zip(batch.column(1), kind.tolist(), strict=True):
                 found = features(t.as_py() or "")
                 if found.shape[1]:
-                    held[hit].append(np.concatenate([np.unique(found[0]), np.unique(found[1]) + BUCKETS, [2 * BUCKETS]]))
-            for hit, parts in enumerate(held):
-                if parts:
-                    n = np.bincount(np.concatenate(parts), minlength=2 * BUCKETS + 1)
-                    raw += n
-                    hits += n if hit else 0
-        at = np.nonzero(raw)[0]
+                    parts[k].append(np.concatenate([np.unique(found[0]), np.unique(found[1]) + BUCKETS, [2 * BUCKETS]]))
+            for k, held in enumerate(parts):
+                if held:
+                    total[: k + 1] += np.bincount(np.concatenate(held), minlength=2 * BUCKETS + 1)
+        at = np.nonzero(total[0])[0]
         for i in range(0, len(at), 1 << 16):
-            some = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw[some], pa.int64()), pa.array(hits[some], pa.int64())], names=["bucket", "raw", "target"])
-
-    counts = source.mapInArrow(count, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, hits = np.zeros(2 * BUCKETS + 1), np.zeros(2 * BUCKETS + 1)
-    raw[counts["bucket"].to_numpy()], hits[counts["bucket"].to_numpy()] = counts["raw"].to_numpy(), counts["target"].to_numpy()
-    expected = raw * (hits[-1] / max(1.0, raw[-1]))
-    ratio = np.log((hits + SMOOTH) / (expected + SMOOTH))
-    ratio[(hits - expected) > -Z * np.sqrt(expected + 1)] = 0.0
+            part = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(row[part]) for row in total)], names=["bucket", "raw", "labelled", "target"])
+
+    names = ("raw", "labelled", "target")
+    counts = source.mapInArrow(count, "bucket int, raw bigint, labelled bigint, target bigint").groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toArrow()  # bounded by the buckets
+    raw, labelled, hits = np.zeros((3, 2 * BUCKETS + 1))
+    for row, n in zip((raw, labelled, hits), names, strict=True):
+        row[counts["bucket"].to_numpy()] = counts[n].to_numpy()
+    ratio = np.log((hits + SMOOTH) / (raw * (hits[-1] / max(1.0, raw[-1])) + SMOOTH))
+    rate = hits[-1] / max(1.0, labelled[-1])
+    share = hits / np.maximum(labelled, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        evidence = labelled * (np.where(share > 0, share * np.log(share / rate), 0.0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - rate)), 0.0))
+    ratio[~((share < rate) & (evidence >= EVIDENCE))] = 0.0
+    ratio = np.minimum(ratio, 0.0)
     if not hits[-1]:
         ratio[:] = 0.0
     return Model(ratio[:-1].reshape(2, BUCKETS).astype(np.float32))
