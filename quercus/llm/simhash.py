@@ -33,7 +33,7 @@ PAIRWISE = 512
 
 
 #: Positional bytes of a sketch, groups of four of them that are indexed, and how far below the similarity a tally may be.
-SKETCH_BYTES, GROUPS, SLACK = 128, 12, 0.02
+SKETCH_BYTES, GROUPS, SLACK = 128, 12, 0.03
 _PERMUTATIONS = np.random.Generator(np.random.PCG64(SEED)).integers(1, 1 << 32, (2, SKETCH_BYTES), dtype=np.uint32) | np.array([[1], [0]], dtype=np.uint32)
 
 
