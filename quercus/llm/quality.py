@@ -34,7 +34,7 @@ MAX_LABELS, FOLDS = 400_000, 4
 COST = 10.0
 #: Divides log weights before Gumbel noise is added: the lower, the more the weights alone decide.
 TEMPERATURE = 0.02
-KEPT_WORDS, SEED = 500_000, 42
+KEPT_WORDS, SEED = 300_000, 42
 _WORDS = re.compile(r"\w+|[^\w\s]+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 _REPEAT = np.uint64(0x7265706561740000)
@@ -118,13 +118,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
             values = np.array([-1 if i is None else i for i in ids], dtype=np.int64)
             kind = (np.isin(values, labelled) & some).astype(int) + (np.isin(values, target) & some)
             parts: list[list[np.ndarray]] = [[], [], []]
-            for t, k in zip(batch.column(1), kind.tolist(), strict=True):
+            for n, (t, k) in enumerate(zip(batch.column(1), kind.tolist(), strict=True), 1):
                 found = features(t.as_py() or "")
                 if found.shape[1]:
                     parts[k].append(np.concatenate([np.unique(found[0]), np.unique(found[1]) + BUCKETS, [2 * BUCKETS]]))
-            for k, held in enumerate(parts):
-                if held:
-                    total[: k + 1] += np.bincount(np.concatenate(held), minlength=2 * BUCKETS + 1)
+                if n % 1024 == 0 or n == batch.num_rows:  # few documents' features are held at a time
+                    for k, held in enumerate(parts):
+                        if held:
+                            total[: k + 1] += np.bincount(np.concatenate(held), minlength=2 * BUCKETS + 1)
+                            held.clear()
         at = np.nonzero(total[0])[0]
         for i in range(0, len(at), 1 << 16):
             part = at[i : i + (1 << 16)]
