@@ -8,10 +8,11 @@ over single bytes reaches that minimum exactly if the pair meets in one of these
 emits, for every member, one link to the least member of its part of the list (not all pairs), which loses no class.
 
 64 bits tell texts that are nearly the same from others, but not texts that share four fifths of their shingles: those
-differ in about 10 bits, more than 8 bytes can guarantee a match for. With a similarity asked for, each distinct
-fingerprint also has a sketch of 128 positional bytes, byte p being taken from the hash that is least under permutation p
-(a consistent sample, so a byte agrees as often as shingles do). These bytes are indexed in the same way, by groups of four,
-and a pair is kept if its tally over all 128 reaches the least that the similarity lets expect.
+differ in about 10 bits, more than 8 bytes can guarantee a match for. With a similarity asked for, texts are linked by the
+Jaccard similarity of their shingle sets, counted exactly; fingerprints and sketches only say which pairs to count. Each
+distinct set (unit) has a sketch of 128 positional bytes, byte p being taken from the hash that is least under permutation
+p (a consistent sample, so a byte agrees as often as shingles do), indexed in the same way by groups of four. Neighbours in
+the lists are verified.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ SEED = 42
 PAIRWISE = 512
 
 
-#: Positional bytes of a sketch, groups of four of them that are indexed, and how far below the similarity a tally may be.
-SKETCH_BYTES, GROUPS, SLACK = 128, 12, 0.03
+#: Positional bytes of a sketch, groups of four of them that are indexed, and members of a list that are put in order together.
+SKETCH_BYTES, GROUPS, BLOCK = 128, 20, 512
 _PERMUTATIONS = np.random.Generator(np.random.PCG64(SEED)).integers(1, 1 << 32, (2, SKETCH_BYTES), dtype=np.uint32) | np.array([[1], [0]], dtype=np.uint32)
 
 
@@ -66,92 +67,103 @@ def sketch(hashes: np.ndarray) -> bytes | None:
     return (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
-def fingerprints(df: DataFrame, id_column: str, text_column: str, k: int, sketches: bool = False) -> DataFrame:
-    """row (names the row), id, fp (the fingerprint as a signed long), sketch (null unless asked for) of each row. A null text counts as empty."""
-    source = df.select(row_id().alias("row"), F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
+def _set(hashes: np.ndarray) -> bytes:
+    """The distinct hashes in order, 8 bytes each."""
+    return np.unique(np.ascontiguousarray(hashes).view("<u8").ravel()).tobytes()
+
+
+def fingerprints(df: DataFrame, id_column: str, text_column: str, k: int, sketches: bool = False, row_column: str | None = None) -> DataFrame:
+    """row (names the row), id, fp (the fingerprint as a signed long), unit (names the shingle set) and sketch (both null unless asked for) of each row. A null text counts as empty."""
+    source = df.select((F.col(row_column) if row_column else row_id()).alias("row"), F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, drawn = [], []
+            prints, units, drawn = [], [], []
             for t in utf8(batch.column(2)):
                 hashes = hashes_of(t.as_py() or b"", k)
                 prints.append(fingerprint(hashes))
+                units.append(int.from_bytes(xxhash.xxh3_64_digest(_set(hashes), SEED), "big", signed=True) if sketches else None)
                 drawn.append(sketch(hashes) if sketches else None)
             values = np.frombuffer(b"".join(prints), dtype=">u8").astype("<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values), pa.array(drawn, pa.binary())], names=["row", "id", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(values), pa.array(units, pa.int64()), pa.array(drawn, pa.binary())], names=["row", "id", "fp", "unit", "sketch"]
+            )
 
-    return source.mapInArrow(run, "row bigint, id bigint, fp bigint, sketch binary")
+    return source.mapInArrow(run, "row bigint, id bigint, fp bigint, unit bigint, sketch binary")
 
 
-def _classes(fps: np.ndarray, sketches: np.ndarray, fewest: int) -> tuple[list[int], list[tuple[int, int]]]:
-    """Places of one leader of each class of a list, and links (fingerprint, leader's) of the others. Members of one close class are compared once."""
-    leaders, out = [], []
-    rest = np.arange(len(fps))
-    while len(rest):
-        leader, rest = int(rest[0]), rest[1:]
-        leaders.append(leader)
-        front = [leader]
-        while front and len(rest):
-            found = (sketches[rest] == sketches[front.pop()]).sum(axis=1) >= fewest
-            new, rest = rest[found], rest[~found]
-            front += new.tolist()
-            out += [(int(fps[i]), int(fps[leader])) for i in new]
-    return leaders, out
+def postings(units: DataFrame) -> DataFrame:
+    """key, unit: the lists that each unit (unit, sketch) stands in."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH_BYTES)
+            keys = np.ascontiguousarray(drawn[:, : 4 * GROUPS]).view("<u4").astype(np.int64) | np.arange(GROUPS, dtype=np.int64) << 32
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), GROUPS))], names=["key", "unit"])
 
-def similar_links(distinct: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links a, b between fingerprints (fp, sketch) whose sketches agree in as many bytes as the similarity lets expect; and the written table that they are read from.
+    return units.where("sketch is not null").select("unit", "sketch").mapInArrow(run, "key bigint, unit bigint")
 
-    Before the shuffle each task makes classes of what it holds in a list and sends on one leader for each; a list thus
-    gets as many rows as there are tasks and classes, however many near copies a text has. Which member leads depends on
-    the list, so that a class that one list parts is joined by another.
-    """
-    fewest = int(np.ceil((similarity - SLACK) * SKETCH_BYTES))
-    order = lambda fps, key: np.argsort((fps.view(np.uint64) ^ np.uint64(key & 0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
 
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column(0).to_numpy()
-            drawn = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH_BYTES)
-            keys = np.ascontiguousarray(drawn[:, : 4 * GROUPS]).view("<u4").astype(np.int64)
-            for g in range(GROUPS):
-                at = np.argsort(keys[:, g], kind="stable")
-                ranked = keys[at, g]
-                starts = np.nonzero(np.r_[True, ranked[1:] != ranked[:-1]])[0] if len(at) else np.empty(0, dtype=np.int64)
-                sizes = np.diff(np.r_[starts, len(at)])
-                sent = [at[starts[sizes == 1]]]
-                found: list[tuple[int, int]] = []
-                for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-                    some = at[start : start + size]
-                    some = some[order(fps[some], int(ranked[start]))]
-                    leaders, links = _classes(fps[some], drawn[some], fewest)
-                    sent.append(some[leaders])
-                    found += links
-                leaders = np.concatenate(sent)
-                none = [None] * len(found)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.int64(g) << np.int64(32) | keys[leaders, g]).cast(pa.int64()) if not found else pa.array([*(g << 32 | keys[leaders, g]).tolist(), *none], pa.int64()),
-                        pa.array([*fps[leaders].tolist(), *(a for a, _ in found)], pa.int64()),
-                        pa.array([*(drawn[i].tobytes() for i in leaders), *none], pa.binary()),
-                        pa.array([*[None] * len(leaders), *(b for _, b in found)], pa.int64()),
-                    ],
-                    names=["key", "a", "sketch", "b"],
-                )
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def neighbours(members: DataFrame) -> DataFrame:
+    """a, b: members (key, unit, n: how many the list has) that are next to each other in a block of a list. Blocks and orders differ from list to list; short lists are one block."""
+    at = F.pmod(F.xxhash64("unit", "key"), F.ceil(F.col("n") / BLOCK))
+    lists = members.groupBy("key", at.alias("block")).agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("key", "unit", F.lit(1)).alias("order"), "unit"))).alias("m")).where(F.size("m") > 1)
+    return _ordered(lists.select(F.explode(F.expr("transform(sequence(1, size(m) - 1), i -> struct(m[i - 1].unit as a, m[i].unit as b))")).alias("p")).select("p.a", "p.b"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose sets (unit, hashes) have a Jaccard similarity of similarity or more. Written tables on both sides let AQE split a hub."""
+    first = written(pairs.join(sets.select(F.col("unit").alias("a"), F.col("hashes").alias("of_a")), "a"), "sides")
+    both = first.join(sets.select(F.col("unit").alias("b"), F.col("hashes").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for key, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                fps = members.values.field(0).to_numpy()
-                drawn = np.frombuffer(b"".join(members.values.field(1).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH_BYTES)
-                some = order(fps, key)
-                found += _classes(fps[some], drawn[some], fewest)[1]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), dtype="<u8"), np.frombuffer(y.as_py(), dtype="<u8")
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    good.append(False)
+                    continue
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common >= similarity * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    found = written(both.mapInArrow(run, "a bigint, b bigint"), "verified")
+    forget(first)
+    return found
+
+
+def sets_of(pairs: DataFrame, units: DataFrame, df: DataFrame, text_column: str, row_column: str, k: int) -> DataFrame:
+    """unit, hashes of the units that the pairs name, from their texts."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct().join(units.select("unit", "row"), "unit")
+    source = df.select(F.col(row_column).alias("row"), F.col(text_column).alias("text")).join(named, "row").select("unit", "text")
 
-    postings = written(distinct.where("sketch is not null").select("fp", "sketch").mapInArrow(combine, "key bigint, a bigint, sketch binary, b bigint"), "postings")
-    lists = postings.where("key is not null").groupBy("key").agg(F.collect_list(F.struct("a", "sketch")).alias("members")).where(F.size("members") > 1)
-    return postings.where("key is null").select("a", "b").union(lists.select("key", "members").mapInArrow(compare, "a bigint, b bigint")), postings
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_set(hashes_of(t.as_py() or b"", k)) for t in utf8(batch.column(1))], pa.binary())], names=["unit", "hashes"])
+
+    return written(source.mapInArrow(run, "unit bigint, hashes binary"), "sets")
+
+
+def similar_links(units: DataFrame, df: DataFrame, text_column: str, row_column: str, k: int, max_bits: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Links a, b between units (unit, fp, sketch, row), as many as the classes by similarity need; and the written tables that they are read from."""
+    posted = written(postings(units), "postings")
+    counted = written(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counted")
+    members = written(posted.join(counted, "key"), "members")
+    prints = written(units.groupBy("fp").agg(F.min("unit").alias("unit")), "prints")
+    near = links(prints, "fp", max_bits)
+    by_print = near.join(prints.select(F.col("fp").alias("a"), F.col("unit").alias("u")), "a").join(prints.select(F.col("fp").alias("b"), F.col("unit").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    equal = units.join(prints.withColumnRenamed("unit", "of"), "fp").select(F.col("unit").alias("a"), F.col("of").alias("b"))
+    pairs = written(_ordered(neighbours(members).union(by_print).union(equal)), "pairs")
+    sets = sets_of(pairs, units, df, text_column, row_column, k)
+    found = verified(pairs, sets, similarity)
+    for table in (posted, counted, members, prints, pairs, sets):
+        forget(table)
+    return found, [found]
 
 
 def _flips(free: list[int], d: int) -> np.ndarray:
@@ -217,29 +229,40 @@ def links(prints: DataFrame, fp: str, d: int) -> DataFrame:
     return lists.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 3, max_bits: int = 2, similarity: float | None = None) -> DataFrame:
+def near_duplicates(
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 3, max_bits: int = 2, similarity: float | None = None, row_column: str | None = None
+) -> DataFrame:
     """row, id, fingerprint, component_id, first of each row of df.
 
-    row is row_id() over df; fingerprint has 16 hex digits; component_id is the least id that links of at most max_bits
-    differing bits (and, with a similarity, of sketches that agree so far) reach, the row's own included (null only if all those ids are null); first is true for one row of each
+    row is row_column, which must name the rows of a written table for good, or row_id() over df; fingerprint has 16 hex
+    digits; component_id is the least id that links of at most max_bits differing bits reach (with a similarity: links of
+    shingle sets with a Jaccard similarity of that or more, whatever their fingerprints), the row's own included (null only
+    if all those ids are null); first is true for one row of each
     class, that with the least id (nulls last) and then the least row. Texts without words have fingerprint zero and link
-    like any other. Repeated rows and equal ids stay rows of their own. An empty table gives an empty result. Other columns
+    like any other (with a similarity: with each other). Repeated rows and equal ids stay rows of their own. An empty table gives an empty result. Other columns
     of df, whatever their names, are not looked at.
     """
-    prints = written(fingerprints(df, id_column, text_column, k, similarity is not None), "fingerprints")
+    done = []
+    if similarity is not None and row_column is None:  # texts are read again by row
+        df = written(df.select(row_id().alias("row"), F.col(id_column).alias("id"), F.col(text_column).alias("text")), "numbered")
+        id_column, text_column, row_column, done = "id", "text", "row", [df]
+    prints = written(fingerprints(df, id_column, text_column, k, similarity is not None, row_column), "fingerprints")
     by_id = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    distinct = written(prints.groupBy("fp").agg(F.min(by_id).alias("least"), F.min("sketch").alias("sketch")), "distinct")
-    found, done = links(distinct, "fp", max_bits), []
-    if similarity is not None:
-        similar, postings = similar_links(distinct, similarity)
-        found, done = found.union(similar), [postings]
+    name = "fp" if similarity is None else "unit"
+    if similarity is None:
+        distinct = written(prints.groupBy("fp").agg(F.min(by_id).alias("least")), "distinct")
+        found = links(distinct, "fp", max_bits)
+    else:
+        distinct = written(prints.groupBy("unit").agg(F.min(by_id).alias("least"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("row").alias("row")), "distinct")
+        found, tables = similar_links(distinct, df, text_column, row_column, k, max_bits, similarity)
+        done += tables
     classes = written(components(found, "a", "b"), "classes")
-    least = written(classes.join(distinct, classes.node == distinct.fp).groupBy("root").agg(F.min("least").alias("of_class")), "least")
-    linked = written(classes.join(least, "root").select(F.col("node").alias("fp"), "of_class"), "linked")
-    labels = written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("of_class", "least").alias("least")), "labels")
+    least = written(classes.join(distinct, classes.node == distinct[name]).groupBy("root").agg(F.min("least").alias("of_class")), "least")
+    linked = written(classes.join(least, "root").select(F.col("node").alias(name), "of_class"), "linked")
+    labels = written(distinct.join(linked, name, "left").select(name, F.coalesce("of_class", "least").alias("least")), "labels")
     for table in (*done, distinct, classes, least, linked):
         forget(table)
-    return prints.join(labels, "fp").select(
+    return prints.join(labels, name).select(
         "row",
         prints.id,
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),

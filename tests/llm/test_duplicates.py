@@ -119,3 +119,47 @@ def test_similarity_finds_near_copies(spark):
     assert all(c for c, j in zip(caught, pairs, strict=True) if j >= 0.85)
     assert not any(c for c, j in zip(caught, pairs, strict=True) if j < 0.65)
     assert len(set(got.values())) == 120 - sum(caught)
+
+
+def shingles(text, k=5):
+    w = text.split()
+    return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
+def groups_by_jaccard(docs, least):
+    """The classes of all pairs that reach least, as sets of places."""
+    sets, root = [shingles(d) for d in docs], list(range(len(docs)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(a & sets[j])
+            if root[i] != root[j] and common >= least * (len(a) + len(sets[j]) - common):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    return {frozenset(i for i, r in enumerate(root) if r == x) for x in root}
+
+
+def groups_found(spark, docs, partitions):
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").repartition(partitions)
+    found = {}
+    for r in simhash.near_duplicates(df, k=5, max_bits=3, similarity=0.8).collect():
+        found.setdefault(r.component_id, set()).add(r.id)
+    return {frozenset(g) for g in found.values()}
+
+
+def test_repeated_line_is_no_similarity(spark):
+    rng = random.Random(3)
+    line = " ".join(f"line{i}" for i in range(11))
+    docs = [" ".join([line] * 20 + [f"w{rng.randrange(10**9)}" for _ in range(100)]) for _ in range(30)]
+    assert groups_found(spark, docs, 3) == {frozenset([i]) for i in range(30)}
+
+
+def test_pairs_about_the_similarity(spark):
+    rng = random.Random(4)
+    docs = []
+    for n in range(150):
+        t = [f"w{rng.randrange(10**9)}" for _ in range(304)]
+        near = list(t)
+        for i in range(5 + n % 5):  # 0.85 to 0.75
+            near[20 + 30 * i] = "changed"
+        docs += [" ".join(t), " ".join(near)]
+    assert groups_found(spark, docs, 3) == groups_by_jaccard(docs, 0.8)
