@@ -12,7 +12,8 @@ differ in about 10 bits, more than 8 bytes can guarantee a match for. With a sim
 Jaccard similarity of their shingle sets, counted exactly; fingerprints and sketches only say which pairs to count. Each
 distinct set (unit) has a sketch of 128 positional bytes, byte p being taken from the hash that is least under permutation
 p (a consistent sample, so a byte agrees as often as shingles do), indexed in the same way by groups of four. Neighbours in
-the lists are verified.
+the lists are verified first, which joins most groups with few pairs; then the lists whose members still lie in several
+classes are compared, every member with all of other classes, in blocks, and what their tally allows for is verified too.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ SEED = 42
 PAIRWISE = 512
 
 
-#: Positional bytes of a sketch, groups of four of them that are indexed, and members of a list that are put in order together.
-SKETCH_BYTES, GROUPS, BLOCK = 128, 20, 512
+#: Positional bytes of a sketch, groups of four of them that are indexed, how far below the similarity a tally may be
+#: (four standard errors at 0.8), and members of a list that are compared in one block.
+SKETCH_BYTES, GROUPS, SLACK, BLOCK = 128, 20, 0.14, 512
 _PERMUTATIONS = np.random.Generator(np.random.PCG64(SEED)).integers(1, 1 << 32, (2, SKETCH_BYTES), dtype=np.uint32) | np.array([[1], [0]], dtype=np.uint32)
 
 
@@ -115,6 +117,34 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def across(members: DataFrame, similarity: float) -> DataFrame:
+    """a, b: all pairs of members (key, unit, n, root, sketch) of a list with different roots whose sketches agree in as many bytes as the similarity, less the slack, lets expect.
+
+    A long list is dealt out in pairs of blocks, so that every two members meet in one task and none holds them all.
+    """
+    fewest = int(np.ceil((similarity - SLACK) * SKETCH_BYTES))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("unit"), blocks).cast("int")
+    dealt = members.select("key", "unit", "root", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    cells = dealt.groupBy("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_list(F.struct("unit", "root", "sketch", "own")).alias("m")).where(F.size("m") > 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+            for low, high, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                units, roots, own = (m.values.field(i).to_numpy() for i in (0, 1, 3))
+                drawn = np.frombuffer(b"".join(m.values.field(2).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH_BYTES)
+                for i in range(len(units) - 1):
+                    rest = np.arange(i + 1, len(units))
+                    rest = rest[(roots[rest] != roots[i]) & ((own[rest] != own[i]) if low != high else True)]
+                    rest = rest[(drawn[rest] == drawn[i]).sum(axis=1) >= fewest]
+                    left.append(np.full(len(rest), units[i]))
+                    right.append(units[rest])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+    return _ordered(cells.select("low", "high", "m").mapInArrow(run, "a bigint, b bigint"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs a, b whose sets (unit, hashes) have a Jaccard similarity of similarity or more. Written tables on both sides let AQE split a hub."""
     first = written(pairs.join(sets.select(F.col("unit").alias("a"), F.col("hashes").alias("of_a")), "a"), "sides")
@@ -161,9 +191,16 @@ def similar_links(units: DataFrame, df: DataFrame, text_column: str, row_column:
     pairs = written(_ordered(neighbours(members).union(by_print).union(equal)), "pairs")
     sets = sets_of(pairs, units, df, text_column, row_column, k)
     found = verified(pairs, sets, similarity)
-    for table in (posted, counted, members, prints, pairs, sets):
+    classes = written(components(found, "a", "b"), "classes")
+    rooted = written(members.join(classes.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit")), "rooted")
+    several = written(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key"), "several")
+    mixed = written(rooted.join(several, "key", "left_semi"), "mixed")
+    more = written(across(mixed.join(units.select("unit", "sketch"), "unit"), similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    others = sets_of(more, units, df, text_column, row_column, k)
+    last = verified(more, others, similarity)
+    for table in (posted, counted, members, prints, pairs, sets, classes, rooted, several, mixed, more, others):
         forget(table)
-    return found, [found]
+    return found.union(last), [found, last]
 
 
 def _flips(free: list[int], d: int) -> np.ndarray:

@@ -163,3 +163,18 @@ def test_pairs_about_the_similarity(spark):
             near[20 + 30 * i] = "changed"
         docs += [" ".join(t), " ".join(near)]
     assert groups_found(spark, docs, 3) == groups_by_jaccard(docs, 0.8)
+
+
+def test_drifting_group_over_partitions(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = random.Random(8)
+    docs = [[f"w{rng.randrange(10**9)}" for _ in range(154)]]
+    for n in range(400):
+        near = list(docs[rng.randrange(len(docs))])
+        for _ in range(rng.choice((2, 3, 3, 3, 3, 4))):
+            near[rng.randrange(154)] = f"x{n}" if rng.random() < 0.5 else "changed"
+        docs.append(near)
+    docs = [" ".join(d) for d in docs]
+    want = groups_by_jaccard(docs, 0.8)
+    assert max(map(len, want)) > 100 and len(want) > 10
+    assert groups_found(spark, docs, 8) == want
