@@ -86,3 +86,21 @@ def test_query_equals_sql(spark, name):
     assert columns == sorted(names)
     want = sorted((tuple(dict(zip(names, r, strict=True))[c] for c in columns) for r in found.fetchall()), key=repr)
     assert sorted((tuple(r[c] for c in columns) for r in df.select(*(F.col(c) for c in columns)).collect()), key=repr) == want
+
+
+def test_groups_hold_when_the_scan_splits_otherwise(spark, small, tmp_path):
+    """Splits depend on the cores that are registered; here a setting changes them between the scans."""
+    path, _ = small
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("text is not null")
+    docs.union(docs.selectExpr("doc_id + 5000", *docs.columns[1:])).coalesce(1).write.option("parquet.block.size", 20000).parquet(f"{tmp_path}/documents")
+    split, key = spark.read.parquet(f"{tmp_path}/documents"), "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    out = corpus_pipeline.keep_one_of_each_group(spark, split, path)
+    try:
+        spark.conf.set(key, "20000")
+        kept = [(r.doc_id, r.text) for r in out.collect()]
+    finally:
+        spark.conf.set(key, before)
+    texts = {r.text for r in split.collect()}
+    assert len(kept) == len({t for _, t in kept}) and len(kept) >= len(texts) - 1
+    assert all(i is None or i < 5000 for i, _ in kept)
