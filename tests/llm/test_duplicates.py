@@ -178,3 +178,17 @@ def test_drifting_group_over_partitions(spark, monkeypatch):
     want = groups_by_jaccard(docs, 0.8)
     assert max(map(len, want)) > 100 and len(want) > 10
     assert groups_found(spark, docs, 8) == want
+
+
+def test_equal_fingerprints_keep_their_own_links(spark):
+    rng = random.Random(5)
+    line = " ".join(f"line{i}" for i in range(11))
+    docs = []
+    for _ in range(10):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(100)]
+        docs.append(" ".join([line] * 200 + own))
+        docs.append(" ".join([line] * 200 + [*own[:50], "changed", *own[51:]]))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").repartition(3)
+    got = simhash.near_duplicates(df, k=5, max_bits=3, similarity=0.8).collect()
+    assert len({r.fingerprint for r in got}) < len(docs) / 2
+    assert all(r.component_id == r.id - r.id % 2 for r in got)
