@@ -1,6 +1,6 @@
 """Secret scans: three fixed patterns, and a battery of randomness tests for other tokens.
 
-A candidate is a run of 20 or more signs that encodings use. Its signs tell its encoding (alphabet). Against the hypothesis
+A candidate is a run of 20 or more signs that encodings use, between '=' (so that NAME=value is tested as its value). Its signs tell its encoding (alphabet). Against the hypothesis
 that the signs are drawn at random from that alphabet, three tests give p-values: chi-squared uniformity (one-sided),
 Wald-Wolfowitz runs about the alphabet's middle, and lag-1 serial correlation (both two-sided); Fisher's method combines
 them. In each document, Benjamini-Hochberg picks the candidates that are shown not to be random, at a level that depends
@@ -23,6 +23,7 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUNS = (re.compile(r"[A-Za-z0-9+/]{20,}"), re.compile(r"[A-Za-z0-9_-]{20,}"))
 KINDS = ("assign", "access", "hex", "random")
 #: The battery needs so many signs, and so many bits if they were random.
 MIN_SIGNS, MIN_BITS = 20, 80.0
@@ -89,20 +90,40 @@ def battery(token: str, name: str) -> float:
     return min(1.0, math.exp(-half) * (1 + half + half * half / 2))
 
 
+def _mixed(token: str) -> bool:
+    """Whether token reads like base64 or base64url as a whole."""
+    return encoding(token) in ("base64", "base64url") and all(set(token) & _SETS[c] for c in ("lower", "upper", "decimal"))
+
+
+def _parts(token: str) -> Iterator[tuple[int, str]]:
+    """Place and text of the parts of a token without '=' that are tested: all of it, its runs of one base64 alphabet (longest first), or what alphanumeric runs are left."""
+    if _mixed(token):
+        yield 0, token
+        return
+    held: list[tuple[int, int]] = []
+    if encoding(token) is None:
+        runs = [x for run in RUNS for x in run.finditer(token) if _mixed(x[0])]
+        for x in sorted(runs, key=lambda x: (x.start() - x.end(), x.start())):
+            if not any(a < x.end() and x.start() < b for a, b in held):
+                held.append(x.span())
+                yield x.start(), x[0]
+    for x in re.finditer(r"[A-Za-z0-9]+", token):
+        if not any(a < x.end() and x.start() < b for a, b in held):
+            yield x.start(), x[0]
+
+
 def _candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
-    """start, end and encoding of what the battery can judge, outside the spans taken."""
+    """start, end and encoding of what the battery can judge, outside the spans taken. An '=' ends a name or an encoding and is part of none."""
     for m in CANDIDATE.finditer(text):
-        token = m[0].rstrip("=")
-        whole = encoding(token)
-        mixed = whole in ("base64", "base64url") and all(set(token) & _SETS[c] for c in ("lower", "upper", "decimal"))
-        parts = [(0, token)] if mixed else [(x.start(), x[0]) for x in re.finditer(r"[A-Za-z0-9]+", token)]
-        for at, part in parts:
-            start, end = m.start() + at, m.start() + at + len(part)
-            if len(part) < MIN_SIGNS or any(a < end and start < b for a, b in taken):
-                continue
-            name = encoding(part)
-            if name and len(part) * math.log2(len(ALPHABETS[name])) >= MIN_BITS:
-                yield start, end, name
+        for piece in re.finditer(r"[^=]{%d,}" % MIN_SIGNS, m[0]):
+            for at, part in _parts(piece[0]):
+                start = m.start() + piece.start() + at
+                end = start + len(part)
+                if len(part) < MIN_SIGNS or any(a < end and start < b for a, b in taken):
+                    continue
+                name = encoding(part)
+                if name and len(part) * math.log2(len(ALPHABETS[name])) >= MIN_BITS:
+                    yield start, end, name
 
 
 def random_tokens(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str, float]]:

@@ -158,3 +158,20 @@ def test_cosine_equals_plain_vectors():
     cosine, name = matcher.best(words)
     assert name == max(best)[1] == "MIT" and cosine == pytest.approx(max(best)[0])
 
+
+@pytest.mark.parametrize("name", sorted(secrets.ALPHABETS))
+def test_value_after_a_name_is_tested_like_a_bare_one(name):
+    rng = random.Random(name)
+    for _ in range(200):
+        value = "".join(rng.choices(secrets.ALPHABETS[name], k=40))
+        bare = [(a, b) for a, b, _ in secrets._candidates(value, [])]
+        for before in ("AWS_ACCESS_KEY=", "a/b_c-d=", "=", "x=y="):
+            got = [(a - len(before), b - len(before)) for a, b, _ in secrets._candidates(f"{before}{value}== end", [])]
+            assert got == bare and (bare == [(0, 40)] or name in ("base64", "base64url"))
+
+
+def test_base64_runs_among_foreign_signs():
+    value = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    assert list(secrets._candidates(f"AWS_SECRET_ACCESS_KEY={value}", [])) == [(22, 62, "base64")]
+    url = "Zk3_Qw9-tY7uPq2RsT5vXa8BcD1eFgH4"
+    assert list(secrets._candidates(f"a/{url}+b", [])) == [(2, 2 + len(url), "base64url")]
