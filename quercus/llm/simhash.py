@@ -90,6 +90,7 @@ def fingerprints(df: DataFrame, id_column: str, text_column: str, k: int, sketch
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(values), pa.array(units, pa.int64()), pa.array(drawn, pa.binary())], names=["row", "id", "fp", "unit", "sketch"]
             )
+        pa.default_memory_pool().release_unused()  # workers live on, and the texts' memory with them
 
     return source.mapInArrow(run, "row bigint, id bigint, fp bigint, unit bigint, sketch binary")
 
@@ -181,14 +182,18 @@ def sets_of(pairs: DataFrame, units: DataFrame, df: DataFrame, text_column: str,
 
 def similar_links(units: DataFrame, df: DataFrame, text_column: str, row_column: str, k: int, max_bits: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
     """Links a, b between units (unit, fp, sketch, row), as many as the classes by similarity need; and the written tables that they are read from."""
+    # one after the other: joined in one job, their stages would run together and hold their memory together
+    prints = written(units.groupBy("fp").agg(F.min("unit").alias("unit")), "prints")
+    near = written(links(prints, "fp", max_bits).distinct(), "near")
+    by_print = near.join(prints.select(F.col("fp").alias("a"), F.col("unit").alias("u")), "a").join(prints.select(F.col("fp").alias("b"), F.col("unit").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    equal = units.select("fp", "unit").join(prints.withColumnRenamed("unit", "of"), "fp").select(F.col("unit").alias("a"), F.col("of").alias("b"))
+    alike = written(by_print.union(equal.where("a != b")), "alike")
     posted = written(postings(units), "postings")
     counted = written(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counted")
     members = written(posted.join(counted, "key"), "members")
-    prints = written(units.groupBy("fp").agg(F.min("unit").alias("unit")), "prints")
-    near = links(prints, "fp", max_bits)
-    by_print = near.join(prints.select(F.col("fp").alias("a"), F.col("unit").alias("u")), "a").join(prints.select(F.col("fp").alias("b"), F.col("unit").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
-    equal = units.join(prints.withColumnRenamed("unit", "of"), "fp").select(F.col("unit").alias("a"), F.col("of").alias("b"))
-    pairs = written(_ordered(neighbours(members).union(by_print).union(equal)), "pairs")
+    forget(posted)
+    beside = written(neighbours(members), "beside")
+    pairs = written(_ordered(beside.union(alike)), "pairs")
     sets = sets_of(pairs, units, df, text_column, row_column, k)
     found = verified(pairs, sets, similarity)
     classes = written(components(found, "a", "b"), "classes")
@@ -198,7 +203,7 @@ def similar_links(units: DataFrame, df: DataFrame, text_column: str, row_column:
     more = written(across(mixed.join(units.select("unit", "sketch"), "unit"), similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
     others = sets_of(more, units, df, text_column, row_column, k)
     last = verified(more, others, similarity)
-    for table in (posted, counted, members, prints, pairs, sets, classes, rooted, several, mixed, more, others):
+    for table in (near, alike, counted, members, beside, prints, pairs, sets, classes, rooted, several, mixed, more, others):
         forget(table)
     return found.union(last), [found, last]
 
