@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -30,11 +31,30 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/quercus-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Most bytes of a batch that Python gets: tables with long rows would otherwise hold several times the default of 64 MB.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs that run inside send batches of BATCH_BYTES at most to Python."""
+    before = spark.conf.get(_BATCH).removesuffix("b")
+    if before.isdigit() and 0 < int(before) <= BATCH_BYTES:
+        yield
+        return
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """df as a table in the shared folder: computed once, without lineage, there after an executor is lost."""
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.options(**options).parquet(path)
+    with small_batches(spark):
+        df.write.options(**options).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._quercus_path = path
     return table
