@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quercus.functions.tables import forget, read, scratch, shared_dir, written
 from quercus.operators.graph import components
 
-__all__ = ["components", "forget", "read", "row_id", "scratch", "shared_dir", "utf8", "written"]
+__all__ = ["components", "forget", "free", "others", "read", "row_id", "scratch", "shared_dir", "utf8", "written"]
 
 
 def utf8(column: pa.Array) -> pa.Array:
@@ -20,3 +20,17 @@ def utf8(column: pa.Array) -> pa.Array:
 def row_id() -> Column:
     """Names a row of a scanned table for good: partition and place in it, which a rerun of the scan repeats."""
     return F.monotonically_increasing_id()
+
+
+def others(df: DataFrame, new: tuple[str, ...] | list[str]) -> list[str]:
+    """The columns of df that new ones don't replace; names that differ only in case are one to Spark."""
+    gone = {n.lower() for n in new}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def free(name: str, columns: list[str]) -> str:
+    """name, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quercus.llm.common import components, forget, row_id, utf8, written
@@ -107,11 +107,44 @@ def postings(units: DataFrame) -> DataFrame:
     return units.where("sketch is not null").select("unit", "sketch").mapInArrow(run, "key bigint, unit bigint")
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Rows that agree in the first columns, by which they are sorted, as a batch for each group of two rows or more."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        first = np.ones(batch.num_rows, dtype=bool)
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        first[1:] = np.logical_or.reduce([v[1:] != v[:-1] for v in columns])
+        starts = np.nonzero(first)[0]
+        for at in np.nonzero(np.diff(starts) > 1)[0].tolist():
+            yield batch.slice(starts[at], starts[at + 1] - starts[at])
+        held = batch.slice(starts[-1])
+    if held is not None and held.num_rows > 1:
+        yield held
+
+
+def _pairs(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Batches a, b of some thousand pairs."""
+    left, right, n = [], [], 0
+    for a, b in found:
+        left.append(a)
+        right.append(b)
+        n += len(a)
+        if n >= 1 << 13:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+            left, right, n = [], [], 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+
 def neighbours(members: DataFrame) -> DataFrame:
     """a, b: members (key, unit, n: how many the list has) that are next to each other in a block of a list. Blocks and orders differ from list to list; short lists are one block."""
     at = F.pmod(F.xxhash64("unit", "key"), F.ceil(F.col("n") / BLOCK))
-    lists = members.groupBy("key", at.alias("block")).agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("key", "unit", F.lit(1)).alias("order"), "unit"))).alias("m")).where(F.size("m") > 1)
-    return _ordered(lists.select(F.explode(F.expr("transform(sequence(1, size(m) - 1), i -> struct(m[i - 1].unit as a, m[i].unit as b))")).alias("p")).select("p.a", "p.b"))
+    over = Window.partitionBy("key", at).orderBy(F.xxhash64("key", "unit", F.lit(1)), "unit")
+    return _ordered(members.select(F.col("unit").alias("a"), F.lag("unit").over(over).alias("b")).where("b is not null"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -121,41 +154,40 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def across(members: DataFrame, similarity: float) -> DataFrame:
     """a, b: all pairs of members (key, unit, n, root, sketch) of a list with different roots whose sketches agree in as many bytes as the similarity, less the slack, lets expect.
 
-    A long list is dealt out in pairs of blocks, so that every two members meet in one task and none holds them all.
+    A long list is dealt out in pairs of blocks, so that every two members meet in one task and none holds them all. The
+    members of a pair of blocks come in order, one after the other; a task holds those of one at a time.
     """
     fewest = int(np.ceil((similarity - SLACK) * SKETCH_BYTES))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("unit"), blocks).cast("int")
     dealt = members.select("key", "unit", "root", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    cells = dealt.groupBy("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_list(F.struct("unit", "root", "sketch", "own")).alias("m")).where(F.size("m") > 1)
+    cells = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "unit", "root", "own", "sketch")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-            for low, high, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                units, roots, own = (m.values.field(i).to_numpy() for i in (0, 1, 3))
-                drawn = np.frombuffer(b"".join(m.values.field(2).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH_BYTES)
-                for i in range(len(units) - 1):
-                    rest = np.arange(i + 1, len(units))
-                    rest = rest[(roots[rest] != roots[i]) & ((own[rest] != own[i]) if low != high else True)]
-                    rest = rest[(drawn[rest] == drawn[i]).sum(axis=1) >= fewest]
-                    left.append(np.full(len(rest), units[i]))
-                    right.append(units[rest])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for cell in _runs(batches, 3):
+            units, roots, own = (cell.column(i).to_numpy() for i in (3, 4, 5))
+            drawn = np.frombuffer(b"".join(cell.column(6).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH_BYTES)
+            mixed = cell.column(1)[0].as_py() != cell.column(2)[0].as_py()
+            for i in range(len(units) - 1):
+                rest = np.arange(i + 1, len(units))
+                rest = rest[(roots[rest] != roots[i]) & ((own[rest] != own[i]) if mixed else True)]
+                rest = rest[(drawn[rest] == drawn[i]).sum(axis=1) >= fewest]
+                yield np.full(len(rest), units[i]), units[rest]
 
-    return _ordered(cells.select("low", "high", "m").mapInArrow(run, "a bigint, b bigint"))
+    dealt = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return _ordered(dealt.mapInArrow(lambda batches: _pairs(compared(batches)), "a bigint, b bigint"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b whose sets (unit, hashes) have a Jaccard similarity of similarity or more. Written tables on both sides let AQE split a hub."""
-    first = written(pairs.join(sets.select(F.col("unit").alias("a"), F.col("hashes").alias("of_a")), "a"), "sides")
-    both = first.join(sets.select(F.col("unit").alias("b"), F.col("hashes").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
+    """The pairs a, b whose sets (unit, hashes) have a Jaccard similarity of similarity or more. Both joins stand on shuffles of their own, which AQE can split at a hub."""
+    of = lambda side: sets.select(F.col("unit").alias(side), F.col("hashes").alias(f"of_{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), dtype="<u8"), np.frombuffer(y.as_py(), dtype="<u8")
+                x, y = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
                 if min(len(x), len(y)) < similarity * max(len(x), len(y)):
                     good.append(False)
                     continue
@@ -163,14 +195,12 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 good.append(common >= similarity * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    found = written(both.mapInArrow(run, "a bigint, b bigint"), "verified")
-    forget(first)
-    return found
+    return written(both.mapInArrow(run, "a bigint, b bigint"), "verified")
 
 
-def sets_of(pairs: DataFrame, units: DataFrame, df: DataFrame, text_column: str, row_column: str, k: int) -> DataFrame:
-    """unit, hashes of the units that the pairs name, from their texts."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct().join(units.select("unit", "row"), "unit")
+def sets_of(names: DataFrame, units: DataFrame, df: DataFrame, text_column: str, row_column: str, k: int) -> DataFrame:
+    """unit, hashes of the units named (each once), from their texts."""
+    named = names.join(units.select("unit", "row"), "unit")
     source = df.select(F.col(row_column).alias("row"), F.col(text_column).alias("text")).join(named, "row").select("unit", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,19 +221,24 @@ def similar_links(units: DataFrame, df: DataFrame, text_column: str, row_column:
     posted = written(postings(units), "postings")
     counted = written(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counted")
     members = written(posted.join(counted, "key"), "members")
-    forget(posted)
-    beside = written(neighbours(members), "beside")
-    pairs = written(_ordered(beside.union(alike)), "pairs")
-    sets = sets_of(pairs, units, df, text_column, row_column, k)
+    for table in (posted, counted, near, prints):
+        forget(table)
+    pairs = written(_ordered(neighbours(members).union(alike)), "pairs")
+    # every pair that is compared below stands in a list with another unit, so these are all the sets there is need of
+    names = written(members.select("unit").union(alike.select(F.explode(F.array("a", "b")))).distinct(), "names")
+    sets = sets_of(names, units, df, text_column, row_column, k)
     found = verified(pairs, sets, similarity)
     classes = written(components(found, "a", "b"), "classes")
     rooted = written(members.join(classes.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit")), "rooted")
     several = written(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key"), "several")
     mixed = written(rooted.join(several, "key", "left_semi"), "mixed")
+    for table in (members, alike, names, classes, rooted, several):
+        forget(table)
     more = written(across(mixed.join(units.select("unit", "sketch"), "unit"), similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    others = sets_of(more, units, df, text_column, row_column, k)
-    last = verified(more, others, similarity)
-    for table in (near, alike, counted, members, beside, prints, pairs, sets, classes, rooted, several, mixed, more, others):
+    for table in (mixed, pairs):
+        forget(table)
+    last = verified(more, sets, similarity)
+    for table in (more, sets):
         forget(table)
     return found.union(last), [found, last]
 
@@ -253,22 +288,16 @@ def links(prints: DataFrame, fp: str, d: int) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     free = [[8 * i + j for i in range(8) if i not in s for j in range(8)] for s in sets]
     fp_column = F.col(fp)
-    postings = prints.select(
-        fp_column.alias("fp"),
-        F.explode(F.array(*(F.struct(F.lit(n).cast("tinyint").alias("at"), fp_column.bitwiseAND(F.lit(m)).alias("part")) for n, m in enumerate(signed)))).alias("key"),
-    )
-    lists = postings.groupBy("key").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1).select("key.at", "members")
+    postings = prints.select(F.explode(F.array(*(F.struct(F.lit(n).cast("tinyint").alias("at"), fp_column.bitwiseAND(F.lit(m)).alias("part")) for n, m in enumerate(signed)))).alias("key"), fp_column.alias("fp"))
+    lists = postings.select("key.at", "key.part", "fp").repartition("at", "part").sortWithinPartitions("at", "part")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [np.empty((2, 0), dtype=np.int64)]
-            for at, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                pair = _least(members.values.to_numpy(), d, 8 - d, free[at])
-                out.append(pair[:, pair[0] != pair[1]])
-            a, b = np.concatenate(out, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for members in _runs(batches, 2):
+            pair = _least(members.column(2).to_numpy(), d, 8 - d, free[members.column(0)[0].as_py()])
+            a, b = pair[:, pair[0] != pair[1]]
+            yield a, b
 
-    return lists.mapInArrow(run, "a bigint, b bigint")
+    return lists.mapInArrow(lambda batches: _pairs(linked(batches)), "a bigint, b bigint")
 
 
 def near_duplicates(
@@ -281,8 +310,9 @@ def near_duplicates(
     shingle sets with a Jaccard similarity of that or more, whatever their fingerprints), the row's own included (null only
     if all those ids are null); first is true for one row of each
     class, that with the least id (nulls last) and then the least row. Texts without words have fingerprint zero and link
-    like any other (with a similarity: with each other). Repeated rows and equal ids stay rows of their own. An empty table gives an empty result. Other columns
-    of df, whatever their names, are not looked at.
+    like any other (with a similarity: with each other). Repeated rows and equal ids stay rows of their own; equal texts
+    are always one class. Very long texts count whole. An empty table gives an empty result. Other columns of df, whatever
+    their names, are not looked at.
     """
     done = []
     if similarity is not None and row_column is None:  # texts are read again by row
