@@ -4,11 +4,16 @@ Two generative models over hashed word uni- and bigrams, of target texts (labell
 give each document a log importance weight; documents are sampled without replacement by Gumbel top-k.
 
 A feature counts once in a document, so that a text that repeats a word a thousand times says no more about it than any
-other. Its log ratio is ln((t + S) / (e + S)): t target documents have it, e would if the target were like the raw texts. It
-counts only if labels bear it out: of the labelled documents that have the feature, so few are target ones that a
-likelihood-ratio test gives EVIDENCE or more (in nats). Each feature has a bucket in two tables, and the ratio nearer to 0 counts:
-a bucket that other features share by chance doesn't mislead twice. Ratios above 0 don't make up for others: what the target
-never shows stays. So a weight is the sum of what speaks against a document, less a threshold set on held-out labels.
+other. Its log ratio is ln((t + S) / (e + S)): t target documents have it, e would if the target were like the raw texts.
+Where labels don't bear out a difference, the two models share the feature's probability and the ratio is 1: of the labelled
+documents that have it, the share of target ones must differ from the common rate by a likelihood-ratio test that gives a
+bar (in nats) or more. Each feature has a bucket in two tables, and the ratio nearer to 0 counts: a bucket that other
+features share by chance doesn't mislead twice. The log weight is the sum of the log ratios, of either sign.
+
+The bar, and the weight from which documents are accepted, are set on held-out labels, toxic and low-quality documents
+counting alike. Then comes a veto: long texts gather weight with every ordinary word, and a few words that the target never
+has don't outweigh that. So the ratios below 1 alone are summed, too, and documents far below 0 by that are never sampled;
+its bar and threshold are set in the same way on the held-out documents that the weight accepts.
 """
 
 from __future__ import annotations
@@ -24,16 +29,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quercus.llm.common import forget, written
+from quercus.llm.common import free, others, written
 
-#: Buckets of each of the two tables; smoothing; nats of evidence below which a ratio is chance.
-BUCKETS, SMOOTH, EVIDENCE = 1 << 18, 1.0, 10.0
-#: At most so many labelled documents are used (by hash of their ids); of them one in FOLDS sets the threshold.
+#: Buckets of each of the two tables; smoothing; bars (nats of evidence) among which held-out labels choose.
+BUCKETS, SMOOTH, BARS = 1 << 18, 0.25, (4.0, 6.0, 10.0, 15.0)
+#: At most so many labelled documents are used (by hash of their ids); of them one in FOLDS sets bars and thresholds.
 MAX_LABELS, FOLDS = 400_000, 4
 #: A good document lost costs as much as so many bad ones kept.
-COST = 10.0
-#: Divides log weights before Gumbel noise is added: the lower, the more the weights alone decide.
-TEMPERATURE = 0.02
+COST = 40.0
+#: Divides log weights before Gumbel noise is added: at 1 documents are drawn in proportion to their weights; the lower, the
+#: nearer to the threshold are those that the draw decides on (here some tenths of a nat).
+TEMPERATURE = 0.25
 KEPT_WORDS, SEED = 300_000, 42
 _WORDS = re.compile(r"\w+|[^\w\s]+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
@@ -80,17 +86,31 @@ def features(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Log ratios by table and bucket (0 and below), and the threshold; seed and temperature of the sampling."""
+    """Log ratios by table and bucket, and how many of BARS the evidence for each reaches."""
 
     ratios: np.ndarray
-    threshold: float = 0.0
+    levels: np.ndarray
 
-    def weight(self, text: str) -> float:
-        """Log weight; minus infinity for a text without words."""
-        found = features(text)
-        if not found.shape[1]:
-            return -math.inf
-        return float(np.maximum(self.ratios[0, found[0]], self.ratios[1, found[1]]).sum()) - self.threshold
+    def weights(self, text: str) -> np.ndarray:
+        """For each bar the sum of the ratios that reach it, then for each bar the sum of those below 0; minus infinity for a text without words."""
+        a, b = features(text)
+        if not len(a):
+            return np.full(2 * len(BARS), -np.inf)
+        one, two = self.ratios[0, a], self.ratios[1, b]
+        ratio = np.where(np.abs(one) <= np.abs(two), one, two).astype(np.float64)
+        level = np.minimum(self.levels[0, a], self.levels[1, b])
+        by_level = lambda r: np.bincount(level, weights=r, minlength=len(BARS) + 1)[:0:-1].cumsum()[::-1]
+        return np.concatenate([by_level(ratio), by_level(np.minimum(ratio, 0.0))])
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Which bars count, from which weight documents are accepted, and below which sum of the ratios below 0 they never are."""
+
+    bar: int = len(BARS) - 1
+    threshold: float = -math.inf
+    veto_bar: int = len(BARS) - 1
+    veto: float = -math.inf
 
 
 def _labels(labels: DataFrame) -> DataFrame:
@@ -98,14 +118,15 @@ def _labels(labels: DataFrame) -> DataFrame:
     one = labels.where("doc_id is not null").groupBy("doc_id").agg((F.coalesce(F.min("quality"), F.lit(0)) > 0).alias("high"), (F.coalesce(F.max("toxic"), F.lit(0)) == 0).alias("clean"))
     total = one.count()
     kept = one if total <= MAX_LABELS else one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * MAX_LABELS / total))
-    return kept.select(F.col("doc_id").cast("bigint").alias("id"), (F.col("high") & F.col("clean")).alias("good"), (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)) == 0).alias("held_out"))
+    kind = F.when(~F.col("clean"), "toxic").when(~F.col("high"), "low").otherwise("good")
+    return kept.select(F.col("doc_id").cast("bigint").alias("id"), kind.alias("kind"), (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)) == 0).alias("held_out"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Model:
     """Counts every document's features; those of the target from the labelled good ones that aren't held out."""
     spark = docs.sparkSession
     known = _labels(labels).toArrow()  # bounded by MAX_LABELS
-    good, held = known["good"].to_numpy(zero_copy_only=False), known["held_out"].to_numpy(zero_copy_only=False)
+    good, held = known["kind"].to_numpy(zero_copy_only=False) == "good", known["held_out"].to_numpy(zero_copy_only=False)
     shipped = spark.sparkContext.broadcast((np.sort(known["id"].to_numpy()[~held]), np.sort(known["id"].to_numpy()[good & ~held])))
     source = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
 
@@ -137,59 +158,75 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     raw, labelled, hits = np.zeros((3, 2 * BUCKETS + 1))
     for row, n in zip((raw, labelled, hits), names, strict=True):
         row[counts["bucket"].to_numpy()] = counts[n].to_numpy()
+    return model(raw, labelled, hits)
+
+
+def model(raw: np.ndarray, labelled: np.ndarray, hits: np.ndarray) -> Model:
+    """The model from how many raw, labelled and target documents have each bucket (first table, second table, then all documents)."""
     ratio = np.log((hits + SMOOTH) / (raw * (hits[-1] / max(1.0, raw[-1])) + SMOOTH))
     rate = hits[-1] / max(1.0, labelled[-1])
     share = hits / np.maximum(labelled, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         evidence = labelled * (np.where(share > 0, share * np.log(share / rate), 0.0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - rate)), 0.0))
-    ratio[~((share < rate) & (evidence >= EVIDENCE))] = 0.0
-    ratio = np.minimum(ratio, 0.0)
-    if not hits[-1]:
-        ratio[:] = 0.0
-    return Model(ratio[:-1].reshape(2, BUCKETS).astype(np.float32))
+    same = (share < rate) == (ratio < 0)  # labelled and raw documents must say the same
+    level = np.where(same, (np.nan_to_num(evidence)[:, None] >= np.array(BARS)).sum(axis=1), 0) * bool(hits[-1])
+    ratio[level == 0] = 0.0
+    return Model(ratio[:-1].reshape(2, BUCKETS).astype(np.float32), level[:-1].reshape(2, BUCKETS).astype(np.uint8))
 
 
-def weighted(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", keep: float | None = None, seed: int = SEED, drop_columns: bool = False) -> DataFrame:
-    """docs with log_weight and gumbel_key; with keep, only the rows whose key is at least that. No shuffle.
+def weighted(docs: DataFrame, fitted: Model, id_column: str = "doc_id", text_column: str = "text", seed: int = SEED, drop_columns: bool = False, name: str = "weights") -> DataFrame:
+    """docs with an array column name of Model.weights() and last the Gumbel noise. No shuffle.
 
-    The noise is a hash of seed, id and text, the same in every pass; rows that repeat have equal keys. With drop_columns only id, log_weight and key come back.
+    The noise comes from a hash of seed, id and text, the same in every pass; rows that repeat have equal noise. With drop_columns only the id and the new column come back.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("log_weight", "gumbel_key")]
-    source = docs.select(*(docs[f"`{c}`"] for c in kept), F.xxhash64(F.lit(seed), docs[f"`{id_column}`"], docs[f"`{text_column}`"]).alias("__noise"))
+    shipped = docs.sparkSession.sparkContext.broadcast(fitted)
+    kept = others(docs, [name])
+    noise = free("noise", kept)
+    source = docs.select(*(docs[f"`{c}`"] for c in kept), F.xxhash64(F.lit(seed), docs[f"`{id_column}`"], docs[f"`{text_column}`"]).alias(noise))
     place = kept.index(text_column)
     out = [kept.index(id_column)] if drop_columns else list(range(len(kept)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
         for batch in batches:
-            weights = np.array([own.weight(t.as_py() or "") for t in batch.column(place)], dtype=np.float64)
             uniform = ((batch.column(len(kept)).to_numpy().view(np.uint64) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
-            keys = weights / TEMPERATURE - np.log(-np.log(uniform))
-            full = pa.RecordBatch.from_arrays([*(batch.column(i) for i in out), pa.array(weights), pa.array(keys)], names=[*(kept[i] for i in out), "log_weight", "gumbel_key"])
-            yield full if keep is None else full.filter(pa.array(keys >= keep))
+            gumbel = -np.log(-np.log(uniform))
+            found = [np.append(own.weights(t.as_py() or ""), g) for t, g in zip(batch.column(place), gumbel, strict=True)]
+            lists = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * (2 * len(BARS) + 1), np.concatenate(found) if found else np.empty(0))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in out), lists], names=[*(kept[i] for i in out), name])
 
     columns = [f"`{source.schema[i].name}` {source.schema[i].dataType.simpleString()}" for i in out]
-    return source.mapInArrow(run, ", ".join([*columns, "log_weight double", "gumbel_key double"]))
-
-
-def calibrated(scored: DataFrame, labels: DataFrame) -> float:
-    """The log weight (of a model without threshold) below which held-out labels say that documents should go.
-
-    Least of COST times the good ones lost plus the bad ones kept, as rates; minus infinity without labels of both kinds.
-    """
-    width = 0.125
-    known = scored.select(F.col("id"), F.col("log_weight")).join(_labels(labels).where("held_out"), "id")
-    rows = known.groupBy(F.floor(F.greatest("log_weight", F.lit(-500.0)) / width).cast("int").alias("bin"), "good").count().collect()  # bounded by the bins
-    total = {g: sum(r["count"] for r in rows if r["good"] == g) for g in (True, False)}
-    if not all(total.values()):
-        return -math.inf
-    lost, kept, best = 0.0, 1.0, []
-    for b in sorted({r["bin"] for r in rows}):
-        best.append((COST * lost + kept, b))
-        lost += sum(r["count"] for r in rows if r["bin"] == b and r["good"]) / total[True]
-        kept -= sum(r["count"] for r in rows if r["bin"] == b and not r["good"]) / total[False]
-    return min(best)[1] * width
+    return source.mapInArrow(run, ", ".join([*columns, f"`{name}` array<double>"]))
+
+
+def _cut(values: np.ndarray, kinds: np.ndarray) -> tuple[float, float]:
+    """Cost and threshold: COST times the good documents below it, plus the toxic and the low-quality ones from it on (as rates, the mean of those kinds that there are)."""
+    order = np.argsort(values, kind="stable")
+    values, kinds = values[order], kinds[order]
+    below = {k: np.concatenate([[0.0], np.cumsum(kinds == k)]) for k in ("good", "toxic", "low")}
+    cost = COST * below["good"] / below["good"][-1] + np.mean([1 - b / b[-1] for k, b in below.items() if k != "good" and b[-1]], axis=0)
+    able = np.concatenate([[True], values[1:] > values[:-1], [True]])  # cuts between equal values are none
+    at = int(np.argmin(np.where(able, cost, np.inf)))
+    if at == 0:
+        return float(cost[0]), -math.inf
+    if at == len(values):
+        return float(cost[at]), math.inf
+    low, high = values[at - 1], values[at]
+    return float(cost[at]), float((low + high) / 2 if math.isfinite(low) else high)
+
+
+def calibrated(weights: np.ndarray, kinds: np.ndarray, veto: bool = True) -> Rule:
+    """The rule from the weights (rows of Model.weights()) and kinds (good, toxic, low) of held-out documents; it accepts all if there aren't both good and bad ones."""
+    both = lambda k: bool((k == "good").any() and (k != "good").any())
+    if not both(kinds):
+        return Rule()
+    n = len(BARS)
+    (_, threshold), bar = min((_cut(weights[:, i], kinds), i) for i in range(n))
+    kept = weights[:, bar] >= threshold
+    if not veto or not both(kinds[kept]):
+        return Rule(bar, threshold)
+    (_, low), veto_bar = min((_cut(weights[kept, n + i], kinds[kept]), i) for i in range(n))
+    return Rule(bar, threshold, veto_bar, low)
 
 
 def kth_largest(table: DataFrame, column: str, k: int) -> float:
@@ -219,28 +256,28 @@ def kth_largest(table: DataFrame, column: str, k: int) -> float:
             above += rows[b]["n"]
 
 
-def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, id_column: str = "doc_id", text_column: str = "text", seed: int = SEED, drop_columns: bool = False) -> DataFrame:
-    """The sampled rows of docs, with log_weight and gumbel_key.
+def resampled(
+    docs: DataFrame, labels: DataFrame, k: int | None = None, id_column: str = "doc_id", text_column: str = "text", seed: int = SEED, drop_columns: bool = False,
+    temperature: float = TEMPERATURE, veto: bool = True,
+) -> DataFrame:
+    """The sampled rows of docs, with log_weight (above the threshold) and gumbel_key.
 
     k: how many rows to sample (rows that tie with the last all stay); None: as many as have a log weight of 0 or more,
-    that is as the calibrated threshold accepts. labels: doc_id, quality, toxic. Null and empty texts and texts without
-    words are never sampled (their weight is minus infinity). Without labels all other texts are. Repeated rows tie:
-    all or none are sampled. An empty table gives an empty sample. Columns of the new names are replaced, all others stay.
+    that is as the rule accepts. labels: doc_id, quality, toxic. Null and empty texts and texts without words are never
+    sampled, nor are those that the veto (if it is on) keeps out. Without labels all other texts are. Repeated rows tie: all
+    or none are sampled. Very long texts count whole. An empty table gives an empty sample. Columns of the new names (in any
+    case) are replaced, all others stay. Texts are read twice: to count features, and to weigh; they are never shuffled.
     """
-    bare = fit(docs, labels, id_column, text_column)
-    first = written(weighted(docs, bare, id_column, text_column, seed=seed, drop_columns=True).withColumnRenamed(id_column, "id"), "weights")
-    threshold = calibrated(first, labels)
-    if math.isinf(threshold):
-        threshold = -1e9
-    keys = first.select((F.col("log_weight") - threshold).alias("w"), (F.col("gumbel_key") - threshold / TEMPERATURE).alias("key"))
-    if k is None:
-        k = keys.where("w >= 0").count()
-    # keys are compared as they were written, before the threshold is taken off, so that both passes see equal numbers
-    cut = kth_largest(first, "gumbel_key", k)
-    keep = cut if math.isfinite(cut) else math.inf if cut > 0 else -1e300
-    if drop_columns:
-        found = first.where(F.col("gumbel_key") >= keep).withColumnRenamed("id", id_column)
-    else:  # another pass over the texts takes less than a shuffle of them
-        found = weighted(docs, bare, id_column, text_column, keep=keep, seed=seed)
-        forget(first)
-    return found.withColumn("log_weight", F.col("log_weight") - threshold)
+    kept = [id_column] if drop_columns else others(docs, ["log_weight", "gumbel_key"])
+    name = free("weights", kept)
+    first = written(weighted(docs.select(*(f"`{c}`" for c in others(docs, ["log_weight", "gumbel_key"]))), fit(docs, labels, id_column, text_column), id_column, text_column, seed, drop_columns, name), "weights")
+    at = lambda i: F.element_at(F.col(f"`{name}`"), F.lit(i + 1))
+    judged = first.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{name}`").alias("w")).join(_labels(labels).where("held_out"), "id").select("kind", "w").toArrow()  # bounded by MAX_LABELS
+    values = np.array(judged["w"].to_pylist(), dtype=np.float64).reshape(-1, 2 * len(BARS) + 1)[:, :-1]
+    rule = calibrated(values, judged["kind"].to_numpy(zero_copy_only=False), veto)
+    weight = at(rule.bar) - F.lit(rule.threshold if math.isfinite(rule.threshold) else 0.0)
+    accepted = F.lit(rule.threshold < 0) if math.isinf(rule.threshold) else F.col("log_weight") >= 0
+    able = first.where((at(0) > -math.inf) & (at(len(BARS) + rule.veto_bar) >= F.lit(max(rule.veto, -1e300))))
+    keyed = able.select(*(f"`{c}`" for c in kept), weight.alias("log_weight"), (weight / temperature + at(2 * len(BARS))).alias("gumbel_key"))
+    cut = kth_largest(keyed, "gumbel_key", keyed.where(accepted).count() if k is None else k)
+    return keyed.where(F.col("gumbel_key") >= F.lit(cut if math.isfinite(cut) else math.copysign(1e300, cut)))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,8 +65,6 @@ def test_url_model_tells_classes_apart(spark):
 
 def test_scores_equal_plain_model():
     """Hashed grams against counts of strings."""
-    import numpy as np
-
     texts = [b"http://a.b/c", b"", b"x", b"http://a.b/dd"]
     model = np.stack([urls._counts(texts[:2]), urls._counts(texts[2:])]).astype(float)
 
@@ -125,6 +124,77 @@ def test_resampling_keeps_the_good(spark):
     assert len(some) == 700 and sum(r.doc_id % 5 == 0 for r in some) <= 20
 
 
+def test_model_equals_plain_counts(spark):
+    """Counts, evidence, ratios and weights against loops over sets of features; then the k largest keys."""
+    import math
+
+    rows, known = corpus(300)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, raw string, w double").repartition(3)
+    labels = spark.createDataFrame(known, "doc_id bigint, quality int, toxic int")
+    split = {r.id: (r.kind, r.held_out) for r in quality._labels(labels).collect()}
+    assert all(kind == ("toxic" if t else "good" if q else "low") for i, q, t in known for kind in [split[i][0]])
+    of = {i: quality.features(t) for i, t, _, _ in rows}
+    plain = [[{}, {}, {}], [{}, {}, {}]]
+    totals = [0, 0, 0]
+    for i, f in of.items():
+        kinds = [0] + ([1] if i in split and not split[i][1] else []) + ([2] if split.get(i) == ("good", False) else [])
+        for k in kinds:
+            totals[k] += 1
+            for side in (0, 1):
+                for b in set(f[side].tolist()):
+                    plain[side][k][b] = plain[side][k].get(b, 0) + 1
+
+    def ratio(side, b):
+        raw, n, t = (plain[side][k].get(b, 0) for k in range(3))
+        r = math.log((t + quality.SMOOTH) / (raw * totals[2] / totals[0] + quality.SMOOTH))
+        rate = totals[2] / totals[1]
+        share = t / n if n else 0.0
+        evidence = n * ((share * math.log(share / rate) if share else 0.0) + ((1 - share) * math.log((1 - share) / (1 - rate)) if share < 1 else 0.0))
+        level = sum(evidence >= bar for bar in quality.BARS) if (share < rate) == (r < 0) else 0
+        return (r if level else 0.0), level
+
+    fitted = quality.fit(docs, labels)
+    for i in list(of)[:60]:
+        want = [0.0] * 8
+        for a, b in of[i].T.tolist():
+            (ra, la), (rb, lb) = ratio(0, a), ratio(1, b)
+            r, level = (ra if abs(ra) <= abs(rb) else rb), min(la, lb)
+            for bar in range(4):
+                if level > bar:
+                    want[bar] += r
+                    want[4 + bar] += min(r, 0.0)
+        assert fitted.weights(rows[i][1]) == pytest.approx(want, abs=1e-4)
+    assert (fitted.ratios != 0).sum() > 20 and (fitted.ratios > 0).any() and (fitted.ratios < 0).any()
+    scored = {r.doc_id: r.weights for r in quality.weighted(docs, fitted, drop_columns=True).collect()}
+    rule = quality.calibrated(np.array([scored[i][:-1] for i, x in split.items() if x[1]]), np.array([x[0] for x in split.values() if x[1]]))
+    got = {r.doc_id: (r.log_weight, r.gumbel_key) for r in quality.resampled(docs, labels, k=50, drop_columns=True).collect()}
+    able = {i: w[rule.bar] - rule.threshold for i, w in scored.items() if w[4 + rule.veto_bar] >= rule.veto}
+    keys = {i: w / quality.TEMPERATURE + scored[i][-1] for i, w in able.items()}
+    best = sorted(keys, key=lambda i: -keys[i])[:50]
+    assert set(got) == set(best) and all(got[i] == pytest.approx((able[i], keys[i])) for i in best)
+
+
+def test_cut_equals_all_cuts():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        values = rng.integers(-4, 5, 40) / 2.0
+        kinds = rng.choice(["good", "toxic", "low"], 40)
+        cost, at = quality._cut(values, kinds)
+        plain = lambda c: quality.COST * (values[kinds == "good"] < c).mean() + np.mean([(values[kinds == k] >= c).mean() for k in ("toxic", "low")])
+        assert cost == pytest.approx(plain(at)) == pytest.approx(min(map(plain, [-9.0, *(np.unique(values) + 0.25), 9.0])))
+
+
+def test_draw_decides_at_the_threshold(spark):
+    """At temperature 1 rows are drawn in proportion to their weights; at the default one the draw decides among those about the threshold."""
+    rows, known = corpus(600)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, raw string, w double")
+    labels = spark.createDataFrame(known, "doc_id bigint, quality int, toxic int")
+    by_weight = {r.doc_id for r in quality.resampled(docs, labels, k=200, temperature=1e-6, drop_columns=True).collect()}
+    drawn = [{r.doc_id for r in quality.resampled(docs, labels, k=200, temperature=t, seed=s, drop_columns=True).collect()} for t, s in ((1.0, 1), (1.0, 2), (quality.TEMPERATURE, 1))]
+    assert len({*map(frozenset, (by_weight, *drawn))}) == 4
+    assert len(by_weight & drawn[2]) > len(by_weight & drawn[0]) > 60
+
+
 def test_resampling_without_labels(spark):
     rows, _ = corpus(60)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, raw string, w double")
