@@ -57,8 +57,7 @@ def op6_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_license_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".txt")))
-    found = written(licenses.scan(read(spark, sf_dir, "documents"), "doc_id", "text", path), "licenses")
-    return licenses.inherited(found).withColumnRenamed("id", "doc_id")
+    return licenses.inherited(licenses.scan(read(spark, sf_dir, "documents"), "doc_id", "text", path)).withColumnRenamed("id", "doc_id")
 
 
 def op8_prefix_filter_join(spark: SparkSession, sf_dir: str) -> DataFrame:
