@@ -192,3 +192,51 @@ def test_equal_fingerprints_keep_their_own_links(spark):
     got = simhash.near_duplicates(df, k=5, max_bits=3, similarity=0.8).collect()
     assert len({r.fingerprint for r in got}) < len(docs) / 2
     assert all(r.component_id == r.id - r.id % 2 for r in got)
+
+
+def test_similarity_with_odd_rows(spark):
+    """Nulls, empty and blank texts, repeated rows and ids, short and very long texts; an empty table."""
+    rng = random.Random(12)
+    long = [f"w{rng.randrange(10**9)}" for _ in range(30_000)]
+    docs = [None, "", " \n", "one", "One", "one two", "a b c d e", "A b c d e", " ".join(long), " ".join([*long[:15_000], "changed", *long[15_001:]]), None, "one two"]
+    rows = [(None if n == 3 else n // 2, d, "clash") for n, d in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, unit string").coalesce(1)
+    got = simhash.near_duplicates(df, k=5, max_bits=3, similarity=0.8).orderBy("row").collect()
+    groups = {}
+    for n, r in enumerate(got):
+        groups.setdefault(r.component_id, set()).add(n)
+    assert {frozenset(g) for g in groups.values()} == set(map(frozenset, ([0, 1, 2, 10], [3, 4], [5, 11], [6, 7], [8, 9])))
+    assert sum(r.first for r in got) == 5
+    assert simhash.near_duplicates(df.limit(0), k=5, max_bits=3, similarity=0.8).count() == 0
+
+
+def test_layouts_give_equal_groups(spark, tmp_path):
+    rng = random.Random(13)
+    docs = []
+    for _ in range(60):
+        t = [f"w{rng.randrange(10**9)}" for _ in range(120)]
+        docs.append(" ".join(t))
+        for i in range(rng.randint(0, 4)):
+            t[rng.randrange(120)] = f"x{i}"
+            docs.append(" ".join(t))
+    found = [groups_found(spark, docs, n) for n in (1, 5, 16)]
+    assert found[0] == found[1] == found[2] == groups_by_jaccard(docs, 0.8)
+
+
+def test_pairs_at_the_similarity(spark):
+    """Of a thousand pairs from 0.80 to 0.82 nearly all are found, and of as many below 0.8 none."""
+    rng = random.Random(14)
+    docs, near = [], []
+    for n in range(1200):
+        t = [f"w{rng.randrange(10**9)}" for _ in range(204)]  # 200 shingles; an inner change takes 5 of them
+        u = list(t)
+        for i in range(4 if n % 2 else 5):
+            u[10 + 40 * i] = "changed"
+        a, b = ({" ".join(x[i : i + 5]) for i in range(200)} for x in (t, u))
+        near.append(len(a & b) / len(a | b))
+        docs += [" ".join(t), " ".join(u)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").repartition(4)
+    got = {r.id: r.component_id for r in simhash.near_duplicates(df, k=5, max_bits=3, similarity=0.8).collect()}
+    at = [got[2 * n] == got[2 * n + 1] for n, j in enumerate(near) if 0.8 <= j <= 0.82]
+    assert len(at) >= 500 and sum(at) >= 0.995 * len(at)
+    assert not any(got[2 * n] == got[2 * n + 1] for n, j in enumerate(near) if j < 0.8)

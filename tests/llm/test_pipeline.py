@@ -31,7 +31,7 @@ def small(spark, tmp_path_factory):
     docs += [(1004, None, None, None, None, None), (1005, "", "en", "s", 0, None), (None, text(90), None, None, None, None)]
     path = str(tmp_path_factory.mktemp("sf"))
     docs = [(i, t, lang, s, None if t is None else len(t), x) for i, t, lang, s, _, x in docs]
-    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint, keep string").repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint, N_hit string").repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(1, passage)], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
     return path, kind
@@ -58,6 +58,22 @@ def test_stages(spark, small, tmp_path):
     assert sorted(map(str, corpus_pipeline.run(spark, path).collect())) == sorted(map(str, docs.collect()))
 
 
+def test_clashing_names_stay(spark, small, tmp_path):
+    """Columns called like those that operators add come out of every stage as they went in."""
+    path, _ = small
+    clash = ["log_weight", "Gumbel_Key", "n_words", "items", "row", "__row", "weights", "noise", "unit", "secrets", "own_items", "spans"]
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    docs = docs.select("*", *(F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in clash))
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+        for r in docs.collect():
+            assert [r[c] for c in clash] == [f"{c} {'none' if r.doc_id is None else r.doc_id}" for c in clash]
+    assert docs.count() > 300
+
+
 def test_empty_tables(spark, small, tmp_path):
     path, _ = small
     for name in ("documents", "labels", "benchmark"):
