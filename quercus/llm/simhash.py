@@ -12,8 +12,9 @@ differ in about 10 bits, more than 8 bytes can guarantee a match for. With a sim
 Jaccard similarity of their shingle sets, counted exactly; fingerprints and sketches only say which pairs to count. Each
 distinct set (unit) has a sketch of 128 positional bytes, byte p being taken from the hash that is least under permutation
 p (a consistent sample, so a byte agrees as often as shingles do), indexed in the same way by groups of four. Neighbours in
-the lists are verified first, which joins most groups with few pairs; then the lists whose members still lie in several
-classes are compared, every member with all of other classes, in blocks, and what their tally allows for is verified too.
+a few lists are verified first, which joins most groups with few pairs, then those neighbours in the other lists that still
+lie in different classes; then the lists whose members lie in several classes are compared, every member with all of other
+classes, in blocks, and what their tally allows for is verified too.
 """
 
 from __future__ import annotations
@@ -34,9 +35,9 @@ SEED = 42
 PAIRWISE = 512
 
 
-#: Positional bytes of a sketch, groups of four of them that are indexed, how far below the similarity a tally may be
+#: Positional bytes of a sketch, groups of four of them that are indexed, those whose neighbours are verified first, how far below the similarity a tally may be
 #: (four standard errors at 0.8), and members of a list that are compared in one block.
-SKETCH_BYTES, GROUPS, SLACK, BLOCK = 128, 20, 0.14, 512
+SKETCH_BYTES, GROUPS, FIRST, SLACK, BLOCK = 128, 20, 4, 0.14, 512
 _PERMUTATIONS = np.random.Generator(np.random.PCG64(SEED)).integers(1, 1 << 32, (2, SKETCH_BYTES), dtype=np.uint32) | np.array([[1], [0]], dtype=np.uint32)
 
 
@@ -141,10 +142,11 @@ def _pairs(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.Record
 
 
 def neighbours(members: DataFrame) -> DataFrame:
-    """a, b: members (key, unit, n: how many the list has) that are next to each other in a block of a list. Blocks and orders differ from list to list; short lists are one block."""
+    """a, b: members (key, unit, n: how many the list has, root) with different roots that are next to each other in a block of a list. Blocks and orders differ from list to list; short lists are one block."""
     at = F.pmod(F.xxhash64("unit", "key"), F.ceil(F.col("n") / BLOCK))
     over = Window.partitionBy("key", at).orderBy(F.xxhash64("key", "unit", F.lit(1)), "unit")
-    return _ordered(members.select(F.col("unit").alias("a"), F.lag("unit").over(over).alias("b")).where("b is not null"))
+    beside = members.select(F.col("unit").alias("a"), F.col("root").alias("x"), F.lag("unit").over(over).alias("b"), F.lag("root").over(over).alias("y"))
+    return _ordered(beside.where("b is not null and x != y"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -223,26 +225,40 @@ def similar_links(units: DataFrame, df: DataFrame, text_column: str, row_column:
     members = written(posted.join(counted, "key"), "members")
     for table in (posted, counted, near, prints):
         forget(table)
-    pairs = written(_ordered(neighbours(members).union(alike)), "pairs")
+    group = F.shiftright("key", 32)
+    pairs = written(_ordered(neighbours(members.where(group < FIRST).withColumn("root", F.col("unit"))).union(alike)), "pairs")
     # every pair that is compared below stands in a list with another unit, so these are all the sets there is need of
     names = written(members.select("unit").union(alike.select(F.explode(F.array("a", "b")))).distinct(), "names")
     sets = sets_of(names, units, df, text_column, row_column, k)
-    found = verified(pairs, sets, similarity)
-    classes = written(components(found, "a", "b"), "classes")
-    rooted = written(members.join(classes.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit")), "rooted")
+    first = verified(pairs, sets, similarity)
+    rooted = _rooted(members, first)
+    more = written(neighbours(rooted.where(group >= FIRST)).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    second = verified(more, sets, similarity)
+    for table in (alike, names, rooted):
+        forget(table)
+    found = written(first.union(second), "found")
+    rooted = _rooted(members, found)
     several = written(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key"), "several")
     mixed = written(rooted.join(several, "key", "left_semi"), "mixed")
-    for table in (members, alike, names, classes, rooted, several):
+    for table in (members, rooted, several, first, second):
         forget(table)
-    more = written(across(mixed.join(units.select("unit", "sketch"), "unit"), similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    for table in (mixed, pairs):
+    rest = written(across(mixed.join(units.select("unit", "sketch"), "unit"), similarity).join(pairs.union(more), ["a", "b"], "left_anti"), "pairs")
+    for table in (mixed, pairs, more):
         forget(table)
-    last = verified(more, sets, similarity)
-    for table in (more, sets):
+    last = verified(rest, sets, similarity)
+    for table in (rest, sets):
         forget(table)
     return found.union(last), [found, last]
 
 
+def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members with root, the least unit of their class by the links."""
+    classes = written(components(links, "a", "b"), "classes")
+    rooted = written(members.join(classes.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit")), "rooted")
+    forget(classes)
+    return rooted
+
+
 def _flips(free: list[int], d: int) -> np.ndarray:
     """All sets of up to d of the free bits."""
     return np.array([sum(1 << b for b in c) for n in range(1, d + 1) for c in combinations(free, n)], dtype=np.uint64)
