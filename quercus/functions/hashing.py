@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,9 +23,14 @@ def verified(size: Column, crc: Column, content: Column) -> Column:
     return (F.octet_length(content) == size) & (crc32_hex(content) == F.upper(crc))
 
 
-def set_fingerprint(c: Column) -> Column:
-    """Aggregate: SHA-256 of the sorted distinct values as a compact JSON list."""
-    return sha256(F.to_json(F.array_sort(F.collect_set(c))))
+def set_fingerprint(df: DataFrame, column: str) -> str:
+    """SHA-256 of the sorted distinct values as a compact JSON list. The hash needs them in order: they come to the driver range by range, and none is kept."""
+    digest, before = hashlib.sha256(), b"["
+    values = df.select(F.col(column).alias("v")).where("v is not null").distinct()
+    for row in values.repartitionByRange("v").sortWithinPartitions("v").toLocalIterator():
+        digest.update(before + json.dumps(row[0], ensure_ascii=False).encode())
+        before = b","
+    return (digest.update(b"]" if before == b"," else b"[]"), digest.hexdigest())[1]
 
 
 def short_id(c: Column, digits: int = 20) -> Column:
@@ -52,6 +59,6 @@ def image_kind(content: Column) -> Column:
     head = lambda a, n: F.hex(F.substring(content, a, n))
     return (
         F.when((head(1, 4) == "52494646") & (head(9, 4) == "57454250"), "webp")
-        .when(head(1, 3) == "FFD8FF", "jpeg")
+        .when(head(1, 2) == "FFD8", "jpeg")
         .when(head(1, 8) == "89504E470D0A1A0A", "png")
     )

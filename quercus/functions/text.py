@@ -4,54 +4,55 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from quercus.functions.unicode import nfc, nfkc, nfkc_casefold, ratio
 
 # Both ways of writing Cyrillic in Latin letters. A is that of media names, B that of label text.
 CYRILLIC = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
-LATIN_A = "a b v g d e yo zh z i j k l m n o p r s t u f h cz ch sh shh _ y _ e yu ya".split()
-LATIN_B = "a b v g d e e zh z i y k l m n o p r s t u f h ts ch sh sch _ y _ e yu ya".split()
+LATIN_A = ["a", "b", "v", "g", "d", "e", "yo", "zh", "z", "i", "j", "k", "l", "m", "n", "o", "p", "r", "s", "t", "u", "f", "h", "cz", "ch", "sh", "shh", "", "y", "", "e", "yu", "ya"]
+LATIN_B = ["a", "b", "v", "g", "d", "e", "e", "zh", "z", "i", "y", "k", "l", "m", "n", "o", "p", "r", "s", "t", "u", "f", "h", "ts", "ch", "sh", "sch", "", "y", "", "e", "yu", "ya"]
 # Signs that look alike. Latin for Cyrillic, Greek for Cyrillic.
 LOOKALIKE_LATIN, LOOKALIKE_LATIN_TO = "abcehkmoptxy3", "авсенкмортхуз"
 LOOKALIKE_GREEK, LOOKALIKE_GREEK_TO = "ΑΒΓΔΕΖΗΚΛΜΟΠΡΤΥΦΧαγδεκλμοπρτυφχ", "АВГДЕЗНКЛМОПРТУФХагдеклмопртуфх"
 # Words of both scripts for grapes and styles, by the Cyrillic word that stands for all.
 TERMS = {
-    "каберне": "cabernet kaberne",
-    "совиньон": "sauvignon sovinon",
-    "фран": "franc fran",
-    "мерло": "merlot merlo",
-    "пино": "pinot pino",
-    "нуар": "noir nuar",
-    "блан": "blanc blancs blan",
-    "гри": "gris",
-    "гриджио": "grigio gridzhio",
-    "шардоне": "chardonnay shardone",
-    "рислинг": "riesling risling",
-    "сира": "syrah shiraz sira шираз",
-    "мускат": "muscat moscato muskat",
-    "алиготе": "aligote",
-    "ркацители": "rkatsiteli rkaciteli",
-    "вионье": "viognier vione",
-    "шенен": "chenin shenen",
-    "траминер": "traminer",
-    "мальбек": "malbec malbek",
-    "санджовезе": "sangiovese sandzhoveze",
-    "темпранильо": "tempranillo",
-    "розе": "rose roze",
-    "руж": "rouge ruzh",
-    "брют": "brut bryut",
-    "резерв": "reserve reserva rezerv",
-    "совиньонблан": "sauvignonblanc",
-    "саперави": "saperavi",
-    "кокур": "kokur",
-    "красностоп": "krasnostop",
-    "цимлянский": "tsimlyanskiy tsimlyansky",
-    "мюскадель": "muscadelle",
+    "каберне": ["cabernet", "kaberne"],
+    "совиньон": ["sauvignon", "sovinon"],
+    "фран": ["franc", "fran"],
+    "мерло": ["merlot", "merlo"],
+    "пино": ["pinot", "pino"],
+    "нуар": ["noir", "nuar"],
+    "блан": ["blanc", "blancs", "blan"],
+    "гри": ["gris"],
+    "гриджио": ["grigio", "gridzhio"],
+    "шардоне": ["chardonnay", "shardone"],
+    "рислинг": ["riesling", "risling"],
+    "сира": ["syrah", "shiraz", "sira", "шираз"],
+    "мускат": ["muscat", "moscato", "muskat"],
+    "алиготе": ["aligote"],
+    "ркацители": ["rkatsiteli", "rkaciteli"],
+    "вионье": ["viognier", "vione"],
+    "шенен": ["chenin", "shenen"],
+    "траминер": ["traminer"],
+    "мальбек": ["malbec", "malbek"],
+    "санджовезе": ["sangiovese", "sandzhoveze"],
+    "темпранильо": ["tempranillo"],
+    "розе": ["rose", "roze"],
+    "руж": ["rouge", "ruzh"],
+    "брют": ["brut", "bryut"],
+    "резерв": ["reserve", "reserva", "rezerv"],
+    "совиньонблан": ["sauvignonblanc"],
+    "саперави": ["saperavi"],
+    "кокур": ["kokur"],
+    "красностоп": ["krasnostop"],
+    "цимлянский": ["tsimlyanskiy", "tsimlyansky"],
+    "мюскадель": ["muscadelle"],
 }
 # Words that say nothing.
-STOP_WORDS = "вино wine vino винодельня winery россии russia год урожая сорт сорта винограда the and of de из для выдержка".split()
+STOP_WORDS = ["вино", "wine", "vino", "винодельня", "winery", "россии", "russia", "год", "урожая", "сорт", "сорта", "винограда", "the", "and", "of", "de", "из", "для", "выдержка"]
 # Style phrases, the more specific first.
 STYLES = {
     "sweetness": {
@@ -76,11 +77,11 @@ _RUNS = "([a-zа-яё]+|[0-9]+)"
 
 def spelled(c: Column, table: list[str]) -> Column:
     """Lower-case Cyrillic in Latin letters by one of the tables; other signs stay."""
-    single = [(x, y) for x, y in zip(CYRILLIC, table, strict=True) if len(y) == 1 and y != "_"]
+    single = [(x, y) for x, y in zip(CYRILLIC, table, strict=True) if len(y) == 1]
     out = F.translate(c, "".join(x for x, _ in single), "".join(y for _, y in single))
     for x, y in zip(CYRILLIC, table, strict=True):
-        if len(y) > 1 or y == "_":
-            out = F.replace(out, F.lit(x), F.lit("" if y == "_" else y))
+        if len(y) != 1:
+            out = F.replace(out, F.lit(x), F.lit(y))
     return out
 
 
@@ -173,7 +174,7 @@ def roman(c: Column) -> Column:
 
 
 def _terms() -> Column:
-    return F.create_map(*[F.lit(x) for whole, variants in TERMS.items() for v in variants.split() for x in (v, whole)])
+    return F.create_map(*[F.lit(x) for whole, variants in TERMS.items() for v in variants for x in (v, whole)])
 
 
 def raw_runs(c: Column) -> Column:
@@ -223,17 +224,37 @@ def lenient_boolean(c: Column) -> Column:
     return F.coalesce(F.lower(F.trim(c.cast("string"))).isin("1", "true", "yes", "y"), F.lit(False))
 
 
+def named(df: DataFrame, names: list[str]) -> Column:
+    """The first value that isn't null or empty of the columns called so, in the order of names, as text (lists and objects as JSON); case and blanks around a column's name make no difference."""
+    by_name = {f.name.strip().lower(): f for f in df.schema.fields}
+    written = lambda f: F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, (S.ArrayType, S.MapType, S.StructType, S.VariantType)) else F.col(f"`{f.name}`").cast("string")
+    found = [F.nullif(written(by_name[n.lower()]), F.lit("")) for n in names if n.lower() in by_name]
+    return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+
+def _slugs(items: Column) -> Column:
+    """Names from an array of variants: strings, and the slugs of objects that are strings; trimmed, in order, once each, the rest left out."""
+    text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    own = F.transform(items, lambda v: F.coalesce(text(v), text(F.try_variant_get(v, "$.slug", "variant"))))
+    return F.array_distinct(F.filter(F.transform(own, _trim), lambda x: x.isNotNull() & (x != "")))
+
+
 def candidate_list(c: Column) -> Column:
     """Names from a JSON array of strings or objects with slug, or from a list with | or , between; in order, once each.
 
-    Null and blank give null; what begins as JSON and isn't an array gives an empty list.
+    Null and empty give null, blanks an empty list; so does what begins like an array and isn't one.
     """
-    text = F.trim(c)
-    split = F.split(text, "[|,]")
-    tidy = lambda a: F.array_distinct(F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
-    json = F.from_json(text, "array<string>")
-    names = F.transform(json, lambda x: F.when(F.ltrim(x).startswith("{"), F.get_json_object(x, "$.slug")).otherwise(x))
-    return F.when(text.isNull() | (text == ""), None).when(text.startswith("[") | text.startswith("{"), F.coalesce(tidy(names), F.array().cast("array<string>"))).otherwise(tidy(split))
+    text = _trim(c)
+    none = F.array().cast("array<string>")
+    split = F.array_distinct(F.filter(F.transform(F.split(text, "[|,]"), _trim), lambda x: x != ""))
+    listed = F.coalesce(_slugs(F.try_variant_get(F.try_parse_json(F.when(text.startswith("["), text)), "$", "array<variant>")), none)
+    return F.when(c.isNull() | (c == ""), None).when(text.startswith("["), listed).otherwise(split)
+
+
+def candidate_values(v: Column) -> Column:
+    """candidate_list of a value inside a JSON document: a string as above, an array, an empty list for anything else; null stays null."""
+    kind, none = F.schema_of_variant(v), F.array().cast("array<string>")
+    return F.when(v.isNull() | (kind == "VOID"), None).when(kind == "STRING", candidate_list(F.try_variant_get(v, "$", "string"))).otherwise(F.coalesce(_slugs(F.try_variant_get(v, "$", "array<variant>")), none))
 
 
 def safe_path(c: Column, most: int = 240) -> Column:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import difflib
+from bisect import insort
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quercus.functions import text as T
 from quercus.functions.tables import written
-from quercus.functions.unicode import ratio
 
 FIELDS = ["name", "category", "color", "region", "grapes", "description", "winery", "slug", "photo_name"]
 
@@ -119,16 +124,42 @@ def media_decisions(photos: DataFrame, entries: DataFrame, overrides: DataFrame)
     return asked.join(one, "photo_name", "left").select("photo_name", status.alias("status"), "s.method", "s.path", "s.size", "s.crc", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 
 
+#: Keys that are asked for at a time.
+ASKED = 1024
+
+
 def suggestions(unresolved: DataFrame, keys: DataFrame, k: int = 3) -> DataFrame:
-    """key, known, score, rank: the k known keys most like each unresolved one (ratio, then name).
+    """key, known, score, rank: the k known keys most like each unresolved one (Ratcliff and Obershelp's ratio, then name); always k, if there are as many.
 
-    Keys meet on a common trigram, padded at both ends, so keys with nothing in common are never compared.
+    The unresolved keys go to the known ones in blocks; every task sends on its k best for each key. Of two bounds of the
+    ratio that take less time the first that lies below a key's k-th best so far passes a known key over, which loses none.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + 2), lambda i: F.substring(F.concat(F.lit("^^"), c, F.lit("$$")), i, F.lit(3))))
-    left = unresolved.select("key").distinct().select("key", F.explode(grams(F.col("key"))).alias("gram"))
-    right = keys.select(F.col("key").alias("known")).distinct().select("known", F.explode(grams(F.col("known"))).alias("gram"))
-    pairs = left.join(right, "gram").select("key", "known").distinct().withColumn("score", ratio(F.col("key"), F.col("known")))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), F.asc("known")))).where(F.col("rank") <= k)
+    source = keys.select(F.col("key").alias("known")).where("known is not null").distinct()
+    asked = iter(unresolved.select("key").where("key is not null").distinct().toLocalIterator())
+    found = None
+    while block := [r[0] for r in islice(asked, ASKED)]:
+        shipped = keys.sparkSession.sparkContext.broadcast(sorted(block))
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            best: dict[str, list[tuple[float, str]]] = {a: [] for a in shipped.value}
+            for batch in batches:
+                for known in batch.column(0).to_pylist():
+                    matcher = difflib.SequenceMatcher(None, "", known, autojunk=False)  # what is second is prepared once
+                    for a, held in best.items():
+                        matcher.set_seq1(a)
+                        low = -held[-1][0] if len(held) == k else -1.0
+                        if matcher.real_quick_ratio() >= low and matcher.quick_ratio() >= low and (score := matcher.ratio()) >= low:
+                            insort(held, (-score, known))
+                            del held[k:]
+            rows = [(a, name, -score) for a, held in best.items() for score, name in held]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["key", "known", "score"])
+
+        part = written(source.mapInArrow(run, "key string, known string, score double"), "suggestions")
+        shipped.destroy()
+        found = part if found is None else found.union(part)
+    if found is None:
+        return source.sparkSession.createDataFrame([], "key string, known string, score double, rank int")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), F.asc("known")))).where(F.col("rank") <= k)
 
 
 def merged(official: DataFrame, web: DataFrame, key: str) -> DataFrame:

@@ -43,6 +43,50 @@ def slices(rows: DataFrame, group: str) -> DataFrame:
     return rows.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("group")).agg(F.count("*").alias("n"), F.avg(correct.cast("double")).alias("accuracy"), F.count_distinct("expected").alias("n_expected")).withColumn("hard", F.col("n_expected") >= 2)
 
 
+def _sliced(rows: DataFrame, kind: str, name: Column, k: int) -> DataFrame:
+    correct = F.coalesce(F.col("expected") == F.col("predicted"), F.lit(False)).cast("double")
+    covered = F.col("candidates").isNotNull()
+    hit = F.when(covered, F.coalesce(F.array_contains(F.slice("candidates", 1, k), F.col("expected")), F.lit(False)).cast("double"))
+    return rows.groupBy(F.lit(kind).alias("slice"), name.cast("string").alias("name")).agg(
+        F.count("*").alias("queries"), F.count_distinct("expected").alias("classes"), F.round(F.avg(correct), 3).alias("accuracy"), F.count_if(covered).alias("candidate_coverage"), F.round(F.avg(hit), 3).alias("recall_at_5")
+    )
+
+
+def all_slices(rows: DataFrame, groups: tuple[str, ...] = ("hard_negative_group", "group_id", "group"), k: int = 5) -> DataFrame:
+    """slice, name, queries, classes, accuracy, candidate_coverage, recall_at_5 of labelled rows (expected, predicted, candidates; split, is_hard_negative and the group columns where there are).
+
+    Slices: group (by the first group column that has a value in any row), hard_negative (rows of groups with two or more
+    expected classes), explicit_hard_negative (rows with the flag), split; and macro_group, whose accuracy is the mean of the
+    groups'. Slices without rows are missing.
+    """
+    labelled = rows.where("expected is not null")
+    asked = [g for g in groups if g in rows.columns]
+    has = labelled.agg(*(F.count(g).alias(g) for g in asked)).first() if asked else {}
+    field = next((g for g in asked if has[g]), None)
+    out = []
+    if field:
+        grouped = labelled.where(F.col(field).isNotNull())
+        by = _sliced(grouped, "group", F.col(field), k)
+        hard = grouped.groupBy(F.col(field).alias("__g")).agg(F.count_distinct("expected").alias("__n")).where("__n >= 2").select(F.col("__g").alias(field))
+        none = F.lit(None)
+        macro = by.agg(F.lit("macro_group").alias("slice"), F.lit(field).alias("name"), F.count("*").alias("queries"), none.cast("bigint").alias("classes"), F.round(F.avg("accuracy"), 3).alias("accuracy"), none.cast("bigint").alias("candidate_coverage"), none.cast("double").alias("recall_at_5"))
+        out += [by, macro, _sliced(grouped.join(hard, field, "left_semi"), "hard_negative", F.lit(None), k)]
+    if "is_hard_negative" in rows.columns:
+        out.append(_sliced(labelled.where("is_hard_negative"), "explicit_hard_negative", F.lit(None), k))
+    if "split" in rows.columns:
+        out.append(_sliced(labelled.where("split is not null"), "split", F.col("split"), k))
+    found = out[0] if out else _sliced(labelled.limit(0), "split", F.lit(None), k)
+    for part in out[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def method_accuracy(rows: DataFrame, method: str = "method") -> DataFrame:
+    """method, n, right, accuracy."""
+    right = F.count_if(F.coalesce(F.col("expected") == F.col("predicted"), F.lit(False)))
+    return rows.groupBy(F.col(method).alias("method")).agg(F.count("*").alias("n"), right.alias("right"), (right / F.count("*")).alias("accuracy"))
+
+
 def _at(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """rows with a value, with place in their group (from 1) and __of, the group's size; groups that aren't null."""
     some = rows.where(F.col(value).isNotNull()).select(*by, value)
@@ -127,61 +171,48 @@ def places(rows: DataFrame, position: str, by: list[str] | None = None) -> DataF
     return a.join(b, same).select(*(F.col(f"a.{c}") for c in rows.columns), (F.col("__before") + F.col("__in")).cast("bigint").alias("place"))
 
 
-# The codes of the issues and how serious they are.
-ERRORS = (
-    "invalid_query_id duplicate_query_id invalid_image_path unsafe_image_path invalid_query_checksum unknown_expected_slug empty_query_manifest "
-    "invalid_candidate_query_id missing_candidates duplicate_candidate_query_id extra_candidate_query_id missing_prediction_field "
-    "invalid_prediction_query_id duplicate_prediction invalid_prediction_image_path invalid_prediction_checksum invalid_predicted_slug "
-    "unknown_predicted_slug invalid_latency unknown_candidate_slug missing_prediction extra_prediction image_path_mismatch image_missing "
-    "prediction_checksum_mismatch source_checksum_mismatch query_checksum_mismatch"
-).split()
-WARNINGS = "prediction_order checksum_not_declared candidate_top1_mismatch partial_labels checksums_not_verified".split()
-INFOS = "catalog_not_provided unlabeled_manifest".split()
-
-
-def issues(rows: DataFrame, key: Column, checks: dict[str, Column]) -> DataFrame:
-    """level, code, key: one row for each check that a row fails (null passes)."""
-    level = {**dict.fromkeys(ERRORS, "error"), **dict.fromkeys(WARNINGS, "warning"), **dict.fromkeys(INFOS, "info")}
-    entries = F.array(*(F.when(c, F.struct(F.lit(level[n]).alias("level"), F.lit(n).alias("code"))) for n, c in checks.items()))
-    return rows.select(key.cast("string").alias("key"), F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")).select("e.level", "e.code", "key")
-
-
-def status(found: DataFrame) -> DataFrame:
-    return found.agg(F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warning").alias("warnings")).withColumn("status", F.when(F.col("errors") > 0, "invalid").otherwise("valid"))
-
+def dataset_issues(rows: DataFrame, contents: DataFrame | None = None, n_objects: int = 3, splits: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
+    """query_id, code: what is wrong with generated scenes.
 
-def prediction_checks(latest: str = "latency_ms") -> dict[str, Column]:
-    """Checks of one prediction row: query_id, image_path, image_sha256, predicted_slug, latency_ms."""
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    return {
-        "invalid_prediction_query_id": blank(F.col("query_id")) | ~F.coalesce(F.col("query_id"), F.lit("")).rlike("^[A-Za-z0-9._:-]+$"),
-        "invalid_prediction_image_path": blank(F.col("image_path")) | ~T.safe_path(F.coalesce(F.col("image_path"), F.lit(""))),
-        "invalid_prediction_checksum": ~F.coalesce(F.lower("image_sha256"), F.lit("")).rlike("^[0-9a-f]{64}$"),
-        "invalid_predicted_slug": F.col("predicted_slug").isNotNull() & ~F.col("predicted_slug").rlike("^[A-Za-z0-9_-]+$"),
-        "invalid_latency": F.col(latest).isNull() | F.isnan(latest) | (F.col(latest) < 0) | (F.abs(F.col(latest)) == float("inf")),
-    }
-
-
-def first_predictions(rows: DataFrame, position: str) -> DataFrame:
-    """rows with usable id: the first of each query_id; invalid ids get one of their own."""
-    own = F.when(F.coalesce(F.trim("query_id"), F.lit("")) == "", F.concat(F.lit("__invalid_row_"), F.col(position))).otherwise(F.col("query_id"))
-    return rows.withColumn("query_id", own).withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(position)))
-
-
-def dataset_issues(rows: DataFrame, objects: str = "objects", n_objects: int = 3) -> DataFrame:
-    """query_id, code of scenes whose id repeats, whose objects aren't distinct or as many, whose boxes leave the frame or whose target isn't nearest to the centre."""
-    centre = lambda o: F.abs((o["bbox_xyxy"][0] + o["bbox_xyxy"][2]) / 2 - F.col("width") / 2)
-    boxed = F.col(objects)
+    rows: query_id, split, image_path, expected_slug, source_sha256, scene (of several objects: shelf), width, height, objects
+    (slug, source_sha256, bbox_xyxy, is_target), and optionally image_sha256, generator, leakage_group. contents: image_path
+    and sha256 of the pictures that there are; without it pictures aren't looked at. Classes, sources and families that
+    stand in several splits are in crossing().
+    """
+    centre = lambda o: F.pow((o["bbox_xyxy"][0] + o["bbox_xyxy"][2]) / 2 - F.col("width") / 2, F.lit(2.0)) + F.pow((o["bbox_xyxy"][1] + o["bbox_xyxy"][3]) / 2 - F.col("height") / 2, F.lit(2.0))
+    boxed = F.coalesce("objects", F.array().cast(rows.schema["objects"].dataType))
     inside = F.forall(boxed, lambda o: (o["bbox_xyxy"][0] >= 0) & (o["bbox_xyxy"][1] >= 0) & (o["bbox_xyxy"][2] <= F.col("width")) & (o["bbox_xyxy"][3] <= F.col("height")) & (o["bbox_xyxy"][0] < o["bbox_xyxy"][2]) & (o["bbox_xyxy"][1] < o["bbox_xyxy"][3]))
-    nearest = F.get(F.array_sort(F.transform(boxed, lambda o: F.struct(centre(o).alias("d"), (~o["is_target"]).alias("other")))), 0)["other"]
-    repeated = F.count("*").over(Window.partitionBy("query_id")) > 1
-    checks = F.array(
-        F.when(repeated, "duplicate_query_id"),
-        F.when((F.size(boxed) != n_objects) | (F.size(F.array_distinct(F.transform(boxed, lambda o: o["slug"]))) != n_objects), "objects_not_distinct"),
-        F.when(~inside, "box_outside"),
-        F.when(F.coalesce(nearest, F.lit(True)), "target_not_central"),
-    )
-    return rows.withColumn("__c", checks).select("query_id", F.explode(F.filter("__c", lambda c: c.isNotNull())).alias("code"))
+    nearest = F.get(F.array_sort(F.transform(boxed, lambda o: F.struct(centre(o).alias("d"), o["is_target"].alias("is")))), 0)["is"]
+    targets = F.filter(boxed, lambda o: o["is_target"])
+    several = F.col("scene") == "shelf"
+    labelled = (F.size(targets) == 1) & F.coalesce(F.get(targets, 0)["slug"] == F.col("expected_slug"), F.lit(False))
+    many = rows.groupBy("query_id").agg(F.count("*").alias("__n"))
+    marked = rows.join(many, "query_id")
+    checks = [
+        F.when(F.col("__n") > 1, "duplicate_query_id"),
+        F.when(~F.coalesce(F.col("split").isin(*splits), F.lit(False)), "invalid_split"),
+        F.when(several & ~labelled, "invalid_centre_label"),
+        F.when(several & labelled & ((F.size(boxed) != n_objects) | (F.size(F.array_distinct(F.transform(boxed, lambda o: o["slug"]))) != n_objects)), "invalid_distractors"),
+        F.when(several & labelled & ~inside, "invalid_bounds"),
+        F.when(several & labelled & ~F.coalesce(nearest, F.lit(False)), "target_not_central"),
+    ]
+    if contents is not None:
+        declared = F.nullif("image_sha256", F.lit("")) if "image_sha256" in rows.columns else F.lit(None).cast("string")
+        newer = F.coalesce(F.col("generator") >= 3, F.lit(False)) if "generator" in rows.columns else F.lit(False)
+        marked = marked.join(contents.select("image_path", F.col("sha256").alias("__sha")), "image_path", "left")
+        there = F.col("__sha").isNotNull() & T.safe_path(F.col("image_path"))
+        checks += [F.when(~there, "missing_or_unsafe_image"), F.when(there & (F.col("__sha") != declared), "image_checksum_mismatch"), F.when(there & declared.isNull() & newer, "missing_image_checksum")]
+    return marked.withColumn("__c", F.array(*checks)).select("query_id", F.explode(F.filter("__c", lambda c: c.isNotNull())).alias("code"))
+
+
+def crossing(rows: DataFrame) -> DataFrame:
+    """kind (class, source, family), key, splits: what scenes of dataset_issues(), their objects included, have in more than one split."""
+    own = [F.struct(F.lit("class").alias("kind"), F.col("expected_slug").alias("key")), F.struct(F.lit("source").alias("kind"), F.col("source_sha256").alias("key"))]
+    if "leakage_group" in rows.columns:
+        own.append(F.struct(F.lit("family").alias("kind"), F.nullif("leakage_group", F.lit("")).alias("key")))
+    others = F.flatten(F.transform(F.coalesce("objects", F.array().cast(rows.schema["objects"].dataType)), lambda o: F.array(F.struct(F.lit("class").alias("kind"), o["slug"].alias("key")), F.struct(F.lit("source").alias("kind"), o["source_sha256"].alias("key")))))
+    pairs = rows.select("split", F.explode(F.concat(F.array(*own), others)).alias("p")).select("split", "p.kind", "p.key").where("key is not null")
+    return pairs.groupBy("kind", "key").agg(F.array_sort(F.collect_set("split")).alias("splits")).where(F.size("splits") > 1)
 
 
 def first_reason(conditions: dict[str, Column]) -> Column:
@@ -200,12 +231,29 @@ def report(metrics: dict, found: list[dict]) -> str:
     return "\n".join(lines) + "\n"
 
 
+# What a ranked list of answers may be called.
+CANDIDATE_FIELDS = ["candidate_slugs", "top_5", "top5", "top_k", "candidates", "matches"]
+
+
 def parsed_response(body: Column) -> Column:
-    """slug and error of a prediction service's answer: slug, predicted_slug or wine.slug of a JSON object; anything else is invalid_response."""
-    field = lambda path: F.get_json_object(body, path)
-    slug = T.first_filled(field("$.slug"), field("$.predicted_slug"), field("$.wine.slug"))
-    whole = F.coalesce(F.ltrim(body).startswith("{"), F.lit(False)) & F.try_parse_json(body).isNotNull()
-    return F.struct(F.when(whole, slug).alias("slug"), F.when(~whole | (slug.isNull() & field("$.error.code").isNull()), "invalid_response").otherwise(field("$.error.code")).alias("error"))
+    """slug, candidates and error of a prediction service's answer.
+
+    An array is a ranked list: its first name is the answer. An object has slug and may have a list under one of
+    CANDIDATE_FIELDS (without one the answer is the list). Anything else is invalid_response; an error's code stays.
+    """
+    whole = F.try_parse_json(body)
+    kind = F.schema_of_variant(whole)
+    at = lambda path, t="variant": F.try_variant_get(whole, path, t)
+    listed = T.candidate_values(whole)
+    text = F.nullif(F.regexp_replace(F.when(F.schema_of_variant(at("$.slug")) == "STRING", at("$.slug", "string")), r"(?U)^\s+|\s+$", ""), F.lit(""))
+    filled = lambda v: F.when(~F.coalesce(F.schema_of_variant(v) == "VOID", F.lit(True)) & ~F.coalesce((F.schema_of_variant(v) == "STRING") & (F.try_variant_get(v, "$", "string") == ""), F.lit(False)), v)
+    own = F.coalesce(T.candidate_values(F.coalesce(*(filled(at(f"$.{f}")) for f in CANDIDATE_FIELDS))), F.when(text.isNotNull(), F.array(text)))
+    is_list, is_object = F.coalesce(kind.startswith("ARRAY"), F.lit(False)), F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+    return F.struct(
+        F.when(is_list, F.get(listed, 0)).when(is_object, text).alias("slug"),
+        F.when(is_list, listed).when(is_object, own).alias("candidates"),
+        F.when(~is_list & ~is_object, "invalid_response").when(is_object, at("$.error.code", "string")).alias("error"),
+    )
 
 
 def totals(rows: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quercus.functions.hashing import weighted_choice
+from quercus.functions import text as T
+from quercus.functions.hashing import short_id, weighted_choice
 from quercus.functions.tables import forget, written
+from quercus.operators.catalog import require_none
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -68,17 +72,32 @@ def leaks(rows: DataFrame, split: str, keys: dict[str, Column]) -> DataFrame:
 
 
 def similar_pairs(rows: DataFrame, row_id: str, block: str, tokens: Column, least: float, common: int) -> DataFrame:
-    """a, b, score: pairs in one block whose token sets have a Jaccard similarity of least and common tokens in common.
+    """a, b, score, common: pairs in one block whose token sets have a Jaccard similarity of least and common tokens in common.
 
-    Pairs meet on a token within the block (an inverted index), so those without a common token are never made.
+    Tokens of a set stand in the order of rarity. Two sets as similar as that share a token among the first of both, as many
+    as leave too few behind them: pairs meet on those alone, so a token that many sets have brings no pairs unless it is among
+    a set's rarest. Sets of too different sizes don't meet. Pairs are then counted whole.
     """
-    sets = rows.select(F.col(row_id).alias("id"), F.col(block).alias("block"), F.array_sort(F.array_distinct(tokens)).alias("tokens")).where("block is not null")
-    posts = sets.select("id", "block", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    left, right = posts.alias("l"), posts.alias("r")
-    met = left.join(right, (F.col("l.block") == F.col("r.block")) & (F.col("l.token") == F.col("r.token")) & (F.col("l.id") < F.col("r.id")))
-    shared = met.groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b")).agg(F.count("*").alias("common"), F.first("l.n").alias("n"), F.first("r.n").alias("m"))
-    score = F.col("common") / (F.col("n") + F.col("m") - F.col("common"))
-    return shared.withColumn("score", score).where((F.col("common") >= common) & (F.col("score") >= least)).select("a", "b", "score", "common")
+    sets = rows.select(F.col(row_id).alias("id"), F.col(block).alias("block"), F.array_sort(F.array_distinct(tokens)).alias("tokens")).where("block is not null and size(tokens) > 0")
+    sets = written(sets, "sets")
+    posts = sets.select("id", "block", F.explode("tokens").alias("token"))
+    rarity = posts.groupBy("block", "token").agg(F.count("*").alias("df")).where("df > 1")  # a token of one set brings no pair
+    ordered = posts.join(rarity, ["block", "token"]).groupBy("id", "block").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    n = F.size("tokens")
+    need = F.greatest(F.ceil(F.lit(least) * n - 1e-9), F.lit(common), F.lit(1)).cast("int")  # tokens that a partner has at least
+    # tokens of one set alone are the rarest: they stand first and take up places of the prefix
+    places = n - need + 1 - (n - F.size("shared"))
+    able = ordered.join(sets.select("id", "tokens"), "id").withColumn("places", places).where("places > 0")
+    heads = written(able.select("id", "block", n.alias("n"), F.explode(F.slice("shared", F.lit(1), F.col("places"))).alias("s")).select("id", "block", "n", "s.token"), "heads")
+    left, right = heads.alias("l"), heads.alias("r")
+    alike = (F.col("l.block") == F.col("r.block")) & (F.col("l.token") == F.col("r.token")) & (F.col("l.id") < F.col("r.id"))
+    near = (F.col("l.n") >= least * F.col("r.n") - 1e-9) & (F.col("r.n") >= least * F.col("l.n") - 1e-9)
+    met = left.join(right, alike & near).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    of = lambda side: sets.select(F.col("id").alias(side), F.col("tokens").alias(f"of_{side}"))
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    whole = met.join(of("a"), "a").join(of("b"), "b").withColumn("common", shared.cast("bigint"))
+    score = F.col("common") / (F.size("of_a") + F.size("of_b") - F.col("common"))
+    return whole.withColumn("score", score).where((F.col("common") >= common) & (F.col("score") >= least)).select("a", "b", "score", "common")
 
 
 def bounded_neighbours(pairs: DataFrame, most: int = 16) -> DataFrame:
@@ -106,3 +125,78 @@ def cluster_report(items: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     reasons = pairs.groupBy("reason").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("by_reason"))
     counts = items.select(key).distinct().join(covered.withColumn("__c", F.lit(1)), key, "left").agg(F.count("*").alias("items"), F.count("__c").alias("covered"))
     return counts.crossJoin(reasons).select("items", "covered", F.round(F.col("covered") / F.nullif("items", F.lit(0)), 6).alias("fraction"), "by_reason")
+
+
+# Words that don't tell names apart, and what a reason for confusion weighs.
+COMMON_WORDS = [
+    "вино", "wine", "vino", "белое", "красное", "розовое", "сухое", "полусухое", "сладкое", "полусладкое", "брют", "beloe", "krasnoe", "rozovoe", "suhoe",
+    "polusuhoe", "polusladkoe", "bryut", "г", "год", "года",
+]
+REASONS = {
+    "same_name_without_vintage": 1.0,
+    "same_slug_without_vintage": 1.0,
+    "same_series_tokens": 0.9,
+    "near_name_tokens": 0.8,
+    "near_slug_tokens": 0.75,
+    "same_grapes_category": 0.6,
+}
+NEAR, NEAR_COMMON = 0.65, 2
+
+
+@dataclass(frozen=True)
+class Confusion:
+    """clusters: cluster_id, reason, winery, signature, slugs. neighbours: src, dst, score, reasons, rank. report: one row of counts."""
+
+    clusters: DataFrame
+    neighbours: DataFrame
+    report: DataFrame
+
+
+def confusion(rows: DataFrame, max_group: int = 40, max_neighbours: int = 16) -> Confusion:
+    """What may be taken for something else of the same winery, by names and grapes alone (rows: slug, name, winery, grapes, category, index_ready).
+
+    Groups have equal names or slugs but for years, equal grapes and category, or equal words beyond those that all share;
+    pairs have like words in names or slugs. Groups aren't joined to larger ones. Groups of more than max_group slugs say too
+    little and are only counted, so the pairs of a group are bounded. Rows that aren't ready or have no winery are left out;
+    a slug that repeats is an error.
+    """
+    ready = rows.where("index_ready")
+    require_none(ready.groupBy("slug").agg(F.count("*").alias("n")).where("n > 1"), "a slug repeats")
+    words = lambda c: T.words(F.coalesce(F.col(c), F.lit("")))
+    none = F.array().cast("array<string>")
+    told = ready.select(
+        "slug", words("winery").alias("winery"), T.without_years(words("name")).alias("name"), T.without_years(words("slug")).alias("slug_words"), F.array_sort(F.array_distinct(words("grapes"))).alias("grapes"), words("category").alias("category")
+    ).where(F.size("winery") > 0)
+    common = F.array(*map(F.lit, COMMON_WORDS))
+    known = F.concat("grapes", "category", "winery", common)
+    series = F.filter("name", lambda t: ~F.array_contains(known, t) & ~t.rlike("^[0-9]+$"))
+    signature = lambda reason, value, able: F.when(able, F.struct(F.lit(reason).alias("reason"), value.alias("signature")))
+    kinds = F.array(
+        signature("same_name_without_vintage", F.col("name"), F.size("name") > 0),
+        signature("same_slug_without_vintage", F.col("slug_words"), F.size("slug_words") > 0),
+        signature("same_grapes_category", F.concat("grapes", F.array(F.lit("|")), "category"), (F.size("grapes") > 0) & (F.size("category") > 0)),
+        signature("same_series_tokens", series, F.size(series) >= 2),
+    )
+    told = written(told, "told")
+    tagged = told.select("slug", "winery", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k")).select("slug", "winery", "k.reason", "k.signature")
+    sizes = written(tagged.groupBy("reason", "winery", "signature").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    key = ["reason", "winery", "signature"]
+    groups = tagged.join(sizes.where(F.col("n") <= max_group), key).groupBy(*key).agg(F.array_sort(F.collect_list("slug")).alias("slugs"))  # max_group slugs at most
+    of_winery = told.withColumn("block", F.to_json("winery"))
+    beyond = lambda c: F.array_except(c, F.concat("winery", common))
+    for field, words_of in (("name", "name"), ("slug", "slug_words")):
+        near = similar_pairs(of_winery, "slug", "block", beyond(F.col(words_of)), NEAR, NEAR_COMMON).select("a", "b").join(told.select(F.col("slug").alias("a"), "winery"), "a")
+        pair = F.array("a", "b")
+        groups = groups.unionByName(near.select(F.lit(f"near_{field}_tokens").alias("reason"), "winery", pair.alias("signature"), pair.alias("slugs")))
+    identity = F.concat(F.lit('["'), "reason", F.lit('",'), F.to_json("winery"), F.lit(","), F.to_json("signature"), F.lit(","), F.to_json("slugs"), F.lit("]"))
+    clusters = written(groups.select(short_id(identity).alias("cluster_id"), *key, "slugs"), "clusters")
+    weight = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
+    each = clusters.select("reason", "slugs", F.explode("slugs").alias("a")).select("reason", "a", F.explode("slugs").alias("b")).where("a < b")  # max_group squared at most for each group
+    neighbours = bounded_neighbours(each.select("a", "b", F.element_at(weight, F.col("reason")).alias("score"), "reason"), max_neighbours)
+    neighbours = written(neighbours, "neighbours")
+    counted = lambda df, name: df.groupBy("reason").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias(name))
+    covered = neighbours.agg(F.count_distinct("src").alias("covered"), F.count("*").alias("directed_pairs"))
+    total = ready.agg(F.count("*").alias("eligible"))
+    report = total.crossJoin(covered).crossJoin(clusters.agg(F.count("*").alias("clusters"))).crossJoin(counted(clusters, "by_reason")).crossJoin(counted(sizes.where(F.col("n") > max_group), "oversized"))  # one row each
+    share = F.coalesce(F.round(F.col("covered") / F.nullif("eligible", F.lit(0)), 6), F.lit(0.0))
+    return Confusion(clusters, neighbours, report.select("eligible", "covered", share.alias("fraction"), (F.col("eligible") - F.col("covered")).alias("uncovered"), "clusters", "by_reason", "oversized", "directed_pairs"))

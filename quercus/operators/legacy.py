@@ -12,8 +12,8 @@ from quercus.operators import textindex
 # Roman numbers that labels have; numbers kept though short; words that don't tell labels or producers apart.
 ROMAN = {"xviii": "18", "xxiv": "24", "xxxvi": "36", "xlv": "45"}
 SHORT_NUMBERS = ["18", "24", "36", "45"]
-COMMON = "red rose vino white wine белое вино красное ред розовое".split()
-GENERIC_PRODUCERS = "estate vino wine winery вино винодельня завод поместье".split()
+COMMON = ["red", "rose", "vino", "white", "wine", "белое", "вино", "красное", "ред", "розовое"]
+GENERIC_PRODUCERS = ["estate", "vino", "wine", "winery", "вино", "винодельня", "завод", "поместье"]
 WEIGHTS = {"name": 2.0, "winery": 1.5, "other": 1.0}
 FUZZY = 0.6
 

@@ -149,3 +149,35 @@ def once_by_payload(queries: DataFrame, payload: str = "payload_sha256", by: str
     """Queries with each payload once (that with the least id), and the map from all ids to those."""
     first = queries.groupBy(payload).agg(F.min(by).alias("first"))
     return queries.join(first, (queries[by] == first["first"]) & (queries[payload] == first[payload]), "left_semi"), queries.select(by, payload).join(first, payload)
+
+
+def vote_shortlist(votes: DataFrame, most: int = 20, by: str = "query_id") -> DataFrame:
+    """votes (query_id, slug, votes): the most entries with most votes of each query (of equal ones the first by name). Only those are verified point by point."""
+    return votes.withColumn("__n", F.row_number().over(_over(by).orderBy(F.desc("votes"), F.asc("slug")))).where(F.col("__n") <= most).drop("__n")
+
+
+# The score from which label words override pictures, what a margin of words counts for, and the answer's methods.
+OVERRIDE, WORDS, METHODS = 7.0, 10.0, ("fusion", "local_features", "handcrafted", "dinov2", "ocr")
+
+
+def legacy_cascade(queries: DataFrame, fusion: DataFrame, local: DataFrame, visual: DataFrame, neural: DataFrame, words: DataFrame, by: str = "query_id") -> DataFrame:
+    """query_id, slug, confidence, margin, method: fused evidence if there is any; else a strong local match; else the words of the label if they score OVERRIDE or more; else the neural picture, but not in front of side objects; else the handcrafted one.
+
+    queries: query_id, side_objects. fusion, local, visual: query_id, slug, confidence, margin. neural: query_id, slug,
+    margin. words: query_id, slug, score, margin, conflict, by_alias, indexed. Queries that no stage answers have nulls.
+    """
+    of = lambda df, name, confidence, margin: df.select(by, F.struct("slug", F.bround(confidence, 4).alias("confidence"), F.bround(margin, 4).alias("margin"), F.lit(name).alias("method")).alias(f"__{name}"))
+    read = text_confidence(F.col("score"), F.col("margin"), F.col("conflict"), F.col("by_alias"), F.col("indexed"))
+    stages = [
+        of(fusion, METHODS[0], F.col("confidence"), F.col("margin")),
+        of(local, METHODS[1], F.col("confidence"), F.col("margin")),
+        of(words.where(F.col("score") >= OVERRIDE), METHODS[4], read, F.least(F.lit(1.0), F.col("margin") / WORDS)),
+        of(neural, METHODS[3], neural_confidence(F.col("margin")), F.least(F.lit(1.0), F.col("margin"))),
+        of(visual, METHODS[2], F.col("confidence"), F.col("margin")),
+    ]
+    out = queries.select(by, "side_objects")
+    for stage in stages:
+        out = out.join(stage, by, "left")
+    shelf = F.coalesce("side_objects", F.lit(False))
+    answer = F.coalesce("__fusion", "__local_features", "__ocr", F.when(~shelf, F.col("__dinov2")), "__handcrafted")
+    return out.withColumn("__a", answer).select(by, "__a.slug", "__a.confidence", "__a.margin", "__a.method")

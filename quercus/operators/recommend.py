@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 # What a dish's words say, in the order in which they are tried.
 DISH_WORDS = {
-    "red_meat": "beef steak lamb burger meat мяс говяд стейк баран бургер шашлык",
-    "poultry": "chicken turkey duck poultry куриц индей утк птиц",
-    "fish": "fish salmon tuna рыб лосос тун форел",
-    "seafood": "seafood shrimp oyster морепр кревет устриц мид",
-    "dessert": "dessert cake chocolate десерт торт шоколад фрукт",
-    "cheese": "cheese сыр",
-    "vegetables": "vegetable salad mushroom овощ салат гриб",
-    "spicy": "spicy curry asian остр карри азиат",
-    "aperitif": "aperitif snack аперитив закуск фуршет",
+    "red_meat": ["beef", "steak", "lamb", "burger", "meat", "мяс", "говяд", "стейк", "баран", "бургер", "шашлык"],
+    "poultry": ["chicken", "turkey", "duck", "poultry", "куриц", "индей", "утк", "птиц"],
+    "fish": ["fish", "salmon", "tuna", "рыб", "лосос", "тун", "форел"],
+    "seafood": ["seafood", "shrimp", "oyster", "морепр", "кревет", "устриц", "мид"],
+    "dessert": ["dessert", "cake", "chocolate", "десерт", "торт", "шоколад", "фрукт"],
+    "cheese": ["cheese", "сыр"],
+    "vegetables": ["vegetable", "salad", "mushroom", "овощ", "салат", "гриб"],
+    "spicy": ["spicy", "curry", "asian", "остр", "карри", "азиат"],
+    "aperitif": ["aperitif", "snack", "аперитив", "закуск", "фуршет"],
 }
 # How a style goes with a dish, 0 to 4.
 STYLE_KEYS = ["red", "white", "rose", "sparkling", "sweet"]
@@ -55,7 +55,7 @@ def dish(*texts: Column) -> Column:
     text = F.lower(F.concat_ws(" ", *texts))
     out = F.lit("general")
     for key, known in reversed(DISH_WORDS.items()):
-        out = F.when((text == key) | _any(text, known.split()), key).otherwise(out)
+        out = F.when((text == key) | _any(text, known), key).otherwise(out)
     return out
 
 
@@ -93,16 +93,18 @@ def verdict(score: Column, fits: Column) -> Column:
     return F.when(~fits & plain.isin("excellent", "good"), "acceptable").otherwise(plain)
 
 
-def analogues(items: DataFrame, queries: DataFrame, key: str, rules: list[tuple[str, Column, float]], maker: str | None, k: int) -> DataFrame:
+def analogues(items: DataFrame, queries: DataFrame, key: str, rules: list[tuple], maker: str | None, k: int, visual: DataFrame | None = None, visual_weight: float = 0.5) -> DataFrame:
     """query, item, score, reasons, rank: the k items most like each query, by rules that both share.
 
-    rules: reason, value (column, null: none), points; every rule that both agree on gives its points, and rows meet only
-    on a rule's value, so items without a reason are never paired. An array as a value gives points times Jaccard
-    similarity. maker: a column whose equality excludes (null: nothing). The pairs of one value are its queries times its
-    items; queries are the set asked for, not all rows.
+    rules: reason, value (column, null: none), points, and as a fourth, if wanted, the reason of a rule before it: then it
+    counts only for pairs that this other rule doesn't fit. Every other rule that both agree on gives its points, and rows
+    meet only on a rule's value, so items without a reason are never paired. An array as a value gives points times Jaccard
+    similarity. maker: a column whose equality excludes (null: nothing). visual: query, item, similarity of pictures, which
+    adds visual_weight times as much to pairs with a reason. The pairs of one value are its queries times its items; queries
+    are the set asked for, not all rows.
     """
     parts = []
-    for n, (_, value, _) in enumerate(rules):
+    for n, (_, value, *_) in enumerate(rules):
         parts.append(value.alias(f"r{n}"))
     side = lambda df, p: df.select(F.col(key).alias(p), (F.col(maker) if maker else F.lit(None).cast("string")).alias(f"{p}_maker"), *parts)
     q, i = side(queries, "query"), side(items, "item")
@@ -117,20 +119,28 @@ def analogues(items: DataFrame, queries: DataFrame, key: str, rules: list[tuple[
     pairs = met.distinct().join(a, "query").join(b, "item").where("query != item")
     if maker:
         pairs = pairs.where(F.coalesce(F.col("a.query_maker") != F.col("b.item_maker"), F.lit(True)) | (F.col("a.query_maker") == ""))
-    points, reasons = [], []
-    for n, (reason, _, worth) in enumerate(rules):
+    points, reasons, fits = [], [], {}
+    for n, (reason, _, worth, *unless) in enumerate(rules):
         x, y = F.col(f"a.r{n}"), F.col(f"b.r{n}")
-        if kinds[n]:
-            share = F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1))
-            points.append(F.coalesce(F.lit(worth) * share, F.lit(0.0)))
-            reasons.append(F.when(F.arrays_overlap(x, y), reason))
-        else:
-            points.append(F.when(x == y, F.lit(worth)).otherwise(0.0))
-            reasons.append(F.when(x == y, reason))
-    told = pairs.select("query", "item", sum(points, F.lit(0.0)).alias("score"), F.filter(F.array(*reasons), lambda r: r.isNotNull()).alias("reasons"))
+        fit = F.coalesce(F.arrays_overlap(x, y) if kinds[n] else x == y, F.lit(False))
+        for other in unless:
+            fit = fit & ~fits[other]
+        fits[reason] = fit
+        share = F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1)) if kinds[n] else F.lit(1.0)
+        points.append(F.when(fit, F.lit(worth) * share).otherwise(0.0))
+        reasons.append(F.when(fit, reason))
+    told = pairs.select("query", "item", sum(points, F.lit(0.0)).alias("score"), F.filter(F.array(*reasons), lambda r: r.isNotNull()).alias("reasons")).where(F.size("reasons") > 0)
+    if visual is not None:
+        near = visual.select("query", "item", F.col("similarity").alias("__v"))
+        told = told.join(near, ["query", "item"], "left").withColumn("score", F.col("score") + visual_weight * F.coalesce("__v", F.lit(0.0))).drop("__v")
     return told.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc("item"))).cast("bigint")).where(F.col("rank") <= k)
 
 
+def closest(candidates: Column, known: Column, limit: int) -> Column:
+    """The first limit of the candidates that are known, in order, once each."""
+    return F.slice(F.array_distinct(F.filter(candidates, lambda s: F.array_contains(known, s))), 1, limit)
+
+
 def alternatives(pool: DataFrame, k: int = 3) -> DataFrame:
     """query, item, rank from pool (query, item, place, score, own_score, fits, same_maker): what goes better; if nothing does, as good things of other makers."""
     better = pool.where(F.col("fits") & (F.col("score") > F.col("own_score"))).withColumn("kind", F.lit(0))

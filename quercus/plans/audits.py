@@ -175,16 +175,6 @@ def once_by_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select(F.col("query_id").alias("first")).join(every.groupBy("first").agg(F.count("*").alias("n")), "first")
 
 
-@query(
-    """WITH c AS (SELECT unnest(range(0, 300)) AS i)
-SELECT 'a' || i::VARCHAR AS body, CASE i % 4 WHEN 0 THEN 's' || i::VARCHAR WHEN 1 THEN 'w' || i::VARCHAR END AS slug, CASE i % 4 WHEN 2 THEN 'busy' WHEN 3 THEN 'invalid_response' END AS error FROM c"""
-)
-def response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("id").cast("string")
-    body = F.when(F.col("id") % 4 == 0, F.concat(F.lit('{"slug": " s'), i, F.lit(' "}'))).when(F.col("id") % 4 == 1, F.concat(F.lit('{"wine": {"slug": "w'), i, F.lit('"}}'))).when(F.col("id") % 4 == 2, F.lit('{"error": {"code": "busy"}}')).otherwise("[1")
-    return spark.range(300).withColumn("r", evaluate.parsed_response(body)).select(F.concat(F.lit("a"), i).alias("body"), "r.slug", "r.error")
-
-
 @query()
 def view_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximum and mean over two views of a query: the vector and its projection on half of its parts."""

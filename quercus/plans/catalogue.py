@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from quercus.functions import hashing
 from quercus.functions import text as T
 from quercus.functions.tables import read, written
-from quercus.operators import catalog, evaluate, graph, recommend
+from quercus.operators import catalog, evaluate, graph, recommend, validate
 from quercus.plans.registry import query
-from quercus.sources import readers, sinks
+from quercus.sources import sinks
 
 
 def _table(name: str):
@@ -340,16 +340,6 @@ def html_payload_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", tag("title", "").alias("title"), tag("script", "[^>]*").alias("script"))
 
 
-@query(
-    "SELECT event_id, event_type || ',' || user_id::VARCHAR AS split, event_type || ',' || user_id::VARCHAR AS json FROM events"
-)
-def candidate_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    piped = F.concat("event_type", F.lit("| "), F.col("user_id").cast("string"), F.lit(" |"), "event_type")
-    json = F.concat(F.lit('[{"slug":"'), "event_type", F.lit('"}, "'), F.col("user_id").cast("string"), F.lit('", "'), "event_type", F.lit('"]'))
-    return e.select("event_id", F.array_join(T.candidate_list(piped), ",").alias("split"), F.array_join(T.candidate_list(json), ",").alias("json"))
-
-
 @query(
     """WITH f AS (SELECT event_id, user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS nth FROM events)
 SELECT 'error' AS level, 'invalid_latency' AS code, event_id::VARCHAR AS key FROM f WHERE value < 10
@@ -363,7 +353,7 @@ def validation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = read(spark, sf_dir, "customer").where("c_custkey % 10 != 0").select(F.col("c_custkey").alias("user_id"), F.lit(True).alias("known"))
     rows = e.withColumn("nth", nth).join(known, "user_id", "left")
     checks = {"invalid_latency": F.col("value") < 10, "duplicate_prediction": F.col("nth") > 1, "unknown_predicted_slug": F.col("known").isNull(), "candidate_top1_mismatch": F.col("event_type").like("c%") & (F.col("value") > 100)}
-    return evaluate.issues(rows, F.col("event_id"), checks)
+    return validate.issues(rows, checks, F.col("event_id"), F.lit(None)).select("level", "code", F.col("query_id").alias("key"))
 
 
 @query("SELECT conv_id, turn, role FROM conversations WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM conversations WHERE role = 'system')")
@@ -412,9 +402,3 @@ def differing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = catalog.differing_fields(lineitem(spark, sf_dir), "l_orderkey", ["l_returnflag"]).where(F.size("fields") > 0).select("l_orderkey")
     flags = lineitem(spark, sf_dir).groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), "").alias("differing"))
     return found.join(flags, "l_orderkey").withColumnRenamed("l_orderkey", "group")
-
-
-@query()
-def listing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings embedded in captured pages (none in the test tables); DuckDB can't follow the pointers."""
-    return readers.listings(pages(spark, sf_dir).select("page_id", "html")).select("page_id", "listing")

@@ -62,14 +62,12 @@ def with_styles(catalogue: DataFrame) -> DataFrame:
     return found.withColumn("style", recommend.style_key(lower, F.col("category"), F.col("sweetness"), F.col("colour"))).drop("__s")
 
 
-def analogues(catalogue: DataFrame, slugs: DataFrame, k: int = 4, other_makers: bool = True) -> DataFrame:
-    """query, item, score, reasons, rank: what is most like each of slugs (column slug)."""
+def analogues(catalogue: DataFrame, slugs: DataFrame, k: int = 4, other_makers: bool = True, visual: DataFrame | None = None) -> DataFrame:
+    """query, item, score, reasons, rank: what is most like each of slugs (column slug). A category counts only for pairs of no common colour. visual: query, item, similarity of their pictures."""
     wines = with_styles(catalogue)
     asked = wines.join(slugs.select("slug").distinct(), "slug", "left_semi")
-    # A category counts only where no colour is shared: as a rule of its own it holds for rows without colour.
-    category = F.when(F.col("colour").isNull(), F.nullif("category", F.lit("")))
-    rules = [("same colour", F.col("colour"), 3.0), ("same category", category, 2.0), ("same sweetness", F.col("sweetness"), 2.0), ("shared grapes", F.col("grape_set"), 3.0), ("same region", F.nullif("region", F.lit("")), 1.0)]
-    return recommend.analogues(wines, asked, "slug", rules, "winery" if other_makers else None, k)
+    rules = [("same colour", F.col("colour"), 3.0), ("same category", F.nullif("category", F.lit("")), 2.0, "same colour"), ("same sweetness", F.col("sweetness"), 2.0), ("shared grapes", F.col("grape_set"), 3.0), ("same region", F.nullif("region", F.lit("")), 1.0)]
+    return recommend.analogues(wines, asked, "slug", rules, "winery" if other_makers else None, k, visual)
 
 
 def pairings(catalogue: DataFrame, requests: DataFrame) -> DataFrame:

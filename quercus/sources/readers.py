@@ -25,6 +25,7 @@ CSV_FIELDS = {
     "Slug": "slug",
     "Название фото": "photo_name",
 }
+# What an object that wraps a list of records may call it.
 CONTAINERS = ["items", "catalog", "queries", "predictions", "records", "wines"]
 
 
@@ -77,12 +78,15 @@ def _unwrapped(df: DataFrame) -> DataFrame:
 
 
 def strict_jsonl(spark: SparkSession, path: str, schema: S.StructType) -> DataFrame:
-    """Objects line by line; a line that is no JSON object is an error that names the file and shows the line."""
-    lines = spark.read.text(path).withColumn("__file", F.input_file_name()).where(F.trim("value") != "")
-    row = F.from_json("value", schema, {"mode": "PERMISSIVE"})
-    bad = ~F.trim("value").startswith("{") | F.try_parse_json("value").isNull()
-    checked = F.when(bad, F.raise_error(F.concat_ws(": ", "__file", F.lit("not a JSON object"), F.substring("value", 1, 80)))).otherwise(row)
-    return lines.select(checked.alias("r")).select("r.*")
+    """Objects line by line; a line that is no JSON object is an error that names the file and the line's number. Blank lines are left out.
+
+    Line numbers need a file's order: each file is one task's work, in batches of lines.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("lines"))
+    lines = text.select("file", F.posexplode("lines").alias("n", "value")).where(F.trim("value") != "")
+    bad = ~F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    told = F.concat(F.col("file"), F.lit(":"), (F.col("n") + 1).cast("string"), F.lit(": not a JSON object: "), F.substring("value", 1, 80))
+    return lines.select(F.when(bad, F.raise_error(told)).otherwise(F.from_json("value", schema)).alias("r")).select("r.*")
 
 
 def lenient_jsonl(spark: SparkSession, path: str, schema: S.StructType | None = None) -> DataFrame:
@@ -150,25 +154,49 @@ def embedded_payload(html: Column, script_id: str = "__NUXT_DATA__") -> Column:
     return F.regexp_extract(html, f'(?s)<script[^>]*id="{script_id}"[^>]*>(.*?)</script>', 1)
 
 
-def _resolve(flat: list, at: Any, depth: int = 0) -> Any:
-    """A value of a flat list in which numbers inside objects and lists point to other places; negative ones are null."""
-    if not isinstance(at, int) or isinstance(at, bool) or at < 0 or at >= len(flat) or depth > 64:
-        return None
-    value = flat[at]
-    if isinstance(value, dict):
-        return {k: _resolve(flat, v, depth + 1) for k, v in value.items()}
-    if isinstance(value, list):
-        if len(value) == 2 and isinstance(value[0], str):
-            return _resolve(flat, value[1], depth + 1)
-        return [_resolve(flat, v, depth + 1) for v in value]
-    return value
+def resolved(flat: list, at: int) -> Any:
+    """A value of a flat list in which numbers inside objects and lists point to other places.
+
+    Negative pointers are null; a list that begins with a string stands for what its second part points to (an empty list
+    without one). Any depth is walked, each place once; a place that contains itself, or a pointer to none, is an error.
+    """
+
+    def pointers(value: Any) -> list:
+        if isinstance(value, dict):
+            return list(value.values())
+        if isinstance(value, list):
+            return value[1:2] if value and isinstance(value[0], str) else value
+        return []
+
+    done: dict[int, Any] = {-1: None}
+    inside: set[int] = set()
+    walk = [at]
+    while walk:
+        here = max(walk[-1], -1)
+        if here >= len(flat):
+            raise ValueError(f"a pointer to place {here} of {len(flat)}")
+        value = None if here < 0 else flat[here]
+        wanted = [max(p, -1) for p in pointers(value)]
+        waiting = next((p for p in wanted if p not in done), None)
+        if here in done or waiting is None:
+            walk.pop()
+            inside.discard(here)
+            if here not in done:
+                found = [done[p] for p in wanted]
+                done[here] = dict(zip(value, found, strict=True)) if isinstance(value, dict) else value if not isinstance(value, list) else found if not (value and isinstance(value[0], str)) else (found or [[]])[0]
+            continue
+        inside.add(here)
+        if waiting in inside:
+            raise ValueError(f"place {waiting} contains itself")
+        walk.append(waiting)
+    return done[max(at, -1)]
 
 
 def listing(payload: str) -> dict | None:
     """The first object of a flat payload that describes a page of a listing."""
     flat = json.loads(payload)
     wanted = {"currentPage", "totalItems", "totalPages", "items"}
-    return next((_resolve(flat, n) for n, v in enumerate(flat) if isinstance(v, dict) and wanted <= set(v)), None)
+    return next((resolved(flat, n) for n, v in enumerate(flat) if isinstance(v, dict) and wanted <= set(v)), None)
 
 
 def listings(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -186,8 +214,22 @@ def listings(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("listing", F.when(payload != "", run(payload)))
 
 
-def snapshot_rows(listed: DataFrame) -> DataFrame:
-    """One row for each item of the listings: slug, name, image_path, file_name; a slug of other signs is an error."""
-    items = listed.select(F.explode(F.from_json(F.get_json_object("listing", "$.items"), "array<struct<slug:string,name:string,winery:string,image:string>>")).alias("i")).select("i.*")
+#: What an item of a listing has.
+ITEM = "array<struct<slug:string,title:string,category:string,color:string,manufacturer:string,region:string,image:struct<url:string>>>"
+
+
+def snapshot_rows(listed: DataFrame, page: str, site: str = "", images: str = "", constants: dict[str, str] | None = None) -> DataFrame:
+    """One row for each item of the listings; a slug of other signs is an error.
+
+    Addresses are made of site (of the item) and images (of uploaded pictures). constants: columns that all rows share, as
+    when and where the listing was seen. Rows aren't ready for the index and their pictures are pending.
+    """
+    i = listed.select(F.col(page).alias("source_page"), F.explode(F.from_json(F.get_json_object("listing", "$.items"), ITEM)).alias("i")).select("source_page", "i.*")
     slug = F.when(F.col("slug").rlike("^[A-Za-z0-9_-]+$"), F.col("slug")).otherwise(F.raise_error(F.concat(F.lit("unsafe slug: "), F.coalesce("slug", F.lit("null")))))
-    return items.select(slug.alias("slug"), "name", "winery", F.col("image").alias("image_path"), T.base_name(F.col("image")).alias("file_name"))
+    some = lambda c: F.coalesce(F.col(c), F.lit("")).alias({"title": "name", "manufacturer": "winery"}.get(c, c))
+    path = F.coalesce("image.url", F.lit(""))
+    return i.select(
+        slug.alias("slug"), *(some(c) for c in ("title", "category", "color", "manufacturer", "region")), F.when(path.startswith("/uploads/"), F.concat(F.lit(images), path)).alias("image_url"),
+        T.base_name(path).alias("photo_name"), path.alias("source_image_path"), F.concat(F.lit(f"{site}/wines/"), "slug").alias("source_url"), "source_page",
+        *(F.lit(v).alias(c) for c, v in (constants or {}).items()), F.lit(False).alias("index_ready"), F.lit("pending").alias("media_status"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,13 +11,27 @@ from quercus.functions.hashing import sha256
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[str]) -> None:
-    """JSON lines with columns by name and rows by order; files are ranges of that order."""
-    df.select(*sorted(df.columns)).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").json(path)
+    """JSON lines with columns by name (nulls too) and rows by order; files are ranges of that order."""
+    df.select(*sorted(df.columns)).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def replace_jsonl(df: DataFrame, path: str, order: list[str]) -> None:
+    """write_jsonl() beside path, which then takes its place: readers see the old rows or the new ones, never some of both."""
+    spark = df.sparkSession
+    new, old = f"{path.rstrip('/')}.{uuid.uuid4().hex}", f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    write_jsonl(df, new, order)
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = of(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    there = files.exists(of(path))
+    if (there and not files.rename(of(path), of(old))) or not files.rename(of(new), of(path)):
+        raise OSError(f"can't put {new} in the place of {path}")
+    if there:
+        files.delete(of(old), True)
 
 
 def index_meta(index: DataFrame, catalogue: DataFrame, key: str, version: int, parameters: str) -> DataFrame:
     """version, parameters, entries and a checksum of the catalogue's keys that doesn't need them all in one place."""
-    keys = catalogue.agg(F.sum(F.conv(F.substring(sha256(F.col(key)), 1, 15), 16, 10).cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
+    keys = catalogue.agg(F.sum(F.conv(F.substring(sha256(F.col(key).cast("string")), 1, 15), 16, 10).cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
     return keys.select(F.lit(version).alias("version"), F.lit(parameters).alias("parameters"), F.concat_ws(":", F.col("n").cast("string"), F.col("s").cast("string")).alias("catalogue")).crossJoin(index.agg(F.count("*").alias("entries")))
 
 
