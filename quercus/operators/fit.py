@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quercus.functions.tables import written
+from quercus.functions.tables import forget, written
 
 
 def scales(rows: DataFrame, features: list[str]) -> dict[str, float]:
@@ -106,6 +107,73 @@ def weighted_logistic(rows: DataFrame, features: list[str], label: str = "label"
     return ids.mapInArrow(run, f"{held_out} {ids.schema[0].dataType.simpleString()}, p double")
 
 
+#: Most values of a gallery that fit_adapter() sends to every task.
+GALLERY_VALUES = 64 << 20
+
+
+def adapter(queries: DataFrame, gallery: DataFrame, steps: int = 60, l2: float = 1.0, rate: float = 1e-3, scale: float = 30.0, slug: str = "slug", vector: str = "embedding") -> np.ndarray:
+    """A matrix, applied to queries and gallery before both are scaled to unit length, that draws queries (vector, slug) to the gallery's entry of their slug (slug once each).
+
+    Softmax over the whole gallery of scaled cosines, pulled to the identity by l2, Adam from the identity on; the scale is fitted,
+    too. A step reads the queries once where they lie and brings back one gradient. A gallery beyond GALLERY_VALUES is an error.
+    """
+    names = [r[0] for r in gallery.select(slug).where(F.col(vector).isNotNull()).orderBy(slug).toLocalIterator()]
+    g = np.array([r[0] for r in gallery.where(F.col(vector).isNotNull()).orderBy(slug).select(vector).toLocalIterator()], dtype=np.float64).reshape(len(names), -1)
+    if g.size > GALLERY_VALUES:
+        raise ValueError(f"a gallery of {g.shape} is too large to send")
+    place = {n: i for i, n in enumerate(names)}
+    d = g.shape[1]
+    spark = gallery.sparkSession
+    known = written(queries.where(F.col(vector).isNotNull() & F.col(slug).isNotNull()).select(slug, vector), "queries")
+    w, log_scale = np.eye(d), math.log(scale)
+    moment, square = np.zeros(d * d + 1), np.zeros(d * d + 1)
+    for step in range(1, steps + 1):
+        shipped = spark.sparkContext.broadcast((g, place, w, log_scale))
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            g, place, w, log_scale = shipped.value
+            total, n = np.zeros(d * d + 1), 0
+            gw = g @ w
+            g_norm = np.maximum(1e-12, np.linalg.norm(gw, axis=1, keepdims=True))
+            gu = gw / g_norm
+            for batch in batches:
+                y = np.array([place.get(s, -1) for s in batch.column(0).to_pylist()], dtype=np.int64)
+                x = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(len(y), -1)[y >= 0] if len(y) else np.empty((0, d))
+                y = y[y >= 0]
+                if not len(y):
+                    continue
+                xw = x @ w
+                x_norm = np.maximum(1e-12, np.linalg.norm(xw, axis=1, keepdims=True))
+                xu = xw / x_norm
+                cosine = xu @ gu.T
+                z = cosine * math.exp(log_scale)
+                p = np.exp(z - z.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                p[np.arange(len(y)), y] -= 1.0  # the loss's slope in z
+                total[-1] += float((p * z).sum())
+                p *= math.exp(log_scale)
+                dx, dg = p @ gu, p.T @ xu
+                dx = (dx - xu * (dx * xu).sum(axis=1, keepdims=True)) / x_norm
+                dg = (dg - gu * (dg * gu).sum(axis=1, keepdims=True)) / g_norm
+                total[:-1] += (x.T @ dx + g.T @ dg).ravel()
+                n += len(y)
+            yield pa.RecordBatch.from_arrays([pa.array([[*total.tolist(), float(n)]])], names=["s"])
+
+        sums = np.zeros(d * d + 2)
+        for r in known.mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).toLocalIterator():
+            sums[r["i"]] = r["v"]
+        shipped.destroy()
+        if not sums[-1]:
+            break
+        slope = sums[:-1] / sums[-1]
+        slope[:-1] += (2 * l2 / d) * (w - np.eye(d)).ravel()
+        moment, square = 0.9 * moment + 0.1 * slope, 0.999 * square + 0.001 * slope**2
+        move = rate * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+        w, log_scale = w - move[:-1].reshape(d, d), log_scale - float(move[-1])
+    forget(known)
+    return w
+
+
 def _fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     c = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quercus.functions.tables import written
+
 # What a dish's words say, in the order in which they are tried.
 DISH_WORDS = {
     "red_meat": ["beef", "steak", "lamb", "burger", "meat", "мяс", "говяд", "стейк", "баран", "бургер", "шашлык"],
@@ -147,3 +153,49 @@ def alternatives(pool: DataFrame, k: int = 3) -> DataFrame:
     same = pool.where(F.col("fits") & (F.col("score") >= F.greatest("own_score", F.lit(3))) & ~F.col("same_maker")).withColumn("kind", F.lit(1))
     every = better.unionByName(same).withColumn("__least", F.min("kind").over(Window.partitionBy("query"))).where("kind = __least")
     return every.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("place")).cast("bigint")).where(F.col("rank") <= k).select("query", "item", "rank", F.when(F.col("kind") == 0, "better").otherwise("same").alias("why"))
+
+
+#: Targets that are compared with the whole pool at a time.
+TARGETS = 4096
+
+
+def distractors(targets: DataFrame, pool: DataFrame, seed: str, k: int = 2) -> DataFrame:
+    """target, variant, slug, sha256, rank: k sources of other slugs for each target (slug, sha256, family, variant), as a hash orders them; those of the target's family first.
+
+    pool: slug, sha256, family. Each slug stands once, by its first source. Targets go to the pool in blocks, every task sends
+    on its k best of each target: no pair of target and source is a row unless it is among them.
+    """
+    source, found = iter(targets.select("slug", "sha256", "family", F.col("variant").cast("string")).toLocalIterator()), None
+    rows = pool.select("slug", "sha256", "family")
+    while block := [tuple(r) for r in islice(source, TARGETS)]:
+        shipped = pool.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            best: list[dict[str, tuple[bool, str, str]]] = [{} for _ in shipped.value]
+            for batch in batches:
+                own = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+                for held, (slug, sha, family, variant) in zip(best, shipped.value, strict=True):
+                    head = hashlib.sha256(f"{seed}\0{sha}\0{variant}\0".encode())
+                    for other, digest, kin in own:
+                        if other == slug:
+                            continue
+                        h = head.copy()
+                        h.update(digest.encode())
+                        place = (not (family and family == kin), h.hexdigest(), digest)
+                        if other not in held and len(held) < k or place < held.get(other, max(held.values(), default=place)):
+                            held[other] = place
+                            if len(held) > k:
+                                del held[max(held, key=held.get)]
+            out = [(t[1], t[3], t[0], other, p[2], p[0], p[1]) for t, held in zip(shipped.value, best, strict=True) for other, p in held.items()]
+            kinds = (pa.string(),) * 5 + (pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["target", "variant", "of", "slug", "sha256", "stranger", "hash"])
+
+        part = written(rows.mapInArrow(run, "target string, variant string, of string, slug string, sha256 string, stranger boolean, hash string"), "distractors")
+        shipped.destroy()
+        found = part if found is None else found.union(part)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], "target string, variant string, slug string, sha256 string, rank int")
+    key = ["target", "variant", "of"]
+    one = found.groupBy(*key, "slug").agg(F.min(F.struct("stranger", "hash", "sha256")).alias("b"))
+    placed = one.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("b.stranger", "b.hash")))
+    return placed.where(F.col("rank") <= k).select("target", "variant", "slug", "b.sha256", "rank")

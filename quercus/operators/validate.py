@@ -309,7 +309,7 @@ def reported(result: Result, path: str, fail_on_warnings: bool = False) -> Resul
     """Writes issues and report under path, and only then raises if the submission fails: what is wrong can be read in any case."""
     spark = result.issues.sparkSession
     sinks.write_jsonl(result.issues, f"{path}/issues", ["level", "code", "query_id", "row"])
-    spark.createDataFrame([(markdown(result),)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "").text(f"{path}/report")
+    spark.createDataFrame([(markdown(result),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/report")
     if exit_code(result, fail_on_warnings):
         raise ValueError(f"{result.totals['error_count']} errors and {result.totals['warning_count']} warnings, see {path}")
     return result

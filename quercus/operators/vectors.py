@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quercus.functions.tables import written
+
 #: Queries in one broadcast; more go over the gallery in further passes.
 QUERY_BLOCK = 4096
 #: Scores are compared as rounded, so that ties break by name and not by the order of additions.
@@ -32,68 +35,99 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
         yield ids, np.array(rows, dtype=np.float64)
 
 
+#: Labels whose best scores a task holds before it sends them on.
+HELD_LABELS = 256
+_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def _by_block(queries: DataFrame, source: DataFrame, scan, schema: str) -> DataFrame:
+    """scan(ids, matrix, batches) over source for each block of queries. One block is part of the result's own plan; of several each writes its rows and its broadcast is let go before the next."""
+    blocks = _blocks(queries)
+    spark = source.sparkSession
+    first, second = next(blocks, None), next(blocks, None)
+    run = lambda block: (shipped := spark.sparkContext.broadcast(block), source.mapInArrow(lambda batches: scan(*shipped.value, batches), schema))
+    if first is None:
+        return spark.createDataFrame([], schema)
+    if second is None:
+        return run(first)[1]
+    paths = []
+    for block in chain((first, second), blocks):
+        shipped, found = run(block)
+        part = written(found, "scores")
+        shipped.destroy()
+        paths.append(part._quercus_path)
+    return spark.read.schema(part.schema).parquet(*paths)
+
+
 def scores(queries: DataFrame, gallery: DataFrame, k: int | None, query_id: str, item_id: str, vector: str = "embedding") -> DataFrame:
     """query_id, item_id, score: for each query the k best items (all if None) of each partition of the gallery, by rounded dot product, then id.
 
     Blocks of queries are broadcast, of a size that doesn't depend on the input; the gallery is read where it lies.
     """
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     q_type, i_type = queries.schema[query_id].dataType.simpleString(), gallery.schema[item_id].dataType.simpleString()
     source = gallery.where(F.col(vector).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(vector).alias("v"))
-    out = None
-    for ids, matrix in _blocks(queries.where(F.col(vector).isNotNull()).select(query_id, vector)):
-        shipped = gallery.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shipped.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                found = np.round(matrix @ _matrix(batch.column(1)).T, DIGITS) + 0.0
-                names = np.array(batch.column(0).to_pylist(), dtype=object)
-                order = np.argsort(names, kind="stable")
-                found, names = found[:, order], names[order]
-                n = found.shape[1] if k is None else min(k + 1, found.shape[1])
-                best = np.argsort(-found, axis=1, kind="stable")[:, :n]
-                at = np.repeat(np.arange(len(ids)), n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in at], kind[q_type]), pa.array(names[best.ravel()].tolist(), kind[i_type]), pa.array(found[at, best.ravel()])], names=["query_id", "item_id", "score"]
-                )
-
-        part = source.mapInArrow(run, f"query_id {q_type}, item_id {i_type}, score double")
-        out = part if out is None else out.unionByName(part)
-    return gallery.sparkSession.createDataFrame([], f"query_id {q_type}, item_id {i_type}, score double") if out is None else out
+
+    def told(ids: list, names: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+        at = np.repeat(np.arange(len(ids)), found.shape[1])
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], _KINDS[q_type]), pa.array(names.ravel().tolist(), _KINDS[i_type]), pa.array(found.ravel())], names=["query_id", "item_id", "score"])
+
+    def scan(ids: list, matrix: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, of = np.empty((len(ids), 0)), np.empty((len(ids), 0), dtype=object)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = np.round(matrix @ _matrix(batch.column(1)).T, DIGITS) + 0.0
+            names = np.array(batch.column(0).to_pylist(), dtype=object)
+            if k is None:
+                yield told(ids, np.broadcast_to(names, found.shape), found)
+                continue
+            order = np.argsort(names, kind="stable")
+            first = np.argsort(-found[:, order], axis=1, kind="stable")[:, : k + 1]  # a query may be its own best
+            best = np.concatenate([best, np.take_along_axis(found[:, order], first, axis=1)], axis=1)
+            of = np.concatenate([of, names[order][first]], axis=1)
+            if best.shape[1] > k + 1:
+                by = np.argsort(of, axis=1, kind="stable")
+                best, of = np.take_along_axis(best, by, axis=1), np.take_along_axis(of, by, axis=1)
+                by = np.argsort(-best, axis=1, kind="stable")[:, : k + 1]
+                best, of = np.take_along_axis(best, by, axis=1), np.take_along_axis(of, by, axis=1)
+        if best.shape[1]:
+            yield told(ids, of, best)
+
+    return _by_block(queries.where(F.col(vector).isNotNull()).select(query_id, vector), source, scan, f"query_id {q_type}, item_id {i_type}, score double")
 
 
 def label_scores(queries: DataFrame, gallery: DataFrame, query_id: str, label: str, vector: str = "embedding", item_id: str | None = None) -> DataFrame:
-    """query_id, label, score: the best score of each label's items, pooled already where the gallery is read. item_id: then a query isn't its own answer."""
+    """query_id, label, score: the best score of each label's items, pooled over all that a task reads before anything is sent on. item_id: then a query isn't its own answer."""
     q_type, l_type = queries.schema[query_id].dataType.simpleString(), gallery.schema[label].dataType.simpleString()
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     own = F.col(item_id) if item_id else F.lit(None).cast(q_type)
     source = gallery.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("label"), own.alias("own"), F.col(vector).alias("v"))
-    out = None
-    for ids, matrix in _blocks(queries.where(F.col(vector).isNotNull()).select(query_id, vector)):
-        shipped = gallery.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shipped.value
-            place = {x: i for i, x in enumerate(ids)}
-            for batch in batches:
-                found = np.round(matrix @ _matrix(batch.column(2)).T, DIGITS) + 0.0 if batch.num_rows else np.empty((len(ids), 0))
-                for j, x in enumerate(batch.column(1).to_pylist()):
-                    if x in place:
-                        found[place[x], j] = -np.inf
-                labels = np.array(batch.column(0).to_pylist(), dtype=object)
-                for one in sorted(set(labels.tolist())):
-                    best = found[:, labels == one].max(axis=1)
-                    some = np.isfinite(best)
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, s in zip(ids, some, strict=True) if s], kind[q_type]), pa.array([one] * int(some.sum()), kind[l_type]), pa.array(best[some])], names=["query_id", "label", "score"])
-
-        part = source.mapInArrow(run, f"query_id {q_type}, label {l_type}, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return gallery.sparkSession.createDataFrame([], f"query_id {q_type}, label {l_type}, score double")
-    return max_pooled(out)
+
+    def told(ids: list, held: dict) -> pa.RecordBatch:
+        names = sorted(held)
+        found = np.array([held[n] for n in names])
+        at, q = np.nonzero(np.isfinite(found))
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], _KINDS[q_type]), pa.array([names[i] for i in at], _KINDS[l_type]), pa.array(found[at, q])], names=["query_id", "label", "score"])
+
+    def scan(ids: list, matrix: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = {x: i for i, x in enumerate(ids)}, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = np.round(matrix @ _matrix(batch.column(2)).T, DIGITS) + 0.0
+            for j, x in enumerate(batch.column(1).to_pylist()):
+                if x in place:
+                    found[place[x], j] = -np.inf
+            labels = np.array(batch.column(0).to_pylist(), dtype=object)
+            for one in set(labels.tolist()):
+                best = found[:, labels == one].max(axis=1)
+                held[one] = np.maximum(held[one], best) if one in held else best
+            if len(held) > HELD_LABELS:
+                yield told(ids, held)
+                held = {}
+        if held:
+            yield told(ids, held)
+
+    return max_pooled(_by_block(queries.where(F.col(vector).isNotNull()).select(query_id, vector), source, scan, f"query_id {q_type}, label {l_type}, score double"))
 
 
 def ranked(found: DataFrame, k: int | None = None, by: str = "query_id", score: str = "score", tie: str = "item_id") -> DataFrame:
@@ -115,6 +149,31 @@ def view_scores(found: DataFrame) -> DataFrame:
     return filled.groupBy("query_id", "slug").agg(F.max("score").alias("v_max"), F.avg("score").alias("v_mean"))
 
 
+def embedded(df: DataFrame, content: str, load: Callable[[], Callable[[list], np.ndarray]], vector: str = "embedding") -> DataFrame:
+    """df with vectors that a model makes of a column, unit length, null where the content is null.
+
+    load is called once in each worker and returns a function from a list of contents to a matrix with a row for each: there
+    a session is opened, from a file that all executors can read. Contents come in batches; the column itself is left out.
+    """
+    kept = [c for c in df.columns if c not in (content, vector)]
+    source = df.select(*(f"`{c}`" for c in kept), F.col(f"`{content}`").alias("__content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load()
+        for batch in batches:
+            values = batch.column(len(kept)).to_pylist()
+            some = [i for i, v in enumerate(values) if v is not None]
+            out: list = [None] * len(values)
+            if some:
+                made = np.asarray(model([values[i] for i in some]), dtype=np.float64)
+                made /= np.maximum(1e-12, np.linalg.norm(made, axis=1, keepdims=True))
+                for i, v in zip(some, made.astype(np.float32).tolist(), strict=True):
+                    out[i] = v
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out, pa.list_(pa.float32()))], names=[*kept, vector])
+
+    return source.mapInArrow(run, ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), f"`{vector}` array<float>"]))
+
+
 def projected(df: DataFrame, matrix: np.ndarray, vector: str = "embedding") -> DataFrame:
     """Vectors times a square matrix, scaled to unit length; a null vector stays null, a zero one stays zero."""
     if matrix.nbytes > 256 << 20:
@@ -124,12 +183,16 @@ def projected(df: DataFrame, matrix: np.ndarray, vector: str = "embedding") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for v in batch.column(place).to_pylist():
-                x = None if v is None else np.asarray(v) @ shipped.value
-                out.append(None if x is None else (x / max(1e-12, float(np.linalg.norm(x)))).tolist())
+            column = batch.column(place)
+            some = np.nonzero(~column.is_null().to_numpy(zero_copy_only=False))[0]
+            moved = _matrix(column.take(pa.array(some))) @ shipped.value if len(some) else np.empty((0, matrix.shape[1]))
+            moved /= np.maximum(1e-12, np.linalg.norm(moved, axis=1, keepdims=True))
+            kind = batch.schema.field(place).type
+            sizes = np.zeros(batch.num_rows + 1, dtype=np.int32)
+            sizes[1 + some] = moved.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(moved.ravel()).cast(kind.value_type), mask=column.is_null())
             columns = list(batch.columns)
-            columns[place] = pa.array(out, batch.schema.field(place).type)
+            columns[place] = lists.cast(kind)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return df.mapInArrow(run, df.schema)

@@ -258,21 +258,6 @@ def hash_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", hashing.holdout(F.col("doc_id").cast("string"), 0.2).alias("held_out"))
 
 
-@query(
-    """WITH l AS (SELECT DISTINCT label FROM embeddings), c AS (SELECT a.label, e.vec_id, e.label AS other, sha256('d' || a.label::VARCHAR || ':' || e.vec_id::VARCHAR) AS h FROM l a JOIN embeddings e ON e.label <> a.label),
-o AS (SELECT *, row_number() OVER (PARTITION BY label, other ORDER BY h) AS n FROM c),
-r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY (other % 2 <> label % 2), h) AS rank FROM o WHERE n = 1)
-SELECT label, vec_id, rank FROM r WHERE rank <= 2"""
-)
-def hash_ordered_distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("other"))
-    asked = e.select(F.col("other").alias("label")).distinct()  # as many as there are labels
-    pairs = e.join(asked, asked.label != e.other).withColumn("h", hashing.sha256(F.concat(F.lit("d"), F.col("label").cast("string"), F.lit(":"), F.col("vec_id").cast("string"))))
-    one = pairs.groupBy("label", "other").agg(F.min(F.struct("h", "vec_id")).alias("b")).select("label", "other", "b.h", "b.vec_id")
-    order = Window.partitionBy("label").orderBy(F.col("other") % 2 != F.col("label") % 2, "h")
-    return one.withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 2").select("label", "vec_id", "rank")
-
-
 ITEMS = "items AS (SELECT p_brand, p_name, p_type, min(p_partkey) AS id, list_sort(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+'))) AS g FROM part GROUP BY ALL)"
 
 

@@ -319,9 +319,10 @@ def service_analogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     slug = F.concat_ws("-", "p_brand", k.cast("string"))
     wines = written(p.select(k, slug.alias("slug"), name.alias("name"), F.col("p_type").alias("category"), F.col("p_brand").alias("winery"), F.replace("p_name", F.lit(" "), F.lit(", ")).alias("grapes"), F.concat(F.lit("r"), (k % 6).cast("string")).alias("region")), "wines")
     asked = wines.where("id % 50 = 0")
-    near = asked.select(F.col("slug").alias("query"), F.col("id").alias("a")).join(wines.select(F.col("slug").alias("item"), F.col("id").alias("b"), "winery"), F.lit(True))
-    visual = near.select("query", "item", ((F.col("a") * 7 + F.col("b")) % 10 / 10).alias("similarity"))
-    found = service.analogues(wines.drop("id"), asked.select("slug"), 4, True, visual.withColumn("similarity", F.round("similarity", 9)))
+    met = service.analogues(wines.drop("id"), asked.select("slug"), 1 << 30).select("query", "item")  # all with a reason
+    ids = lambda side, name: wines.select(F.col("slug").alias(side), F.col("id").alias(name))
+    visual = met.join(ids("query", "a"), "query").join(ids("item", "b"), "item").select("query", "item", F.round((F.col("a") * 7 + F.col("b")) % 10 / 10, 9).alias("similarity"))
+    found = service.analogues(wines.drop("id"), asked.select("slug"), 4, True, visual)
     return found.withColumns({"score": F.round("score", 9), "reasons": F.array_join("reasons", ",")})
 
 
@@ -371,3 +372,87 @@ def unusable_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 def method_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select("event_type", F.lit("a").alias("expected"), F.when(F.col("user_id") % 3 == 0, "a").alias("predicted"))
     return evaluate.method_accuracy(e, "event_type")
+
+
+@query(
+    """WITH t AS (SELECT vec_id, 's' || label AS slug, sha256('v' || vec_id) AS sha, 'f' || (label % 2) AS family FROM embeddings), q AS (SELECT * FROM t WHERE vec_id % 50 = 0),
+c AS (SELECT q.sha AS target, q.slug AS own, t.slug, t.sha, q.family <> t.family AS stranger, sha256('seed' || chr(0) || q.sha || chr(0) || '1' || chr(0) || t.sha) AS h FROM q JOIN t ON q.slug <> t.slug),
+o AS (SELECT *, row_number() OVER (PARTITION BY target, slug ORDER BY stranger, h) AS n FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY stranger, h) AS rank FROM o WHERE n = 1)
+SELECT target, slug, sha AS sha256, rank FROM r WHERE rank <= 2"""
+)
+def hash_ordered_distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources of other slugs for each target, those of its family first, as a hash orders them. Targets: the rows whose id is divisible by 50."""
+    e = read(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("string")
+    pool = e.select("vec_id", F.concat(F.lit("s"), label).alias("slug"), F.sha2(F.concat(F.lit("v"), F.col("vec_id").cast("string")), 256).alias("sha256"), F.concat(F.lit("f"), (F.col("label") % 2).cast("string")).alias("family"))
+    found = recommend.distractors(pool.where("vec_id % 50 = 0").withColumn("variant", F.lit(1)), pool, "seed")
+    return found.select("target", "slug", "sha256", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    f"""WITH {SOFTMAX}, a AS (SELECT query_id, best, p1, margin, confidence_top5, 1 / (1 + exp(-(-3.0::DOUBLE + 5.0::DOUBLE * v_max))) AS known, (query_id % 4) / 4.0::DOUBLE AS quality FROM best)
+SELECT query_id, CASE WHEN known < 0.5 THEN 'not_found' WHEN p1 >= 0.06 THEN 'found' WHEN quality < 0.2 THEN 'low_quality' ELSE 'uncertain' END AS status, best AS slug, round_even(p1, 4) AS confidence, round_even(confidence_top5, 4) AS confidence_top5, round_even(margin, 4) AS margin, round_even(known, 4) AS in_catalogue FROM a"""
+)
+def search_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The service's answers to queries: status, best, confidences and whether the thing is in the catalogue at all."""
+    found = _labelled(spark, sf_dir, 30).select("query_id", F.col("item_id").alias("slug"), F.col("score").alias("v_max"), (F.col("query_id") % 4 / 4).alias("quality"))
+    return service.search(found, {"v_max": 25.0}, {"bias": -3.0, "v_max": 5.0}, 0.06).drop("top5")
+
+
+@query(
+    """WITH w AS (SELECT p_partkey, 's' || p_partkey AS slug, ['steak', 'grilled salmon', 'chocolate cake', 'bread'][1 + p_partkey % 4] AS dish, CASE p_size % 4 WHEN 0 THEN 'red' WHEN 1 THEN 'white' WHEN 2 THEN 'rose' ELSE 'sparkling' END AS style, p_size % 4 = 3 AS brut, p_partkey % 3 = 0 AS asks FROM part),
+d AS (SELECT *, CASE dish WHEN 'steak' THEN 'red_meat' WHEN 'grilled salmon' THEN 'fish' WHEN 'chocolate cake' THEN 'dessert' ELSE 'general' END AS dish_key FROM w),
+s AS (SELECT *, CASE dish_key WHEN 'red_meat' THEN CASE style WHEN 'red' THEN 4 WHEN 'white' THEN 1 WHEN 'rose' THEN 2 ELSE 1 END WHEN 'fish' THEN CASE style WHEN 'red' THEN 1 WHEN 'white' THEN 4 WHEN 'rose' THEN 3 ELSE 3 END WHEN 'dessert' THEN CASE style WHEN 'sparkling' THEN 2 ELSE 1 END ELSE 3 END AS score FROM d)
+SELECT slug, dish_key, style, score, CASE WHEN asks AND brut AND score >= 3 THEN 'acceptable' WHEN score >= 4 THEN 'excellent' WHEN score = 3 THEN 'good' WHEN score = 2 THEN 'acceptable' ELSE 'not_ideal' END AS verdict FROM s"""
+)
+def pairing_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The service's answers on dishes, with a taste that a third of the requests name."""
+    p = _part(spark, sf_dir)
+    n, k = F.col("p_size") % 4, F.col("p_partkey")
+    name = F.concat_ws(" ", F.lit("zz"), F.when(n == 0, "красное").when(n == 1, "белое").when(n == 2, "розовое").otherwise("брют"))
+    none = F.lit(None).cast("string")
+    wines = p.select(F.concat(F.lit("s"), k.cast("string")).alias("slug"), name.alias("name"), none.alias("category"), F.col("p_brand").alias("winery"), none.alias("grapes"), none.alias("region"))
+    dishes = F.array(*map(F.lit, ["steak", "grilled salmon", "chocolate cake", "bread"]))
+    asked = p.select(F.concat(F.lit("s"), k.cast("string")).alias("slug"), F.element_at(dishes, (k % 4 + 1).cast("int")).alias("dish"), none.alias("sauce"), F.when(k % 3 == 0, "Sweet").alias("preference"))
+    return service.pairings(wines, asked).select("slug", "dish_key", "style", F.col("score").cast("int").alias("score"), "verdict")
+
+
+@query(
+    """SELECT 's' || c_custkey AS slug, CASE WHEN c_custkey IN (SELECT p_partkey FROM part) THEN 200 ELSE 404 END AS status, CASE WHEN c_custkey NOT IN (SELECT p_partkey FROM part) THEN 'wine_not_found' END AS code,
+  CASE WHEN c_custkey IN (SELECT p_partkey FROM part WHERE p_size % 3 <> 0 AND p_size % 5 <> 0 AND p_size % 7 <> 0) THEN p.p_brand || '.png' END AS file FROM customer LEFT JOIN part p ON p.p_partkey = c_custkey"""
+)
+def wine_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards and pictures by slug; what the catalogue or the folder lacks is 404."""
+    p, n = _part(spark, sf_dir), F.col("p_size")
+    slug = lambda c: F.concat(F.lit("s"), F.col(c).cast("string"))
+    name = F.when(n % 3 == 0, F.lit("")).when(n % 5 == 0, F.concat(F.lit("../"), "p_brand", F.lit(".png"))).when(n % 7 == 0, "absent.png").otherwise(F.concat("p_brand", F.lit(".png")))
+    wines = p.select(slug("p_partkey").alias("slug"), F.col("p_name").alias("name"), F.col("p_type").alias("grapes"), name.alias("photo_name"))
+    files = p.select(F.concat("p_brand", F.lit(".png")).alias("name")).distinct()
+    asked = read(spark, sf_dir, "customer").select(slug("c_custkey").alias("slug"))
+    shown = service.pictures(wines, files, asked).select("slug", "file")
+    return service.looked_up(wines, asked).join(shown, "slug").select("slug", "status", "code", "file")
+
+
+@query("SELECT 'ready' AS status, (SELECT count(DISTINCT p_name) FROM part) AS catalog_count, (SELECT count(DISTINCT p_name) FROM part WHERE p_size > 25) AS indexed_count, 'v1' AS model_version")
+def service_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _part(spark, sf_dir).select(F.col("p_name").alias("slug"), "p_size")
+    return service.ready(p, p.where("p_size > 25"), "v1")
+
+
+@query(
+    f"""WITH {SCORES}, b AS (SELECT query_id, item_id, score, lead(score) OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS nx, rank FROM ranked), s AS (SELECT query_id, item_id AS slug, score, score - nx AS m, query_id // 50 AS k FROM b WHERE rank = 1),
+x AS (SELECT *, k % 5 = 0 AS fused, k % 5 = 1 AS strong, k % 3 = 0 AS words, k % 4 = 0 AS side, least(0.96::DOUBLE, 0.5::DOUBLE + 0.28::DOUBLE * (1 - exp(-(score * 20) / 12)) + 0.18::DOUBLE * (1 - exp(-(m * 50) / 8))) AS t FROM s)
+SELECT query_id, slug, CASE WHEN fused OR strong THEN round_even(score, 4) WHEN words AND score * 20 >= 7 THEN round_even(CASE WHEN m * 50 < 1 THEN least(t, 0.75::DOUBLE) ELSE t END, 4) WHEN NOT side THEN round_even(least(0.86::DOUBLE, greatest(0.5::DOUBLE, 0.58::DOUBLE + 0.8::DOUBLE * m)), 4) ELSE round_even(score / 2, 4) END AS confidence,
+  CASE WHEN fused THEN 'fusion' WHEN strong THEN 'local_features' WHEN words AND score * 20 >= 7 THEN 'ocr' WHEN NOT side THEN 'dinov2' ELSE 'handcrafted' END AS method FROM x"""
+)
+def legacy_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older order of stages: fusion, strong local match, words that score enough, the neural picture but not before side objects, the handcrafted one."""
+    two = _labelled(spark, sf_dir, 2)
+    at = lambda n, c: F.max(F.when(F.col("rank") == n, F.col(c)))
+    one = written(two.groupBy("query_id").agg(at(1, "item_id").alias("slug"), at(1, "score").alias("score"), at(2, "score").alias("nx")), "best").withColumns({"m": F.col("score") - F.col("nx"), "k": F.floor(F.col("query_id") / 50)})
+    k, no = F.col("k"), F.lit(False)
+    stage = lambda able, confidence: one.where(able).select("query_id", "slug", confidence.alias("confidence"), F.col("m").alias("margin"))
+    words = one.where(k % 3 == 0).select("query_id", "slug", (F.col("score") * 20).alias("score"), (F.col("m") * 50).alias("margin"), no.alias("conflict"), no.alias("by_alias"), F.lit(True).alias("indexed"))
+    queries = one.select("query_id", (k % 4 == 0).alias("side_objects"))
+    found = rank.legacy_cascade(queries, stage(k % 5 == 0, F.col("score")), stage(k % 5 <= 1, F.col("score")), stage(F.lit(True), F.col("score") / 2), one.select("query_id", "slug", F.col("m").alias("margin")), words)
+    return found.select("query_id", "slug", "confidence", "method")

@@ -84,3 +84,37 @@ def cards(catalogue: DataFrame) -> DataFrame:
     title = F.coalesce(T.first_filled(F.col("name")), F.initcap(F.replace("slug", F.lit("-"), F.lit(" "))))
     image = F.when(F.coalesce("photo_name", F.lit("")) != "", F.concat(F.lit("/v1/wines/"), "slug", F.lit("/image")))
     return catalogue.select("slug", title.alias("title"), F.array_join(T.grapes(F.col("grapes")), ", ").alias("grapes"), image.alias("image_url"))
+
+
+def ready(catalogue: DataFrame, index: DataFrame, version: str) -> DataFrame:
+    """status, catalog_count, indexed_count, model_version: one row; not_ready without a catalogue."""
+    n = catalogue.agg(F.count_distinct("slug").alias("catalog_count"))
+    return n.crossJoin(index.agg(F.count_distinct("slug").alias("indexed_count"))).select(F.when(F.col("catalog_count") > 0, "ready").otherwise("not_ready").alias("status"), "catalog_count", "indexed_count", F.lit(version).alias("model_version"))  # one row each
+
+
+def predictions(answers: DataFrame) -> DataFrame:
+    """What the evaluation's route gives of search(): the best slug alone."""
+    return answers.select("query_id", "slug")
+
+
+def looked_up(catalogue: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (slug) with status, code and the card of each; slugs that the catalogue lacks are 404 wine_not_found."""
+    known = cards(catalogue).withColumn("__k", F.lit(True))
+    found = asked.join(known, "slug", "left")
+    return found.select("slug", F.when(F.col("__k"), 200).otherwise(404).alias("status"), F.when(F.col("__k").isNull(), "wine_not_found").alias("code"), "title", "grapes", "image_url")
+
+
+def pictures(catalogue: DataFrame, files: DataFrame, asked: DataFrame, scenes: list[str] | None = None) -> DataFrame:
+    """asked (slug) with status, code and the file (files: name) of its picture; names that lead elsewhere, absent files and pictures of whole scenes are 404 image_not_found."""
+    named = catalogue.select("slug", F.col("photo_name").alias("name")).where(F.coalesce("name", F.lit("")) != "").where(~F.col("name").contains("/") & T.safe_path(F.col("name")))
+    if scenes:
+        named = named.where(~F.col("slug").isin(scenes))
+    found = asked.join(named.join(files.select("name").distinct(), "name"), "slug", "left")
+    return found.select("slug", F.when(F.col("name").isNotNull(), 200).otherwise(404).alias("status"), F.when(F.col("name").isNull(), "image_not_found").alias("code"), F.col("name").alias("file"))
+
+
+def searched(answers: DataFrame, catalogue: DataFrame, k: int = 4) -> DataFrame:
+    """answers of search() with analogs: what is like the best wine of each answer that isn't found, makers alike or not (item and reasons, best first)."""
+    lost = answers.where("status != 'found'").select("query_id", "slug")
+    like = analogues(catalogue, lost.select("slug"), k, other_makers=False).groupBy(F.col("query").alias("slug")).agg(F.array_sort(F.collect_list(F.struct("rank", "item", "reasons"))).alias("analogs"))  # k of each
+    return answers.join(lost.join(like, "slug").select("query_id", "analogs"), "query_id", "left")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
 
@@ -12,6 +12,11 @@ def flag(value: str | None, default: bool) -> bool:
     return default if value is None or not value.strip() else value.strip().lower() not in ("0", "false", "no", "off")
 
 
+def first_path(value: str | None, candidates: Iterable[str], exists: Callable[[str], bool]) -> str | None:
+    """The path that is set, else the first candidate that exists (asked of the session's own file system), else null."""
+    return value if value else next((c for c in candidates if exists(c)), None)
+
+
 @dataclass(frozen=True)
 class Settings:
     """Places and thresholds. Each may be set by an upper-case variable with the prefix."""

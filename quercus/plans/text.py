@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quercus.functions import text as T
@@ -67,13 +67,12 @@ top AS (SELECT * FROM r WHERE rank <= 5)"""
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five documents that share most weight with each benchmark item, and the tokens shared."""
+    """The five documents that share most weight with each benchmark item, and the tokens shared. Documents are cut into tokens once."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    posts = _postings(docs, "doc_id")
-    asked = _postings(read(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id")
-    weights = textindex.idf(posts.join(asked.select("token").distinct(), "token", "left_semi"), docs.count(), "doc_id")
-    score = asked.join(weights, "token").join(posts, "token").groupBy("item_id", "doc_id").agg(F.round(F.sum("idf"), 5).alias("score"))
-    top = score.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")).cast("bigint")).where("rank <= 5")
+    asked = written(_postings(read(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id"), "asked")
+    posts = written(_postings(docs, "doc_id").join(asked.select("token").distinct(), "token", "left_semi"), "postings")
+    weights = written(textindex.idf(posts, docs.count(), "doc_id"), "weights")
+    top = textindex.top_by_idf(asked, posts, weights, "item_id", "doc_id", 5)
     shared = top.join(asked, "item_id").join(posts, ["doc_id", "token"]).join(weights, "token")
     return written(shared.groupBy("item_id", "doc_id", "score", "rank").agg(F.collect_list(F.struct("token", "idf")).alias("matched")), "matched")
 
@@ -176,7 +175,9 @@ def conflict_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.join(one, "p_brand").select("p_partkey", differs.alias("conflict"), agrees.alias("agrees"), sized.alias("size_conflict"))
 
 
-@query()
+@query(
+    """SELECT doc_id, sha256(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')) AS words_sha256, trim(regexp_replace(lower(coalesce(lang, source)), '[^a-z0-9]+', '_', 'g'), '_') AS media_key FROM documents"""
+)
 def nfkc_translit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys and query words of whole texts; DuckDB has no NFKC."""
+    """Keys and query words of whole texts (whose letters NFKC leaves as they are, so that SQL can follow)."""
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.query_text(F.col("text")), 256).alias("words_sha256"), T.media_key(F.concat_ws("/", "source", F.concat("lang", F.lit(".txt")))).alias("media_key"))

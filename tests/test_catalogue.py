@@ -73,6 +73,25 @@ def test_media_decisions(spark, tmp_path):
         catalog.media_decisions(photos, entries, spark.createDataFrame([("x", "nowhere")], none.schema))
     keys = spark.createDataFrame([("wine_red",), ("wine_rad",), ("beer",), ("wine",)], "key string")
     assert [r.known for r in catalog.suggestions(spark.createDataFrame([("wine_rod",)], "key string"), keys).orderBy("rank").collect()] == ["wine_rad", "wine_red", "wine"]
+    odd = spark.createDataFrame([("bab",), ("xay",), ("zzaz",), ("qqq",)], "key string").repartition(3)
+    assert [(r.known, round(r.score, 4)) for r in catalog.suggestions(spark.createDataFrame([("aaaa",)], "key string"), odd).orderBy("rank").collect()] == [("bab", 0.2857), ("xay", 0.2857), ("zzaz", 0.25)]
+    assert catalog.suggestions(odd.limit(0), odd).count() == 0
+
+
+def test_suggestions_equal_all_ratios(spark, monkeypatch):
+    import difflib
+    import random
+
+    monkeypatch.setattr(catalog, "ASKED", 4)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abc_", k=rng.randint(1, 9)))
+    asked, known = {word() for _ in range(10)}, {word() for _ in range(80)}
+    got = {}
+    of = lambda some: spark.createDataFrame([(w,) for w in sorted(some)], "key string").repartition(3)
+    for r in catalog.suggestions(of(asked), of(known)).orderBy("rank").collect():
+        got.setdefault(r.key, []).append((r.known, r.score))
+    for a in asked:
+        assert got[a] == sorted(((k, difflib.SequenceMatcher(None, a, k, autojunk=False).ratio()) for k in known), key=lambda x: (-x[1], x[0]))[:3]
 
 
 def recovery(spark, **changes):
@@ -126,7 +145,7 @@ def test_readers(spark, tmp_path):
     assert readers.records(spark, str(tmp_path / "b.txt")).columns == ["slug", "n"]
     from pyspark.sql import types as S
 
-    with pytest.raises(Exception, match="not a JSON object"):
+    with pytest.raises(Exception, match=r"c.jsonl:2: not a JSON object"):
         readers.strict_jsonl(spark, str(tmp_path / "c.jsonl"), S.StructType([S.StructField("slug", S.StringType())])).collect()
     (tmp_path / "sums").write_text("a" * 64 + " *./x\\y.png\n" + "b" * 64 + "  z/y2.png\n")
     known = readers.checksums(spark, str(tmp_path / "sums"))
@@ -143,6 +162,16 @@ def test_listing():
 
     assert readers.listing(json.dumps(flat)) == {"currentPage": 1, "totalItems": 9, "totalPages": 1, "items": [{"slug": "s", "name": "Name", "image": None}]}
     assert readers.listing("[]") is None
+    deep = [{"currentPage": -1, "totalItems": -1, "totalPages": -1, "items": 1}, *([n] for n in range(2, 3002)), "end"]
+    value, depth = readers.listing(json.dumps(deep))["items"], 0
+    while isinstance(value, list):
+        value, depth = value[0], depth + 1
+    assert (value, depth) == ("end", 3000)
+    assert readers.resolved([["tag"], ["tag", 2], "x", [0, 1, -4]], 3) == [[], "x", None]
+    with pytest.raises(ValueError, match="contains itself"):
+        readers.resolved([[1], {"a": 0}], 0)
+    with pytest.raises(ValueError, match="a pointer"):
+        readers.resolved([[7]], 0)
 
 
 def test_index_and_history(spark, tmp_path):
@@ -178,6 +207,9 @@ def test_text_index(spark):
     assert got["массанара"] == [(0, "массандра", 0.6)]
     assert sorted(got["катаронрислинг"]) == [(0, "катарон", 0.8), (1, "рислинг", 0.8)]
     assert set(got) == {"рислинг", "массанара", "катаронрислинг"}
+    long = spark.createDataFrame([("x" * 20_000,), ("x" * 19_999 + "y",), ("abcdefgh",), ("abXcdefgh",), ("bcdefgX",)], "token string")
+    near = {r.token[:9]: (r.found[:9], r.distance) for r in textindex.nearest_token(long.limit(4), spark.createDataFrame([("x" * 20_000 + "zz",), ("abcdfgh",), ("bcdefgh",)], "token string")).collect()}
+    assert near == {"xxxxxxxxx": ("xxxxxxxxx", 2), "abcdefgh": ("abcdfgh", 1), "abXcdefgh": ("abcdfgh", 2)}
     words = spark.createDataFrame([(1, "Катарон", 1.0), (1, "Рислинг", 1.0)], "query_id int, text string, weight double")
     found = {r.slug: r for r in textindex.scored(words, index, weights, textindex.norms(index, weights, "slug"), "slug").collect()}
     assert max(found.values(), key=lambda r: r.score).slug == "katharon-risling"
@@ -187,6 +219,30 @@ def test_text_index(spark):
     assert [(r.query_id, r.group, r.style) for r in textindex.style_votes(votes).collect()] == [(1, "colour", "red")]
 
 
+def test_nearest_token_equals_all_distances(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abc", k=n))
+    asked, known = {word(rng.randint(3, 11)) for _ in range(150)}, {word(rng.randint(2, 12)) for _ in range(150)}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    want = {}
+    for a in asked:
+        near = sorted((distance(a, k), k) for k in known)
+        if len(a) >= 4 and near[0][0] <= (1 if len(a) <= 6 else 2):
+            want[a] = near[0]
+    of = lambda some: spark.createDataFrame([(w,) for w in sorted(some)], "token string")
+    assert {r.token: (r.distance, r.found) for r in textindex.nearest_token(of(asked), of(known)).collect()} == want and len(want) > 50
+
+
 def test_recommendation(spark):
     rows = spark.createDataFrame([("grilled Salmon",), ("стейк",), ("bread",), ("fish",)], "d string")
     assert [r[0] for r in rows.select(recommend.dish(F.col("d"))).collect()] == ["fish", "red_meat", "general", "fish"]

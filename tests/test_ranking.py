@@ -4,10 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quercus.operators import evaluate, fit, graph, rank, vectors
+from quercus.operators import evaluate, fit, graph, rank, validate, vectors
 
 
-def test_search_matches_brute_force(spark):
+@pytest.mark.parametrize("block", [4096, 2])
+def test_search_matches_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
     rng = np.random.default_rng(1)
     v = rng.normal(size=(60, 8))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
@@ -111,21 +113,116 @@ def test_known_unknown(spark):
     assert (r.known, r.top1, r.top5, r.found_known, r.found_right, r.wrong_not_found, r.unknown, r.rejected, r.wrong_found) == (2, 1, 2, 1, 1, 1, 2, 1, 1)
 
 
-def test_issues(spark):
-    rows = spark.createDataFrame(
-        [("q1", "a.png", "a" * 64, "x", 1.0), ("", "../b.png", "zz", "bad slug", -1.0), ("q1", "c.png", "b" * 64, None, float("nan"))], "query_id string, image_path string, image_sha256 string, predicted_slug string, latency_ms double"
-    )
-    found = evaluate.issues(rows, F.col("query_id"), evaluate.prediction_checks())
-    assert sorted(r.code for r in found.where("key = ''").collect()) == ["invalid_latency", "invalid_predicted_slug", "invalid_prediction_checksum", "invalid_prediction_image_path", "invalid_prediction_query_id"]
-    assert [r.code for r in found.where("key = 'q1'").collect()] == ["invalid_latency"]
-    assert evaluate.status(found).first().status == "invalid"
-    first = evaluate.first_predictions(rows.withColumn("pos", F.monotonically_increasing_id()), "pos")
-    assert first.where("nth = 1").count() == 2
-    scenes = spark.createDataFrame(
-        [("a", [("x", True, [40, 0, 60, 100]), ("y", False, [0, 0, 20, 100]), ("z", False, [80, 0, 100, 100])], 100, 100), ("b", [("x", True, [0, 0, 20, 100]), ("x", False, [40, 0, 160, 100])], 100, 100)],
-        "query_id string, objects array<struct<slug:string,is_target:boolean,bbox_xyxy:array<int>>>, width int, height int",
-    )
-    assert sorted((r.query_id, r.code) for r in evaluate.dataset_issues(scenes).collect()) == [("b", "box_outside"), ("b", "objects_not_distinct")]
+def submission(spark, **files):
+    """Inputs of validate() from lists of dicts; columns are all names that occur."""
+    out = {}
+    for name, rows in files.items():
+        columns = sorted({k for r in rows for k in r})
+        kind = {"latency_ms": "double", "fields": "array<string>"}
+        data = [(n, *(r.get(c) for c in columns)) for n, r in enumerate(rows)]
+        out[name] = spark.createDataFrame(data, ", ".join(["pos bigint", *(f"{c} {kind.get(c, 'string')}" for c in columns)]))
+    return out
+
+
+ROW = {"query_id": "q1", "image_path": "q1.jpg", "image_sha256": "A" * 64, "predicted_slug": "a", "latency_ms": 10.0}
+
+
+def codes(found):
+    return sorted((r.code, r.query_id) for r in found.issues.collect())
+
+
+def test_submissions(spark, tmp_path):
+    asked = [{"query_id": " q1 ", "image_path": "q1.jpg", "Label": "a"}, {"query_id": "q2", "image_path": "q2.jpg", "Label": "b"}]
+    files = submission(spark, manifest=asked, predictions=[ROW, {**ROW, "query_id": "q2", "image_path": "q2.jpg", "predicted_slug": "b"}], catalogue=[{"slug": "a"}, {"slug": "b"}])
+    good = validate.validate(files["manifest"], files["predictions"], "pos", files["catalogue"])
+    assert codes(good) == [("checksums_not_verified", None)] and good.status == "valid" and good.mode == "scored"
+    assert validate.exit_code(good) == 0 and validate.exit_code(good, fail_on_warnings=True) == 1
+    assert "| accuracy | 1.000 |" in validate.markdown(good)
+    assert validate.reported(good, str(tmp_path / "good")) is good
+    bad = submission(spark, manifest=asked, predictions=[{**ROW, "predicted_slug": "mars", "image_sha256": "x", "fields": ["query_id"]}, ROW, {**ROW, "query_id": "odd id"}], catalogue=[{"slug": "a"}])
+    found = validate.validate(bad["manifest"], bad["predictions"], "pos", bad["catalogue"])
+    got = codes(found)
+    assert ("duplicate_prediction", "q1") in got and ("missing_prediction", "q2") in got and ("extra_prediction", "__invalid_row_2") in got and ("unknown_expected_slug", "q2") in got
+    assert validate.exit_code(found) == 1
+    with pytest.raises(ValueError, match="errors"):
+        validate.reported(found, str(tmp_path / "bad"))
+    assert spark.read.json(str(tmp_path / "bad/issues")).count() == len(got) and "invalid" in (next((tmp_path / "bad/report").glob("*.txt"))).read_text()
+    fields = bad["predictions"]
+    listed = validate.validate(bad["manifest"], fields, "pos", bad["catalogue"], fields="fields")
+    assert [r.detail for r in listed.issues.where("code = 'missing_prediction_field' and row = 0").orderBy("detail").collect()] == ["image_path", "image_sha256", "latency_ms", "predicted_slug"]
+
+
+def test_submission_odd_inputs(spark):
+    none = submission(spark, manifest=[{"query_id": "q", "image_path": "x"}], predictions=[ROW])
+    empty = validate.validate(none["manifest"].limit(0), none["predictions"].limit(0), "pos")
+    assert codes(empty) == [("catalog_not_provided", None), ("empty_query_manifest", None), ("unlabeled_manifest", None)] and empty.totals["query_count"] == 0 and empty.mode == "unlabeled_validation"
+    assert "no labels" in validate.markdown(empty)
+    typed = none["predictions"].withColumn("latency_ms", F.lit("10")).withColumn("predicted_slug", F.lit(5))  # text and numbers in the wrong places
+    got = {c for c, _ in codes(validate.validate(none["manifest"], typed, "pos"))}
+    assert {"invalid_latency", "invalid_predicted_slug", "missing_prediction", "extra_prediction"} <= got
+    lists = submission(spark, manifest=[{"query_id": "q1", "image_path": "q1.jpg", "image_sha256": "a" * 64}], predictions=[{**ROW, "matches": "b|a"}], candidates=[{"query_id": "q1", "top5": '["a", {"slug": "c"}]'}, {"query_id": "q1", "top5": "z"}])
+    found = validate.validate(lists["manifest"], lists["predictions"], "pos", candidates=lists["candidates"])
+    assert found.scored.first().candidates == ["a", "c"] and ("duplicate_candidate_query_id", "q1") in codes(found)
+    assert found.totals["checksums_matched"] == 1 and ("candidate_top1_mismatch", "q1") not in codes(found)
+
+
+def test_scenes(spark):
+    box = lambda slug, target, *b: (slug, f"sha-{slug}", [float(x) for x in b], target)
+    rows = [
+        ("a", "train", "a.png", "x", "sx", "shelf", 100, 100, [box("x", True, 40, 40, 60, 60), box("y", False, 0, 0, 20, 100), box("z", False, 80, 0, 100, 100)]),
+        ("b", "dev", "../b.png", "x", "sx", "shelf", 100, 100, [box("x", True, 0, 0, 20, 100), box("x", False, 40, 0, 160, 100)]),
+        ("c", "test", "c.png", "y", "sx", "single", 100, 100, None),
+        ("c", "test", "c.png", "w", "sw", "shelf", 100, 100, []),
+    ]
+    scenes = spark.createDataFrame(rows, "query_id string, split string, image_path string, expected_slug string, source_sha256 string, scene string, width int, height int, objects array<struct<slug:string,source_sha256:string,bbox_xyxy:array<double>,is_target:boolean>>")
+    contents = spark.createDataFrame([("a.png", "h"), ("../b.png", "h")], "path string, sha256 string").withColumnRenamed("path", "image_path")
+    got = sorted((r.query_id, r.code) for r in evaluate.dataset_issues(scenes, contents).collect())
+    want = [("b", c) for c in ("invalid_bounds", "invalid_distractors", "invalid_split", "missing_or_unsafe_image")]
+    assert got == want + [("c", c) for c in ("duplicate_query_id", "duplicate_query_id", "invalid_centre_label", "missing_or_unsafe_image", "missing_or_unsafe_image")]
+    assert sorted((r.kind, r.key, r.splits) for r in evaluate.crossing(scenes).collect()) == [("class", "x", ["dev", "train"]), ("class", "y", ["test", "train"]), ("source", "sha-x", ["dev", "train"]), ("source", "sx", ["dev", "test", "train"])]
+
+
+def test_confusion(spark):
+    rows = [(f"a-{y}", f"Alpha Reserve {y}", "Dom", "Merlot; Pinot", "red", True) for y in (2018, 2019)]
+    rows += [("beta", "Beta Gold Oak Cask", "Dom", "", "red", True), ("beta-x", "Beta Gold Oak Barrel Cask", "Dom", "", "red", True), ("gamma", "Alpha Reserve", "Other", "Merlot, Pinot", "red", True), ("off", "Alpha Reserve 2020", "Dom", "Merlot", "red", False), ("none", "Alpha", "", "", "", True)]
+    rows += [(f"many-{i}x", "Common", "Big", "Syrah", "red", True) for i in range(6)]
+    df = spark.createDataFrame(rows, "slug string, name string, winery string, grapes string, category string, index_ready boolean")
+    found = graph.confusion(df, max_group=5, max_neighbours=4)
+    clusters = {(r.reason, tuple(r.slugs)) for r in found.clusters.collect()}
+    assert clusters == {(x, ("a-2018", "a-2019")) for x in ("same_name_without_vintage", "same_slug_without_vintage", "same_grapes_category", "same_series_tokens", "near_name_tokens")} - {("near_name_tokens", ("a-2018", "a-2019"))} | {("near_name_tokens", p) for p in (("a-2018", "a-2019"), ("beta", "beta-x"))}
+    near = {(r.src, r.dst): (r.score, r.reasons) for r in found.neighbours.collect()}
+    assert near["beta", "beta-x"] == (0.8, ["near_name_tokens"]) and near["a-2018", "a-2019"][0] == 1.0 and len(near) == 4
+    report = found.report.first()
+    assert (report.eligible, report.covered, report.fraction, report.oversized) == (12, 4, 0.333333, {"same_grapes_category": 1, "same_name_without_vintage": 1})
+    assert graph.confusion(df.limit(0)).report.first().fraction == 0.0
+    with pytest.raises(ValueError, match="repeats"):
+        graph.confusion(df.union(df))
+
+
+def test_similar_pairs_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice("xy"), sorted({rng.choice("abcdefghijkl") for _ in range(rng.randint(0, 7))} | {"common"})) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, block string, t array<string>").repartition(3)
+    for least, common in ((0.3, 1), (0.65, 2), (0.5, 3), (1.0, 1)):
+        got = {(r.a, r.b): (round(r.score, 9), r.common) for r in graph.similar_pairs(df, "id", "block", F.col("t"), least, common).collect()}
+        want = {}
+        for i, x, s in rows:
+            for j, y, t in rows:
+                n = len({*s} & {*t})
+                if i < j and x == y and n >= common and n / len({*s} | {*t}) >= least:
+                    want[i, j] = (round(n / len({*s} | {*t}), 9), n)
+        assert got == want and want
+
+
+def test_legacy_cascade(spark):
+    queries = spark.createDataFrame([(i, i == 4) for i in range(7)], "query_id int, side_objects boolean")
+    of = lambda *ids: spark.createDataFrame([(i, f"s{i}", 0.5, 0.25) for i in ids], "query_id int, slug string, confidence double, margin double")
+    neural = spark.createDataFrame([(i, f"n{i}", 0.1) for i in (3, 4)], "query_id int, slug string, margin double")
+    words = spark.createDataFrame([(2, "w2", 9.0, 20.0, False, False, True), (3, "w3", 6.9, 5.0, False, False, True), (5, "w5", 7.0, 0.5, False, False, True)], "query_id int, slug string, score double, margin double, conflict boolean, by_alias boolean, indexed boolean")
+    got = {r.query_id: (r.slug, r.method, r.margin) for r in rank.legacy_cascade(queries, of(0), of(0, 1), of(0, 1, 2, 3, 4), neural, words).collect()}
+    assert got == {0: ("s0", "fusion", 0.25), 1: ("s1", "local_features", 0.25), 2: ("w2", "ocr", 1.0), 3: ("n3", "dinov2", 0.1), 4: ("s4", "handcrafted", 0.25), 5: ("w5", "ocr", 0.05), 6: (None, None, None)}
 
 
 def test_places(spark):
@@ -201,3 +298,51 @@ def test_resumable(spark, tmp_path):
     run()
     got = sorted(tuple(r)[:2] for r in spark.read.option("recursiveFileLookup", True).schema(schema).parquet(sink).collect())
     assert got == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_adapter_brings_queries_nearer(spark):
+    rng = np.random.default_rng(5)
+    gallery = rng.normal(size=(20, 6))
+    gallery[:, 5] = 0.1 * rng.normal(size=20)
+    noise = rng.normal(size=(200, 6)) * np.array([0.3, 0.3, 0.3, 0.3, 0.3, 4.0])  # the last part says nothing
+    labels = rng.integers(0, 20, 200)
+    queries = spark.createDataFrame([(f"s{y:02}", (gallery[y] + noise[i]).tolist()) for i, y in enumerate(labels)] + [("s99", [1.0] * 6), ("s01", None)], "slug string, embedding array<double>").repartition(3)
+    known = spark.createDataFrame([(f"s{i:02}", g.tolist()) for i, g in enumerate(gallery)], "slug string, embedding array<double>")
+    w = fit.adapter(queries, known, steps=12, l2=0.01, rate=0.05)
+
+    def right(m):
+        unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+        return float(((unit((gallery[labels] + noise) @ m) @ unit(gallery @ m).T).argmax(axis=1) == labels).mean())
+
+    assert right(w) > right(np.eye(6)) + 0.1
+    assert np.array_equal(fit.adapter(queries.limit(0), known, steps=3), np.eye(6))
+
+
+def test_model_in_workers(spark):
+    def load():
+        return lambda texts: [[len(t), 1.0] for t in texts]
+
+    rows = spark.createDataFrame([(1, "abc"), (2, None), (3, "")], "id int, text string").repartition(2)
+    got = {r.id: r.embedding for r in vectors.embedded(rows, "text", load).collect()}
+    assert got[2] is None and got[3] == [0.0, 1.0] and math.isclose(got[1][0], 3 / math.sqrt(10), rel_tol=1e-6)
+
+
+def test_distractors(spark, monkeypatch):
+    import hashlib
+
+    from quercus.operators import recommend
+
+    monkeypatch.setattr(recommend, "TARGETS", 3)
+    pool = [(f"s{i % 7}", f"h{i}", f"f{i % 7 % 3}" if i % 5 else None) for i in range(40)]
+    df = spark.createDataFrame(pool, "slug string, sha256 string, family string").repartition(3)
+    targets = df.where("sha256 in ('h1', 'h2', 'h5', 'h9', 'h30')").withColumn("variant", F.lit(3))
+    got = {}
+    for r in recommend.distractors(targets, df, "x").orderBy("rank").collect():
+        got.setdefault(r.target, []).append((r.slug, r.sha256))
+    for slug, sha, family in (p for p in pool if p[1] in ("h1", "h2", "h5", "h9", "h30")):
+        order = sorted((p for p in pool if p[0] != slug), key=lambda p: (not (family and family == p[2]), hashlib.sha256(f"x\0{sha}\0003\0{p[1]}".encode()).hexdigest()))
+        want = []
+        for p in order:
+            if p[0] not in {w[0] for w in want}:
+                want.append((p[0], p[1]))
+        assert got[sha] == want[:2]

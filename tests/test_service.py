@@ -31,6 +31,10 @@ def test_analogues(spark):
     got = service.analogues(wines(spark), asked).orderBy("rank").collect()
     assert got[0].item == "abrau-bryut" and "katharon-risling" not in [r.item for r in got] and "plain" not in [r.item for r in got]
     assert {"same colour", "shared grapes"} <= set(got[0].reasons)
+    two = spark.createDataFrame([("r", "Красное", "Тихое", "A", None, None, None), ("w", "Белое", "Тихое", "B", None, None, None)], "slug string, name string, category string, winery string, grapes string, region string, photo_name string")
+    near = spark.createDataFrame([("r", "w", 0.8)], "query string, item string, similarity double")
+    one = service.analogues(two, two.where("slug = 'r'").select("slug"), visual=near).collect()
+    assert [(r.item, round(r.score, 9), r.reasons) for r in one] == [("w", 2.4, ["same category"])]
     assert "katharon-risling" in [r.item for r in service.analogues(wines(spark), asked, other_makers=False).collect()]
 
 

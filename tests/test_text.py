@@ -56,7 +56,7 @@ def test_words_keep_every_script(spark):
 
 
 def test_lists_and_booleans(spark):
-    assert values(spark, T.candidate_list, "a|b|a, c", '[{"slug":"a"},"b"]', "", None, "[broken", "{}") == [["a", "b", "c"], ["a", "b"], None, None, [], []]
+    assert values(spark, T.candidate_list, "a|b|a, c", '[{"slug":"a"},"b"]', "", None, "[broken", "{}", "  ", '[1, "a", {"slug": 5}, null]', '{"a|b') == [["a", "b", "c"], ["a", "b"], None, None, [], ["{}"], [], ["a"], ['{"a', "b"]]
     assert values(spark, T.lenient_boolean, "Yes", "0", None, " TRUE ") == [True, False, False, True]
     assert values(spark, T.grapes, "Мерло; Пино, мерло/ ", None) == [["мерло", "пино"], []]
 
@@ -83,5 +83,5 @@ def test_hashes(spark):
 
 
 def test_image_kind(spark):
-    rows = spark.createDataFrame([(b"RIFF\0\0\0\0WEBP",), (b"\xff\xd8\xff\xe0",), (b"\x89PNG\r\n\x1a\n",), (b"<svg",), (b"",)], "c binary")
-    assert [r[0] for r in rows.select(hashing.image_kind(F.col("c"))).collect()] == ["webp", "jpeg", "png", None, None]
+    rows = spark.createDataFrame([(b"RIFF\0\0\0\0WEBP",), (b"\xff\xd8\xff\xe0",), (b"\x89PNG\r\n\x1a\n",), (b"<svg",), (b"",), (b"\xff\xd8",)], "c binary")
+    assert [r[0] for r in rows.select(hashing.image_kind(F.col("c"))).collect()] == ["webp", "jpeg", "png", None, None, "jpeg"]
