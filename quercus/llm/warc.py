@@ -124,6 +124,7 @@ class BundleReader:
             self.starts.append(self.starts[-1] + plain)
         at, packed, _ = self.frames.pop()
         self.index = json.loads(zstandard.ZstdDecompressor().decompress(self.source.read(at + 8, packed - 8)))
+        self.places = {uri: place for uri, *place in reversed(self.index)}
 
     def frame(self, n: int) -> bytes:
         at, packed, plain = self.frames[n]
@@ -131,10 +132,8 @@ class BundleReader:
 
     def record(self, uri: str) -> tuple[dict[str, str], bytes]:
         """One record: its frame alone is read."""
-        for known, frame, offset, length in self.index:
-            if known == uri:
-                return parse(self.frame(frame)[offset : offset + length])
-        raise KeyError(uri)
+        frame, offset, length = self.places[uri]
+        return parse(self.frame(frame)[offset : offset + length])
 
     def read_at(self, offset: int, length: int) -> bytes:
         """Bytes of the plain WARC file; only the frames that hold them are read."""

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import os
 import random
 import zlib
 
@@ -113,3 +114,83 @@ def test_media_columns(spark):
     same = {(r.media_sha256, r.feature) for r in got if r.doc_id == 1}
     assert len(same) == 1
     assert transport.indexed(transport.stored(df.limit(0))).count() == 0
+
+
+def plain_stream(data):
+    """A transport stream by the tables of ISO/IEC 13818-1, written apart from the operator's code: programme map, stream types, units (stamp, data, random access)."""
+
+    def crc(section):
+        c = 0xFFFFFFFF
+        for byte in section:
+            for bit in range(7, -1, -1):
+                top = (c >> 31) ^ (byte >> bit & 1)
+                c = (c << 1) & 0xFFFFFFFF
+                if top:
+                    c ^= 0x04C11DB7
+        return c
+
+    assert len(data) % 188 == 0
+    maps, kinds, counters, parts, table = {}, {}, {}, [], {}
+    for at in range(0, len(data), 188):
+        packet = data[at : at + 188]
+        bits = int.from_bytes(packet[:4], "big")
+        assert bits >> 24 == 0x47 and not bits >> 23 & 1 and not bits >> 6 & 3  # in step, no error, not scrambled
+        start, pid, control, counter = bits >> 22 & 1, bits >> 8 & 0x1FFF, bits >> 4 & 3, bits & 15
+        body, access = packet[4:], False
+        if control & 2:
+            size = body[0]
+            access = bool(size and body[1] & 0x40)
+            if size and body[1] & 0x10:
+                clock = int.from_bytes(body[2:8], "big")
+                assert clock >> 9 & 0x3F == 0x3F
+            body = body[1 + size :]
+        if control & 1:
+            assert counters.get(pid, (counter - 1) % 16) == (counter - 1) % 16
+            counters[pid] = counter
+        if pid == 0 or pid in maps.values():
+            assert start
+            section = body[1 + body[0] :]
+            section = section[: 3 + (int.from_bytes(section[1:3], "big") & 0xFFF)]
+            assert crc(section) == 0
+            if pid == 0:
+                assert section[0] == 0
+                maps |= {int.from_bytes(section[i : i + 2], "big"): int.from_bytes(section[i + 2 : i + 4], "big") & 0x1FFF for i in range(8, len(section) - 4, 4)}
+            else:
+                assert section[0] == 2
+                i = 12 + (int.from_bytes(section[10:12], "big") & 0xFFF)
+                while i < len(section) - 4:
+                    kinds[int.from_bytes(section[i + 1 : i + 3], "big") & 0x1FFF] = section[i]
+                    i += 5 + (int.from_bytes(section[i + 3 : i + 5], "big") & 0xFFF)
+        elif start:
+            table[pid] = len(parts)
+            parts.append([access, bytearray(body)])
+        else:
+            parts[table[pid]][1].extend(body)
+    units = []
+    for access, unit in parts:
+        assert unit[:3] == b"\0\0\1"
+        size = int.from_bytes(unit[4:6], "big")
+        assert size in (0, len(unit) - 6) and unit[6] >> 6 == 2 and unit[7] >> 6 == 2
+        b = unit[9:14]
+        assert b[0] & 1 and b[2] & 1 and b[4] & 1
+        units.append(((b[0] >> 1 & 7) << 30 | b[1] << 22 | (b[2] >> 1) << 15 | b[3] << 7 | b[4] >> 1, bytes(unit[9 + unit[8] :]), access))
+    return maps, kinds, units
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_media_query_equals_plain_parser(spark):
+    """The query's figures against the stored streams as another parser reads them."""
+    from quercus.llm import queries
+
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = queries.QUERIES["op9_transport_stream"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        data = texts[r.doc_id]
+        payload = data + b"\0" * ((64 - len(data) % 64) % 64 if data else 64)
+        media = transport.mux(payload)
+        maps, kinds, units = plain_stream(media)
+        assert maps == {1: 0x1000} and kinds == {0x100: 6} and b"".join(u[1] for u in units) == payload
+        assert [u[0] for u in units] == [3600 * i for i in range(len(units))] and [u[2] for u in units] == [i % 8 == 0 for i in range(len(units))]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and f"units={len(units)};" in r.feature and f"packets={len(media) // 188};" in r.feature
