@@ -135,15 +135,15 @@ def order_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT DISTINCT p_partkey % 300 AS k, p_partkey % 8 AS f, p_brand AS path FROM part WHERE p_partkey % 300 <> 5)
+    """WITH d AS (SELECT DISTINCT p_partkey % 1500 AS k, p_partkey % 8 AS f, p_brand AS path FROM part WHERE p_partkey % 1500 <> 5)
 SELECT 's' || k AS slug, min(path) AS path FROM d WHERE f = k % 8 GROUP BY k, f HAVING count(*) = 1"""
 )
 def original_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one archive entry with the snapshot's slug and file name."""
     p, k = _part(spark, sf_dir), F.col("p_partkey")
     slug = lambda c: F.concat(F.lit("s"), c.cast("string"))
-    entries = p.where(k % 300 != 5).select(slug(k % 300).alias("slug"), F.concat(F.lit("f"), (k % 8).cast("string")).alias("file_name"), F.col("p_brand").alias("path")).distinct()
-    web = p.select((k % 300).alias("n")).distinct().select(slug(F.col("n")).alias("slug"), F.concat(F.lit("/uploads/a/f"), (F.col("n") % 8).cast("string")).alias("image_path"))
+    entries = p.where(k % 1500 != 5).select(slug(k % 1500).alias("slug"), F.concat(F.lit("f"), (k % 8).cast("string")).alias("file_name"), F.col("p_brand").alias("path")).distinct()
+    web = p.select((k % 1500).alias("n")).distinct().select(slug(F.col("n")).alias("slug"), F.concat(F.lit("/uploads/a/f"), (F.col("n") % 8).cast("string")).alias("image_path"))
     return catalog.reusable_originals(web, entries)
 
 

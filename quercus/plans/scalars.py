@@ -213,12 +213,12 @@ def declared_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS token, p_brand FROM part), df AS (SELECT token, count(*) AS df FROM t GROUP BY token), n AS (SELECT count(DISTINCT p_brand) AS n FROM part)
-SELECT token, df FROM df, n WHERE df <= greatest(3, ceil(n / 100.0)) AND token NOT IN ('red', 'old') UNION ALL SELECT p_type, count(*) FROM (SELECT DISTINCT p_type, p_size FROM part) GROUP BY p_type HAVING count(*) <= greatest(3, ceil((SELECT count(DISTINCT p_brand) FROM part) / 100.0))"""
+    """WITH t AS (SELECT DISTINCT unnest(list_concat(string_split(p_name, ' '), ['k' || (p_partkey % 700), 'old'])) AS token, p_brand FROM part), df AS (SELECT token, count(*) AS df FROM t GROUP BY token), n AS (SELECT count(DISTINCT p_brand) AS n FROM part)
+SELECT token, df FROM df, n WHERE df <= greatest(3, ceil(n / 100.0)) AND token NOT IN ('k7', 'old')"""
 )
 def identifying_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = written(read(spark, sf_dir, "part").select("p_brand", "p_name", "p_type", "p_size"), "part")
+    p = written(read(spark, sf_dir, "part").select("p_brand", "p_name", "p_partkey"), "part")
     total = p.select("p_brand").distinct().count()
-    by_brand = textindex.idf(p.select("p_brand", F.explode(F.split("p_name", " ")).alias("token")).distinct(), total, "p_brand")
-    by_size = textindex.idf(p.select("p_size", F.col("p_type").alias("token")).distinct(), total, "p_size")
-    return textindex.identifying(by_brand, total, ["red", "old"]).unionByName(textindex.identifying(by_size, total, [])).select("token", "df")
+    names = F.concat(F.split("p_name", " "), F.array(F.concat(F.lit("k"), (F.col("p_partkey") % 700).cast("string")), F.lit("old")))
+    weights = textindex.idf(p.select("p_brand", F.explode(names).alias("token")).distinct(), total, "p_brand")
+    return textindex.identifying(weights, total, ["k7", "old"]).select("token", "df")
