@@ -13,7 +13,7 @@ Jaccard similarity of their shingle sets, counted exactly; fingerprints and sket
 distinct set (unit) has a sketch of 128 positional bytes, byte p being taken from the hash that is least under permutation
 p (a consistent sample, so a byte agrees as often as shingles do), indexed in the same way by groups of four. Neighbours in
 a few lists are verified first, which joins most groups with few pairs, then those neighbours in the other lists that still
-lie in different classes; then the lists whose members lie in several classes are compared, every member with all of other
+lie in different classes, and the nearest fingerprints of units that stand in no list with another; then the lists whose members lie in several classes are compared, every member with all of other
 classes, in blocks, and what their tally allows for is verified too.
 """
 
@@ -215,32 +215,34 @@ def sets_of(names: DataFrame, units: DataFrame, df: DataFrame, text_column: str,
 def similar_links(units: DataFrame, df: DataFrame, text_column: str, row_column: str, k: int, max_bits: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
     """Links a, b between units (unit, fp, sketch, row), as many as the classes by similarity need; and the written tables that they are read from."""
     # one after the other: joined in one job, their stages would run together and hold their memory together
-    prints = written(units.groupBy("fp").agg(F.min("unit").alias("unit")), "prints")
-    near = written(links(prints, "fp", max_bits).distinct(), "near")
-    by_print = near.join(prints.select(F.col("fp").alias("a"), F.col("unit").alias("u")), "a").join(prints.select(F.col("fp").alias("b"), F.col("unit").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
-    equal = units.select("fp", "unit").join(prints.withColumnRenamed("unit", "of"), "fp").select(F.col("unit").alias("a"), F.col("of").alias("b"))
-    alike = written(by_print.union(equal.where("a != b")), "alike")
     posted = written(postings(units), "postings")
     counted = written(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counted")
     members = written(posted.join(counted, "key"), "members")
-    for table in (posted, counted, near, prints):
+    listed = written(members.select("unit").distinct(), "listed")
+    marked = units.join(listed.withColumn("listed", F.lit(True)), "unit", "left").select("unit", "fp", F.col("listed").isNull().alias("alone"))
+    prints = written(marked.groupBy("fp").agg(F.min("unit").alias("unit"), F.bool_or("alone").alias("alone"), F.count("*").alias("n")), "prints")
+    equal = marked.where("alone").join(prints.where("n > 1").select("fp", F.col("unit").alias("b")), "fp").select(F.col("unit").alias("a"), "b")
+    alike = written(_ordered(lone_links(prints, max_bits).union(equal)), "alike")
+    for table in (posted, counted, prints):
         forget(table)
     group = F.shiftright("key", 32)
-    pairs = written(_ordered(neighbours(members.where(group < FIRST).withColumn("root", F.col("unit"))).union(alike)), "pairs")
+    pairs = written(neighbours(members.where(group < FIRST).withColumn("root", F.col("unit"))), "pairs")
     # every pair that is compared below stands in a list with another unit, so these are all the sets there is need of
-    names = written(members.select("unit").union(alike.select(F.explode(F.array("a", "b")))).distinct(), "names")
+    names = written(listed.union(alike.select(F.explode(F.array("a", "b")))).distinct(), "names")
     sets = sets_of(names, units, df, text_column, row_column, k)
     first = verified(pairs, sets, similarity)
-    rooted = _rooted(members, first)
-    more = written(neighbours(rooted.where(group >= FIRST)).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    classes = written(components(first, "a", "b"), "classes")
+    rooted = written(_rooted(members, "unit", classes), "rooted")
+    more = written(_ordered(neighbours(rooted.where(group >= FIRST)).union(alike)).join(pairs, ["a", "b"], "left_anti"), "pairs")
     second = verified(more, sets, similarity)
-    for table in (alike, names, rooted):
+    for table in (alike, listed, names, rooted, classes):
         forget(table)
     found = written(first.union(second), "found")
-    rooted = _rooted(members, found)
+    classes = written(components(found, "a", "b"), "classes")
+    rooted = written(_rooted(members, "unit", classes), "rooted")
     several = written(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key"), "several")
     mixed = written(rooted.join(several, "key", "left_semi"), "mixed")
-    for table in (members, rooted, several, first, second):
+    for table in (members, rooted, several, classes, first, second):
         forget(table)
     rest = written(across(mixed.join(units.select("unit", "sketch"), "unit"), similarity).join(pairs.union(more), ["a", "b"], "left_anti"), "pairs")
     for table in (mixed, pairs, more):
@@ -251,12 +253,9 @@ def similar_links(units: DataFrame, df: DataFrame, text_column: str, row_column:
     return found.union(last), [found, last]
 
 
-def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members with root, the least unit of their class by the links."""
-    classes = written(components(links, "a", "b"), "classes")
-    rooted = written(members.join(classes.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit")), "rooted")
-    forget(classes)
-    return rooted
+def _rooted(rows: DataFrame, unit: str, classes: DataFrame) -> DataFrame:
+    """rows with root, the least unit of the class (node, root) that the unit in a column is of."""
+    return rows.join(classes.withColumnRenamed("node", unit), unit, "left").withColumn("root", F.coalesce("root", unit))
 
 
 def _flips(free: list[int], d: int) -> np.ndarray:
@@ -295,17 +294,26 @@ def _least(members: np.ndarray, d: int, fewest: int, free: list[int]) -> np.ndar
             return np.stack([members, members[low]])
 
 
-def links(prints: DataFrame, fp: str, d: int) -> DataFrame:
-    """Links a, b between distinct fingerprints that differ in at most d bits, as many as their classes need (see above)."""
+def free_bits(d: int) -> list[list[int]]:
+    """The bits that each set of 8 - d positional bytes leaves free."""
+    return [[8 * i + j for i in range(8) if i not in s for j in range(8)] for s in combinations(range(8), 8 - d)]
+
+
+def _lists(prints: DataFrame, fp: str, d: int, *more: str) -> DataFrame:
+    """at, part, fp, more: the lists of each fingerprint by sets of 8 - d positional bytes, a list's members one after the other."""
     if not 1 <= d <= 4:
         raise ValueError("the index is for 1 to 4 differing bits of 64")
-    sets = list(combinations(range(8), 8 - d))
-    masks = [sum(0xFF << 8 * i for i in s) for s in sets]
+    masks = [sum(0xFF << 8 * i for i in s) for s in combinations(range(8), 8 - d)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    free = [[8 * i + j for i in range(8) if i not in s for j in range(8)] for s in sets]
     fp_column = F.col(fp)
-    postings = prints.select(F.explode(F.array(*(F.struct(F.lit(n).cast("tinyint").alias("at"), fp_column.bitwiseAND(F.lit(m)).alias("part")) for n, m in enumerate(signed)))).alias("key"), fp_column.alias("fp"))
-    lists = postings.select("key.at", "key.part", "fp").repartition("at", "part").sortWithinPartitions("at", "part")
+    key = F.explode(F.array(*(F.struct(F.lit(n).cast("tinyint").alias("at"), fp_column.bitwiseAND(F.lit(m)).alias("part")) for n, m in enumerate(signed))))
+    posted = prints.select(key.alias("key"), fp_column.alias("fp"), *more).select("key.at", "key.part", "fp", *more)
+    return posted.repartition("at", "part").sortWithinPartitions("at", "part")
+
+
+def links(prints: DataFrame, fp: str, d: int) -> DataFrame:
+    """Links a, b between distinct fingerprints that differ in at most d bits, as many as their classes need (see above)."""
+    free = free_bits(d)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for members in _runs(batches, 2):
@@ -313,6 +321,29 @@ def links(prints: DataFrame, fp: str, d: int) -> DataFrame:
             a, b = pair[:, pair[0] != pair[1]]
             yield a, b
 
+    return _lists(prints, fp, d).mapInArrow(lambda batches: _pairs(linked(batches)), "a bigint, b bigint")
+
+
+def lone_links(prints: DataFrame, d: int) -> DataFrame:
+    """a, b: the units of prints (fp, unit, alone; each fp once) that are alone, each with the nearest print within d bits in every list that it stands in."""
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for members in _runs(batches, 2):
+            alone = np.nonzero(members.column(4).to_numpy(zero_copy_only=False))[0]
+            if not len(alone):
+                continue
+            bits, units = members.column(2).to_numpy().view(np.uint64), members.column(3).to_numpy()
+            order = np.argsort(bits)
+            ranked, left = bits[order], alone
+            for flip in _flips(free_bits(d)[members.column(0)[0].as_py()], d):  # those of fewer bits come first
+                at = np.minimum(np.searchsorted(ranked, bits[left] ^ flip), len(ranked) - 1)
+                met = ranked[at] == bits[left] ^ flip
+                yield units[left[met]], units[order[at[met]]]
+                left = left[~met]
+                if not len(left):
+                    break
+
+    lists = _lists(prints, "fp", d, "unit", "alone")
     return lists.mapInArrow(lambda batches: _pairs(linked(batches)), "a bigint, b bigint")
 
 
