@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quercus.functions.tables import small_batches
 from quercus.llm.common import free, others, written
 
 #: Buckets of each of the two tables; smoothing; bars (nats of evidence) among which held-out labels choose.
@@ -40,7 +41,7 @@ COST = 40.0
 #: Divides log weights before Gumbel noise is added: at 1 documents are drawn in proportion to their weights; the lower, the
 #: nearer to the threshold are those that the draw decides on (here some tenths of a nat).
 TEMPERATURE = 0.25
-KEPT_WORDS, SEED = 300_000, 42
+KEPT_WORDS, SEED = 100_000, 42
 _WORDS = re.compile(r"\w+|[^\w\s]+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 _REPEAT = np.uint64(0x7265706561740000)
@@ -154,7 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(row[part]) for row in total)], names=["bucket", "raw", "labelled", "target"])
 
     names = ("raw", "labelled", "target")
-    counts = source.mapInArrow(count, "bucket int, raw bigint, labelled bigint, target bigint").groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toArrow()  # bounded by the buckets
+    with small_batches(spark):
+        counts = source.mapInArrow(count, "bucket int, raw bigint, labelled bigint, target bigint").groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toArrow()  # bounded by the buckets
     raw, labelled, hits = np.zeros((3, 2 * BUCKETS + 1))
     for row, n in zip((raw, labelled, hits), names, strict=True):
         row[counts["bucket"].to_numpy()] = counts[n].to_numpy()
