@@ -154,7 +154,8 @@ def validate(
     position: the column that orders the rows of each of the three files. catalogue: slug. images: path, sha256 of the
     pictures that there are. checksums: path, sha256 as declared (checksum_for() finds a picture's). candidates: ranked lists,
     which go before those that predictions hold themselves. fields: see prediction_rows(). Of rows with one id the first
-    counts; null and empty values are missing ones. Empty tables are allowed.
+    counts; null and empty values are missing ones. Empty tables are allowed. Where rows of one id share the first position,
+    each is scored, but a query counts once.
     """
     spark = manifest.sparkSession
     none = F.lit(None)
@@ -229,7 +230,7 @@ def validate(
     total = p.count()
     matched = scored.where("matched and predicted is not null")
     totals = {
-        "query_count": n["queries"],
+        "query_count": queries.count(),
         "prediction_count": total,
         "matched_count": n["matched"],
         "missing_predictions": n["queries"] - n["matched"],
