@@ -1,8 +1,11 @@
 """What only larger tables show."""
 
+import random
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quercus.operators import validate
+from quercus.operators import textindex, validate
 
 
 def test_queries_count_once_where_lists_tie(spark):
@@ -11,3 +14,19 @@ def test_queries_count_once_where_lists_tie(spark):
     lists = spark.createDataFrame([(1, "q1", None), (1, "q1", "a")], "pos bigint, query_id string, candidates string")
     totals = validate.validate(q, predictions, "pos", candidates=lists).totals
     assert totals["query_count"] == 3 and totals["missing_predictions"] == 0
+
+
+def test_best_entries_equal_ranked_scores(spark, monkeypatch):
+    monkeypatch.setattr(textindex, "ITEM_BLOCK", 3)
+    rng = random.Random(3)
+    some = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    wines = spark.createDataFrame([(i, " ".join(rng.sample(some, rng.randint(1, 3))), rng.choice(some)) for i in range(90)], "slug bigint, name string, winery string").repartition(3)
+    words = spark.createDataFrame([(q, w, 0.5 + q % 2) for q in range(8) for w in rng.sample([*some, "alphabeta", "gamna", "qqqq"], 3)], "query_id bigint, text string, weight double")
+    index = textindex.vocabulary(wines, {"name": 2.0, "winery": 1.5}, "slug")
+    weights = textindex.idf(index, 90, "slug")
+    norm = textindex.norms(index, weights, "slug")
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "slug"))
+    told = lambda df: sorted((r.query_id, r.slug, round(r.score, 9), round(r.coverage, 9), tuple(r.matched)) for r in df.collect())
+    want = told(textindex.scored(words, index, weights, norm, "slug").withColumn("n", first).where("n <= 4").drop("n"))
+    assert told(textindex.scored(words, index, weights, norm, "slug", 4)) == want and len(want) == 32
+    assert told(textindex.scored(words.limit(0), index, weights, norm, "slug", 4)) == []
