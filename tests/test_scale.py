@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quercus.operators import textindex, validate, vectors
+from quercus.operators import graph, textindex, validate, vectors
 
 
 def test_queries_count_once_where_lists_tie(spark):
@@ -43,3 +43,10 @@ def test_usable_scores_equal_all_scores(spark, monkeypatch, k):
     every = vectors.scores(q, e, None, "id", "id").where("query_id != item_id").withColumn("usable", F.col("item_id") % 4 != 0)
     best = lambda df: sorted(tuple(r) for r in vectors.ranked(vectors.view_scores(df.withColumnRenamed("item_id", "slug").withColumn("pair", F.lit(0))), k, score="v_max", tie="slug").collect())
     assert best(vectors.usable_scores(q, e, k, usable, "id", "id")) == best(every)
+
+
+def test_copies_are_one_class(spark):
+    rows = [(f"s{i}", "b", ["gold", "oak", "cask"]) for i in range(20)] + [("t", "b", ["gold", "oak", "cask", "old"]), ("u", "b", ["old", "none"])] + [(f"v{i}", "c", ["gold", "oak", f"own{i}"]) for i in range(20)]
+    members, links = graph._similar_classes(spark.createDataFrame(rows, "slug string, block string, tokens array<string>"), "tokens", 0.65, 2)
+    assert sorted(tuple(r) for r in links.collect()) == [("s0", "s0", 20, 20), ("s0", "t", 20, 1)]
+    assert members.count() == 42 and members.select("class").distinct().count() == 4
