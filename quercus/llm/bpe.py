@@ -16,10 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quercus.llm.common import utf8
+from quercus.llm.common import alone, keeps, utf8
 from quercus.llm.wordbpe import Encoder, Vocabulary, byte_signs
 
 NEVER = 1 << 60
+#: Words and pairs that a worker keeps at most; beyond that it starts anew. Bounds memory, never changes results.
+KEPT_WORDS, KEPT_PAIRS = 200_000, 300_000
 
 
 class PrefixEncoder:
@@ -125,7 +127,7 @@ class PrefixEncoder:
                 pair = p << 20 | t
                 fits = known.get(pair)
                 if fits is None:
-                    if len(known) >= 2_000_000:  # bounds memory only
+                    if len(known) >= KEPT_PAIRS:
                         known.clear()
                     fits = known[pair] = self.seam(p, t)
                 if fits:
@@ -142,6 +144,7 @@ class PrefixEncoder:
 
 
 _workers: dict[bytes, Encoder] = {}
+keeps("bpe", _workers)
 
 
 def prefix_encoder(data: bytes) -> Encoder:
@@ -149,7 +152,7 @@ def prefix_encoder(data: bytes) -> Encoder:
     key = hashlib.sha256(data).digest()
     if key not in _workers:
         vocabulary = Vocabulary(data)
-        _workers[key] = Encoder(vocabulary, PrefixEncoder(vocabulary).ids)
+        _workers[key] = Encoder(vocabulary, PrefixEncoder(vocabulary).ids, KEPT_WORDS)
     return _workers[key]
 
 
@@ -205,4 +208,4 @@ def _mapped(df: DataFrame, tokenizer: str, column: str, adds: dict[str, pa.DataT
             new = [pa.array([r[i] for r in rows], type=k) for i, k in enumerate(adds.values())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *new], names=[*kept, *adds])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(alone("bpe", run), schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quercus.llm.common import forget, free, others, row_id, utf8, written
+from quercus.llm.common import alone, forget, free, keeps, others, row_id, utf8, written
 
 #: Words are runs of 0-9, a-z (A-Z lower-cased) and everything outside ASCII.
 _WORD_BYTES = bytes(b | 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -32,7 +32,7 @@ BLOCK_WINDOWS, BLOCK_BYTES = 1 << 18, 8 << 20
 #: Buckets in which shingles are counted: a collision only makes a shingle look less rare.
 COUNTED = 1 << 20
 #: Words whose codes a worker keeps; matches that are expanded at a time.
-KEPT_WORDS, CHUNK = 300_000, 1 << 16
+KEPT_WORDS, CHUNK = 100_000, 1 << 16
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -49,6 +49,7 @@ class _Codes(dict):
 
 
 _codes = _Codes()
+keeps("decontaminate", _codes)
 
 
 def codes_of(words: list[bytes]) -> np.ndarray:
@@ -159,7 +160,7 @@ def _wanted(benchmark: DataFrame, text: str, window: int, shingle: int) -> tuple
                     seen[_bucket(grams(codes, n))] = True
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.nonzero(seen)[0], -np.array(sorted(sizes), dtype=np.int64)]))], names=["bucket"])
 
-    found = benchmark.select(F.col(text).alias("text")).mapInArrow(run, "bucket bigint").distinct().toArrow()["bucket"].to_numpy()
+    found = benchmark.select(F.col(text).alias("text")).mapInArrow(alone("decontaminate", run), "bucket bigint").distinct().toArrow()["bucket"].to_numpy()
     seen = np.zeros(COUNTED, dtype=bool)
     seen[found[found >= 0]] = True
     sizes = {int(-x) for x in found if x < 0}
@@ -185,7 +186,7 @@ def _rarity(texts: DataFrame, wanted: np.ndarray, sizes: tuple[int, ...]) -> np.
             part = at[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["bucket", "n"])
 
-    found = texts.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.mapInArrow(alone("decontaminate", run), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     shipped.destroy()
     counts = np.zeros(COUNTED, dtype=np.int64)
     counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
@@ -343,7 +344,7 @@ def _appended(source: DataFrame, kept: list[str], text: str, keep_text: bool, in
                 items.append(sorted(ids))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in out), pa.array(total, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=[*names, *NEW])
 
-    return source.mapInArrow(run, ", ".join(x for x in (_columns(source, names), _FOUND) if x))
+    return source.mapInArrow(alone("decontaminate", run), ", ".join(x for x in (_columns(source, names), _FOUND) if x))
 
 
 def _in_passes(source: DataFrame, kept: list[str], text: str, keep_text: bool, indexes: Iterator[Index]) -> DataFrame:
@@ -367,7 +368,7 @@ def _in_passes(source: DataFrame, kept: list[str], text: str, keep_text: bool, i
                         items.append(sorted(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["row", "spans", "items"])
 
-        part = written(texts.mapInArrow(run, "row bigint, spans array<int>, items array<string>"), "hits")
+        part = written(texts.mapInArrow(alone("decontaminate", run), "row bigint, spans array<int>, items array<string>"), "hits")
         shipped.destroy()
         paths.append(part._quercus_path)
     merged = source.sparkSession.read.schema(part.schema).parquet(*paths).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
@@ -387,7 +388,7 @@ def _in_passes(source: DataFrame, kept: list[str], text: str, keep_text: bool, i
             items = [i or [] for i in batch.column(items_at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in out), pa.array(total, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=[*names, *NEW])
 
-    result = written(both.mapInArrow(end, ", ".join(x for x in (_columns(source, names), _FOUND) if x)), "contaminated")
+    result = written(both.mapInArrow(alone("decontaminate", end), ", ".join(x for x in (_columns(source, names), _FOUND) if x)), "contaminated")
     for table in (numbered, hits):
         forget(table)
     return result

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quercus.functions.tables import small_batches
-from quercus.llm.common import free, others, written
+from quercus.llm.common import alone, free, keeps, others, written
 
 #: Buckets of each of the two tables; smoothing; bars (nats of evidence) among which held-out labels choose.
 BUCKETS, SMOOTH, BARS = 1 << 18, 0.25, (4.0, 6.0, 10.0, 15.0)
@@ -59,6 +59,7 @@ class _Codes(dict):
 
 
 _codes = _Codes()
+keeps("quality", _codes)
 
 
 def features(text: str) -> np.ndarray:
@@ -144,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
                 found = features(t.as_py() or "")
                 if found.shape[1]:
                     parts[k].append(np.concatenate([np.unique(found[0]), np.unique(found[1]) + BUCKETS, [2 * BUCKETS]]))
-                if n % 1024 == 0 or n == batch.num_rows:  # few documents' features are held at a time
+                if n % 128 == 0 or n == batch.num_rows:  # few documents' features are held at a time
                     for k, held in enumerate(parts):
                         if held:
                             total[: k + 1] += np.bincount(np.concatenate(held), minlength=2 * BUCKETS + 1)
@@ -156,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
 
     names = ("raw", "labelled", "target")
     with small_batches(spark):
-        counts = source.mapInArrow(count, "bucket int, raw bigint, labelled bigint, target bigint").groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toArrow()  # bounded by the buckets
+        counts = source.mapInArrow(alone("quality", count), "bucket int, raw bigint, labelled bigint, target bigint").groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toArrow()  # bounded by the buckets
     raw, labelled, hits = np.zeros((3, 2 * BUCKETS + 1))
     for row, n in zip((raw, labelled, hits), names, strict=True):
         row[counts["bucket"].to_numpy()] = counts[n].to_numpy()
@@ -198,7 +199,7 @@ def weighted(docs: DataFrame, fitted: Model, id_column: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in out), lists], names=[*(kept[i] for i in out), name])
 
     columns = [f"`{source.schema[i].name}` {source.schema[i].dataType.simpleString()}" for i in out]
-    return source.mapInArrow(run, ", ".join([*columns, f"`{name}` array<double>"]))
+    return source.mapInArrow(alone("quality", run), ", ".join([*columns, f"`{name}` array<double>"]))
 
 
 def _cut(values: np.ndarray, kinds: np.ndarray) -> tuple[float, float]:

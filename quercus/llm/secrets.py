@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quercus.llm.common import others
+from quercus.llm.common import alone, others
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -234,7 +234,7 @@ def _mapped(df: DataFrame, text: str, secrets: str | None, keep_text: bool = Tru
                 yield pa.RecordBatch.from_arrays([clean if i == place else c for i, c in enumerate(batch.columns)], names=kept)
 
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in (source.schema.fields[i] for i in out)]
-    return source.mapInArrow(run, ", ".join([*columns, f"`{secrets}` {SECRETS}"] if secrets else columns))
+    return source.mapInArrow(alone("secrets", run), ", ".join([*columns, f"`{secrets}` {SECRETS}"] if secrets else columns))
 
 
 def scan(df: DataFrame, text: str = "text", secrets: str = "secrets", keep_text: bool = True) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quercus.llm.common import components, forget, row_id, utf8, written
+from quercus.llm.common import alone, components, forget, row_id, utf8, written
 
 SEED = 42
 #: Members of a list up to which its pairs are compared in blocks; longer lists look up the neighbours of each member.
@@ -91,9 +91,8 @@ def fingerprints(df: DataFrame, id_column: str, text_column: str, k: int, sketch
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(values), pa.array(units, pa.int64()), pa.array(drawn, pa.binary())], names=["row", "id", "fp", "unit", "sketch"]
             )
-        pa.default_memory_pool().release_unused()  # workers live on, and the texts' memory with them
 
-    return source.mapInArrow(run, "row bigint, id bigint, fp bigint, unit bigint, sketch binary")
+    return source.mapInArrow(alone("simhash", run), "row bigint, id bigint, fp bigint, unit bigint, sketch binary")
 
 
 def postings(units: DataFrame) -> DataFrame:
@@ -105,7 +104,7 @@ def postings(units: DataFrame) -> DataFrame:
             keys = np.ascontiguousarray(drawn[:, : 4 * GROUPS]).view("<u4").astype(np.int64) | np.arange(GROUPS, dtype=np.int64) << 32
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), GROUPS))], names=["key", "unit"])
 
-    return units.where("sketch is not null").select("unit", "sketch").mapInArrow(run, "key bigint, unit bigint")
+    return units.where("sketch is not null").select("unit", "sketch").mapInArrow(alone("simhash", run), "key bigint, unit bigint")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
@@ -177,7 +176,7 @@ def across(members: DataFrame, similarity: float) -> DataFrame:
                 yield np.full(len(rest), units[i]), units[rest]
 
     dealt = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return _ordered(dealt.mapInArrow(lambda batches: _pairs(compared(batches)), "a bigint, b bigint"))
+    return _ordered(dealt.mapInArrow(alone("simhash", lambda batches: _pairs(compared(batches))), "a bigint, b bigint"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -197,7 +196,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 good.append(common >= similarity * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return written(both.mapInArrow(run, "a bigint, b bigint"), "verified")
+    return written(both.mapInArrow(alone("simhash", run), "a bigint, b bigint"), "verified")
 
 
 def sets_of(names: DataFrame, units: DataFrame, df: DataFrame, text_column: str, row_column: str, k: int) -> DataFrame:
@@ -209,7 +208,7 @@ def sets_of(names: DataFrame, units: DataFrame, df: DataFrame, text_column: str,
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_set(hashes_of(t.as_py() or b"", k)) for t in utf8(batch.column(1))], pa.binary())], names=["unit", "hashes"])
 
-    return written(source.mapInArrow(run, "unit bigint, hashes binary"), "sets")
+    return written(source.mapInArrow(alone("simhash", run), "unit bigint, hashes binary"), "sets")
 
 
 def similar_links(units: DataFrame, df: DataFrame, text_column: str, row_column: str, k: int, max_bits: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
@@ -321,7 +320,7 @@ def links(prints: DataFrame, fp: str, d: int) -> DataFrame:
             a, b = pair[:, pair[0] != pair[1]]
             yield a, b
 
-    return _lists(prints, fp, d).mapInArrow(lambda batches: _pairs(linked(batches)), "a bigint, b bigint")
+    return _lists(prints, fp, d).mapInArrow(alone("simhash", lambda batches: _pairs(linked(batches))), "a bigint, b bigint")
 
 
 def lone_links(prints: DataFrame, d: int) -> DataFrame:
@@ -344,7 +343,7 @@ def lone_links(prints: DataFrame, d: int) -> DataFrame:
                     break
 
     lists = _lists(prints, "fp", d, "unit", "alone")
-    return lists.mapInArrow(lambda batches: _pairs(linked(batches)), "a bigint, b bigint")
+    return lists.mapInArrow(alone("simhash", lambda batches: _pairs(linked(batches))), "a bigint, b bigint")
 
 
 def near_duplicates(

@@ -78,13 +78,13 @@ class Vocabulary:
 class Encoder(dict):
     """Texts to ids as little-endian unsigned 32-bit integers. The dict keeps each word's ids; of_word finds new ones."""
 
-    def __init__(self, vocabulary: Vocabulary, of_word: Callable[[str], list[int]]) -> None:
+    def __init__(self, vocabulary: Vocabulary, of_word: Callable[[str], list[int]], kept: int = KEPT_WORDS) -> None:
         super().__init__()
-        self.vocabulary, self.of_word = vocabulary, of_word
+        self.vocabulary, self.of_word, self.kept = vocabulary, of_word, kept
         self.normalised = Tokenizer.from_buffer(vocabulary.data).normalizer.normalize_str
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
+        if len(self) >= self.kept:
             self.clear()
         found = self[word] = np.array(self.of_word(word), dtype="<u4").tobytes()
         return found

@@ -1,12 +1,13 @@
 import os
 import random
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from quercus.llm import queries
+from quercus.llm import bpe, decontaminate, quality, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -120,3 +121,40 @@ def test_groups_hold_when_the_scan_splits_otherwise(spark, small, tmp_path):
     texts = {r.text for r in split.collect()}
     assert len(kept) == len({t for _, t in kept}) and len(kept) >= len(texts) - 1
     assert all(i is None or i < 5000 for i, _ in kept)
+
+
+def test_a_worker_keeps_only_the_running_stages_tables(spark, small, monkeypatch):
+    """Workers live on: tables of all stages in one of them took more memory than an executor has."""
+    path, _ = small
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    sent = []
+    with monkeypatch.context() as patch:
+        patch.setattr(type(docs), "mapInArrow", lambda self, f, *more: sent.append(f) or self)
+        quality.weighted(docs, quality.model(*(quality.np.zeros((3, 2 * quality.BUCKETS + 1)))))
+        corpus_pipeline.encode(spark, docs, path)
+        corpus_pipeline.mask_secrets(spark, docs, path)
+    weigh, encode, mask = sent
+    tables = lambda: [bool(t) for t in (quality._codes, decontaminate._codes, bpe._workers)]
+    quality.features("three short words")
+    decontaminate.codes_of([b"word"])
+    list(encode(iter(())))
+    assert tables() == [False, False, True]
+    quality.features("three short words")
+    list(weigh(iter(())))
+    assert tables() == [True, False, False]
+    list(mask(iter(())))
+    assert tables() == [False, False, False]
+
+
+def test_kept_words_and_pairs_only_bound_memory(monkeypatch):
+    data = bpe.tokenizer_bytes(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"one {i} unusualwords{i} don't übermäßig {'x' * i}" for i in range(60)]
+    whole = bpe.prefix_encoder(data)
+    want = [whole.encode(t) for t in texts]
+    bpe._workers.clear()
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 7)
+    monkeypatch.setattr(bpe, "KEPT_PAIRS", 5)
+    few = bpe.prefix_encoder(data)
+    assert [few.encode(t) for t in texts] == want
+    assert len(few) <= 7 and len(few.of_word.__self__.known) <= 5
+    bpe._workers.clear()
