@@ -13,8 +13,9 @@ Jaccard similarity of their shingle sets, counted exactly; fingerprints and sket
 distinct set (unit) has a sketch of 128 positional bytes, byte p being taken from the hash that is least under permutation
 p (a consistent sample, so a byte agrees as often as shingles do), indexed in the same way by groups of four. Neighbours in
 a few lists are verified first, which joins most groups with few pairs, then those neighbours in the other lists that still
-lie in different classes, and the nearest fingerprints of units that stand in no list with another; then the lists whose members lie in several classes are compared, every member with all of other
-classes, in blocks, and what their tally allows for is verified too.
+lie in different classes, and the nearest fingerprints of units that stand in no list with another; then the lists whose
+members lie in several classes are compared, every member with all of other classes. Blocks of their sets meet in a task,
+which counts exactly and sends on only the links that join classes.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,9 +37,9 @@ SEED = 42
 PAIRWISE = 512
 
 
-#: Positional bytes of a sketch, groups of four of them that are indexed, those whose neighbours are verified first, how far below the similarity a tally may be
-#: (four standard errors at 0.8), and members of a list that are compared in one block.
-SKETCH_BYTES, GROUPS, FIRST, SLACK, BLOCK = 128, 20, 4, 0.14, 512
+#: Positional bytes of a sketch, groups of four of them that are indexed, those whose neighbours are verified first, members of a list that are compared in one
+#: block, and their hashes.
+SKETCH_BYTES, GROUPS, FIRST, BLOCK, BLOCK_HASHES = 128, 20, 4, 512, 1 << 18
 _PERMUTATIONS = np.random.Generator(np.random.PCG64(SEED)).integers(1, 1 << 32, (2, SKETCH_BYTES), dtype=np.uint32) | np.array([[1], [0]], dtype=np.uint32)
 
 
@@ -152,31 +154,76 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def across(members: DataFrame, similarity: float) -> DataFrame:
-    """a, b: all pairs of members (key, unit, n, root, sketch) of a list with different roots whose sketches agree in as many bytes as the similarity, less the slack, lets expect.
+def _joining(units: np.ndarray, roots: np.ndarray, low: np.ndarray, apart: bool, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of units with a Jaccard similarity of similarity or more, one of the low block and one of the other (apart) or both of the low, as many as join their classes (roots)."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    code, owner = np.unique(np.concatenate(sets), return_inverse=True)[1], np.repeat(np.arange(len(sets)), sizes)
+    able = np.ones(len(sets), dtype=bool)
+    for _ in range(3):  # a set reaches the similarity with no other if too many of its hashes are in none
+        shared = np.bincount(code, minlength=1)[code] > 1
+        code, owner = code[shared], owner[shared]
+        able &= np.bincount(owner, minlength=len(sets)) >= similarity * sizes
+        code, owner = code[able[owner]], owner[able[owner]]
+    starts, roots = np.searchsorted(owner, np.arange(len(sets) + 1)), roots.copy()
+    here, left, right = np.zeros(code.max(initial=-1) + 1, dtype=bool), [], []
+    for i in np.nonzero(able & low)[0].tolist():
+        rest = able & (roots != roots[i]) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]))
+        if apart:
+            rest &= ~low
+        if not rest.any():
+            continue
+        mine = code[starts[i] : starts[i + 1]]
+        here[mine] = True
+        common = np.bincount(owner[here[code]], minlength=len(sets))
+        here[mine] = False
+        for j in np.nonzero(rest & (common >= similarity * (sizes + sizes[i] - common)))[0].tolist():
+            if roots[j] != roots[i]:
+                roots[roots == roots[j]] = roots[i]
+                left.append(units[i])
+                right.append(units[j])
+    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+
+
+def blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """key, main (the root of most of its members), of_main, of_rest: in how many blocks those of the main class and all others of a list (members: key, unit, root) are compared."""
+    sized = members.join(sets.select("unit", "size"), "unit").groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    lists = sized.groupBy("key").agg(F.max(F.struct("n", "root", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    number = lambda n, size: F.least(n, F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_HASHES))).cast("int")
+    rest = number(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size"))
+    return lists.select("key", F.col("main.root").alias("main"), number(F.col("main.n"), F.col("main.size")).alias("of_main"), rest.alias("of_rest"))
+
+
+def dealt(members: DataFrame, lists: DataFrame) -> DataFrame:
+    """key, low, high (two blocks of a list), unit, root, own (its block): members (key, unit, root) so that every two of a list (of blocks()) with different roots meet in a pair of blocks.
+
+    The class that has most of a list has blocks of its own, which don't meet each other. So a list of one large class and a
+    few others has rows in proportion to its members, and one of many classes as many as its members times its blocks.
+    """
+    listed = members.join(lists, "key")
+    is_main, at = F.col("root") == F.col("main"), F.xxhash64("unit")
+    own = F.when(is_main, F.pmod(at, F.col("of_main"))).otherwise(F.col("of_main") + F.pmod(at, F.col("of_rest"))).cast("int")
+    others = F.sequence(F.when(is_main, F.col("of_main")).otherwise(F.lit(0)), F.col("of_main") + F.col("of_rest") - 1)
+    each = listed.select("key", "unit", "root", own.alias("own"), F.explode(others).alias("other"))
+    return each.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "unit", "root", "own")
+
 
-    A long list is dealt out in pairs of blocks, so that every two members meet in one task and none holds them all. The
-    members of a pair of blocks come in order, one after the other; a task holds those of one at a time.
+def across(members: DataFrame, lists: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: of all pairs of members (key, unit, root) of a list (of blocks()) with different roots whose sets (unit, hashes, size) have a Jaccard similarity of similarity or more, as many as their classes need.
+
+    A pair of blocks comes with its sets to one task, which compares them there and sends on at most one link less than it
+    has classes; pairs are neither sent nor written. The members of a pair of blocks come in order, one after the other; a
+    task holds those of one at a time.
     """
-    fewest = int(np.ceil((similarity - SLACK) * SKETCH_BYTES))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("unit"), blocks).cast("int")
-    dealt = members.select("key", "unit", "root", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    cells = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "unit", "root", "own", "sketch")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for cell in _runs(batches, 3):
             units, roots, own = (cell.column(i).to_numpy() for i in (3, 4, 5))
-            drawn = np.frombuffer(b"".join(cell.column(6).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH_BYTES)
-            mixed = cell.column(1)[0].as_py() != cell.column(2)[0].as_py()
-            for i in range(len(units) - 1):
-                rest = np.arange(i + 1, len(units))
-                rest = rest[(roots[rest] != roots[i]) & ((own[rest] != own[i]) if mixed else True)]
-                rest = rest[(drawn[rest] == drawn[i]).sum(axis=1) >= fewest]
-                yield np.full(len(rest), units[i]), units[rest]
+            low, high = (cell.column(i)[0].as_py() for i in (1, 2))
+            yield _joining(units, roots, own == low, low != high, [np.frombuffer(x.as_buffer(), dtype="<u8") for x in cell.column(6)], similarity)
 
-    dealt = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return _ordered(dealt.mapInArrow(alone("simhash", lambda batches: _pairs(compared(batches))), "a bigint, b bigint"))
+    cells = dealt(members, lists).join(sets.select("unit", "hashes"), "unit").select("key", "low", "high", "unit", "root", "own", "hashes")
+    ordered = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return _ordered(ordered.mapInArrow(alone("simhash", lambda batches: _pairs(compared(batches))), "a bigint, b bigint"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -200,15 +247,16 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def sets_of(names: DataFrame, units: DataFrame, df: DataFrame, text_column: str, row_column: str, k: int) -> DataFrame:
-    """unit, hashes of the units named (each once), from their texts."""
+    """unit, hashes, size (their number) of the units named (each once), from their texts."""
     named = names.join(units.select("unit", "row"), "unit")
     source = df.select(F.col(row_column).alias("row"), F.col(text_column).alias("text")).join(named, "row").select("unit", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_set(hashes_of(t.as_py() or b"", k)) for t in utf8(batch.column(1))], pa.binary())], names=["unit", "hashes"])
+            hashes = pa.array([_set(hashes_of(t.as_py() or b"", k)) for t in utf8(batch.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), hashes, pc.divide(pc.cast(pc.binary_length(hashes), pa.int64()), 8)], names=["unit", "hashes", "size"])
 
-    return written(source.mapInArrow(alone("simhash", run), "unit bigint, hashes binary"), "sets")
+    return written(source.mapInArrow(alone("simhash", run), "unit bigint, hashes binary, size bigint"), "sets")
 
 
 def similar_links(units: DataFrame, df: DataFrame, text_column: str, row_column: str, k: int, max_bits: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
@@ -241,13 +289,11 @@ def similar_links(units: DataFrame, df: DataFrame, text_column: str, row_column:
     rooted = written(_rooted(members, "unit", classes), "rooted")
     several = written(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key"), "several")
     mixed = written(rooted.join(several, "key", "left_semi"), "mixed")
-    for table in (members, rooted, several, classes, first, second):
-        forget(table)
-    rest = written(across(mixed.join(units.select("unit", "sketch"), "unit"), similarity).join(pairs.union(more), ["a", "b"], "left_anti"), "pairs")
-    for table in (mixed, pairs, more):
+    for table in (members, rooted, several, classes, first, second, pairs, more):
         forget(table)
-    last = verified(rest, sets, similarity)
-    for table in (rest, sets):
+    lists = written(blocks(mixed, sets), "lists")
+    last = written(across(mixed.select("key", "unit", "root"), lists, sets, similarity), "verified")
+    for table in (mixed, lists, sets):
         forget(table)
     return found.union(last), [found, last]
 

@@ -240,3 +240,43 @@ def test_pairs_at_the_similarity(spark):
     at = [got[2 * n] == got[2 * n + 1] for n, j in enumerate(near) if 0.8 <= j <= 0.82]
     assert len(at) >= 500 and sum(at) >= 0.995 * len(at)
     assert not any(got[2 * n] == got[2 * n + 1] for n, j in enumerate(near) if j < 0.8)
+
+
+def test_pairs_of_a_loose_group_are_not_joined(spark, monkeypatch):
+    """Copies of one text that are like it, but not like each other, or only some of them: nothing grows with their pairs but comparisons within a task."""
+    rng = random.Random(16)
+    base, docs = [f"w{rng.randrange(10**9)}" for _ in range(204)], []
+    for n in range(150):
+        t = list(base)
+        for i in rng.sample(range(25), 3 if n % 3 else 5):  # 0.73 to 0.86 of each other
+            t[5 + 8 * i] = f"x{rng.randrange(40)}"
+        docs.append(" ".join(t))
+    joined, verified = [], simhash.verified
+
+    def counted(pairs, *rest):
+        joined.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    want = groups_by_jaccard(docs, 0.8)
+    assert 2 < len(want) and groups_found(spark, docs, 3) == want
+    assert 0 < sum(joined) <= 20 * len(docs)
+
+
+@pytest.mark.parametrize("main", [0, 60])
+def test_every_two_of_other_classes_meet_once_in_blocks(spark, monkeypatch, main):
+    """A class that has most of a list doesn't meet itself: rows in proportion to its members."""
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    roots = [0] * main + list(range(1, 13))
+    members = spark.createDataFrame([(5, n, r) for n, r in enumerate(roots)], "key bigint, unit bigint, root bigint")
+    sets = spark.createDataFrame([(n, bytes(80), 10) for n in range(len(roots))], "unit bigint, hashes binary, size bigint")
+    rows = simhash.dealt(members, simhash.blocks(members, sets)).collect()
+    cells, met = {}, []
+    for r in rows:
+        cells.setdefault((r.low, r.high), []).append(r)
+    for (low, high), of in cells.items():
+        met += [tuple(sorted((a.unit, b.unit))) for a in of for b in of if a.own == low and b.own == high and (low != high or a.unit < b.unit)]
+    wanted = {(a, b) for b in range(len(roots)) for a in range(b) if roots[a] != roots[b]}
+    assert len(met) == len(set(met)) and set(met) >= wanted
+    assert sum(r.root == 0 for r in rows) <= 3 * main
