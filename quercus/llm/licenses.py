@@ -34,7 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quercus.llm.common import forget, row_id, utf8, written
+from quercus.functions.tables import small_batches
+from quercus.llm.common import alone, forget, row_id, utf8, written
 from quercus.llm.decontaminate import words_of
 
 #: Whole licences, and what the Affero licence has instead of the plain one's title, preamble and section 13.
@@ -323,7 +324,7 @@ def _frequencies(texts: DataFrame, wanted) -> DataFrame:
                     counts.clear()
         yield table()
 
-    return texts.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(alone("licenses", run), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 _CANDIDATES = "array<struct<template:int,start:int,size:int,dot:double,known:double,unknown:array<struct<word:binary,tf:int>>>>"
@@ -345,7 +346,8 @@ def scan(df: DataFrame, id_column: str, text_column: str, path: Column) -> DataF
     source = df.select(row_id().alias("row"), F.col(id_column).alias("id"), path.alias("path"), F.col(text_column).alias("text"))
     texts = source.select("text")
     known = frozenset(w for t in templates() for w in t.words)
-    frequency = {bytes(r["word"]): r["n"] for r in _frequencies(texts, lambda: known.intersection).collect()}  # as many rows as templates have words
+    with small_batches(spark):
+        frequency = {bytes(r["word"]): r["n"] for r in _frequencies(texts, lambda: known.intersection).collect()}  # as many rows as templates have words
     documents = frequency.pop(b"", 0)
     shipped = spark.sparkContext.broadcast(Matcher(frequency, documents))  # of the templates' size
 
@@ -363,7 +365,7 @@ def scan(df: DataFrame, id_column: str, text_column: str, path: Column) -> DataF
                 [*batch.columns[:3], pa.array(total, pa.int64()), pa.array(spdx, pa.list_(pa.string())), pa.array(candidates, _KIND)], names=["row", "id", "path", "n_words", "declared", "candidates"]
             )
 
-    found = written(source.mapInArrow(run, f"row bigint, id {source.schema['id'].dataType.simpleString()}, path string, n_words bigint, declared array<string>, candidates {_CANDIDATES}"), "candidates")
+    found = written(source.mapInArrow(alone("licenses", run), f"row bigint, id {source.schema['id'].dataType.simpleString()}, path string, n_words bigint, declared array<string>, candidates {_CANDIDATES}"), "candidates")
     each = found.select("row", F.posexplode("candidates").alias("nth", "c"))
     unknown = each.select("row", "nth", F.explode("c.unknown").alias("u")).select("row", "nth", "u.word", "u.tf")
     df_of = written(_of_unknown(texts, unknown), "frequencies")
@@ -383,7 +385,7 @@ def scan(df: DataFrame, id_column: str, text_column: str, path: Column) -> DataF
             columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.list_(pa.string()), pa.string(), pa.float64(), pa.int64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "path", "licenses", "license", "cosine", "n_passages", "is_file"])
 
-    result = written(rows.mapInArrow(decide, f"id {source.schema['id'].dataType.simpleString()}, path string, licenses array<string>, license string, cosine double, n_passages bigint, is_file boolean"), "licenses")
+    result = written(rows.mapInArrow(alone("licenses", decide), f"id {source.schema['id'].dataType.simpleString()}, path string, licenses array<string>, license string, cosine double, n_passages bigint, is_file boolean"), "licenses")
     for table in (found, df_of):
         forget(table)
     return result
@@ -398,7 +400,8 @@ def _of_unknown(texts: DataFrame, unknown: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique([_bucket(w) for w in batch.column(0).to_pylist()]).astype(np.int64))], names=["bucket"])
 
     seen = np.zeros(FILTER, dtype=bool)
-    seen[words.mapInArrow(buckets, "bucket bigint").distinct().toArrow()["bucket"].to_numpy()] = True  # FILTER rows at most
+    with small_batches(texts.sparkSession):
+        seen[words.mapInArrow(alone("licenses", buckets), "bucket bigint").distinct().toArrow()["bucket"].to_numpy()] = True  # FILTER rows at most
     shipped = texts.sparkSession.sparkContext.broadcast(np.packbits(seen))
 
     def wanted():

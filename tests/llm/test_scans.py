@@ -333,3 +333,22 @@ def test_base64_runs_among_foreign_signs():
     assert list(secrets._candidates(f"AWS_SECRET_ACCESS_KEY={value}", [])) == [(22, 62, "base64")]
     url = "Zk3_Qw9-tY7uPq2RsT5vXa8BcD1eFgH4"
     assert list(secrets._candidates(f"a/{url}+b", [])) == [(2, 2 + len(url), "base64url")]
+
+
+def test_counting_pass_of_licenses_gets_small_batches(spark, monkeypatch):
+    name, of, seen = "spark.sql.execution.arrow.maxBytesPerBatch", licenses._frequencies, []
+
+    def spied(texts, wanted):
+        df = of(texts, wanted)
+        collect = df.collect
+        df.collect = lambda: (seen.append(spark.conf.get(name)), collect())[1]
+        return df
+
+    monkeypatch.setattr(licenses, "_frequencies", spied)
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(64 << 20))
+    try:
+        assert licensed(spark, [("a/x.txt", "Released under the MIT License.")]).first().license == "MIT"
+        assert [int(x) for x in seen] == [8 << 20] and spark.conf.get(name) == str(64 << 20)
+    finally:
+        spark.conf.set(name, before)
